@@ -3,5 +3,6 @@
 from quire.plans import (  # noqa: F401
     page_queries,
     source_queries,
+    validation_queries,
 )
 from quire.plans.registry import ORACLES, QUERIES  # noqa: F401

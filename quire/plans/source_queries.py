@@ -58,7 +58,7 @@ def s3_quotes(spark, sf):
 @query(
     "s4_normalize_json",
     """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN props || '}'
-       ELSE json(CASE WHEN event_id % 7 = 1 THEN '{"a":1,"b":' || props || '}' ELSE props END) END AS props FROM events""",
+       ELSE json(CASE WHEN event_id % 7 = 1 THEN '{"a":1,"b":' || props || '}' ELSE props END)::VARCHAR END AS props FROM events""",
 )
 def s4(spark, sf):
     k = F.col("event_id") % 7
