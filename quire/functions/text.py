@@ -32,13 +32,13 @@ def fold_python(value):
     return value.lower().translate(dict(zip(map(ord, ACCENTED), PLAIN)))
 
 
-# Punctuation and white space dropped when texts are compared: a fixed pattern.
-FOLD_DROP = r"[\s!\"#%&'()*,\-./:;?@\[\\\]_{}]"
+# White space and punctuation dropped when texts are compared: a fixed pattern.
+FOLD_DROP = r"[\s\p{Z}\p{P}]"
 
 
 def fold_text(col):
-    """Case, accents, white space and punctuation removed."""
-    return F.regexp_replace(fold_case_accents(col), FOLD_DROP, "")
+    """Case, accents, white space and punctuation removed; sharp s counts as ss."""
+    return F.regexp_replace(F.replace(fold_case_accents(col), F.lit("ß"), F.lit("ss")), FOLD_DROP, "")
 
 
 def strip(col):

@@ -1,6 +1,7 @@
 """Registered queries. Importing the package fills the registry."""
 
 from quire.plans import (  # noqa: F401
+    layout_queries,
     page_queries,
     source_queries,
     validation_queries,
