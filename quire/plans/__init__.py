@@ -4,6 +4,7 @@ from quire.plans import (  # noqa: F401
     layout_queries,
     page_queries,
     source_queries,
+    translation_queries,
     validation_queries,
 )
 from quire.plans.registry import ORACLES, QUERIES  # noqa: F401

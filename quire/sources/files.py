@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.json import whole_json
 
 
 def file_inventory(spark, glob):
@@ -56,19 +57,10 @@ def unclosed_quotes(spark, path):
 
 def normalize_json(col, on_error="keep"):
     """Parsed and written again with sorted keys. ``keep`` leaves bad text as it
-    is, ``fail`` raises.
-
-    The parser stops after the first value, so trailing text would pass. A text is
-    one whole value only if it parses both as the sole element of an array and as
-    the sole field of an object: extra text can close one of the two, not both.
-    """
-    in_array = F.concat(F.lit("["), col, F.lit("]"))
-    in_object = F.concat(F.lit('{"v":'), col, F.lit("}"))
+    is, ``fail`` raises."""
     if on_error == "fail":
-        whole = F.when(F.parse_json(in_object).isNotNull(), F.parse_json(in_array))
-        return F.to_json(F.variant_get(whole, "$[0]", "variant"))
-    whole = F.when(F.try_parse_json(in_object).isNotNull(), F.try_parse_json(in_array))
-    return F.coalesce(F.to_json(F.variant_get(whole, "$[0]", "variant")), col)
+        return F.to_json(whole_json(col, fail=True))
+    return F.coalesce(F.to_json(whole_json(col)), col)
 
 
 def parse_xml(col, schema):
