@@ -2,6 +2,7 @@
 
 from quire.plans import (  # noqa: F401
     layout_queries,
+    markup_queries,
     page_queries,
     source_queries,
     translation_queries,
