@@ -19,7 +19,8 @@ def overlap_ratio(a, b):
     return F.when(small > 0, iw * ih / small).otherwise(F.lit(0.0))
 
 
-CELL = 128.0
+# About half a page: most boxes touch one to three cells.
+CELL = 256.0
 
 
 def cells(x, y, w, h, size=CELL):

@@ -70,10 +70,18 @@ HIDDEN = r"(?is)<([a-z][a-z0-9]*)\b[^>]*?\shidden(?=[\s>=])[^>]*>.*?</\1\s*>"
 BLOCK_TAG = r"(?i)</?(?:h[1-6]|p|div|section|article|ul|ol|li|blockquote|pre|table|tr|td|th|hr)(?:\s[^>]*)?/?>"
 
 
-def visible_html(html):
-    out = F.regexp_replace(html, COMMENT, "")
-    out = F.regexp_replace(html_body(out), DROPPED, "")
-    return F.regexp_replace(out, HIDDEN, "")
+def with_visible(pages, html, out="_visible"):
+    """Adds the shown part of a page: comments, the parts outside the body, dropped
+    and hidden elements removed. Step by step, because each step reads its input
+    several times and must not repeat the step before."""
+    return (
+        pages.withColumn(out, F.regexp_replace(html, COMMENT, ""))
+        .withColumn(out, html_body(F.col(out)))
+        .withColumn(out, F.regexp_replace(out, DROPPED, ""))
+        .withColumn(
+            out, F.when(F.col(out).rlike(r"(?i)\shidden[\s>=]"), F.regexp_replace(out, HIDDEN, "")).otherwise(F.col(out))
+        )
+    )
 
 
 def _segments(html):
@@ -95,16 +103,19 @@ def _plain(html):
 
 def html_blocks(pages, key="page_id", html="html"):
     """(key, ordinal, kind, text) rows; kind is the tag the text follows."""
-    segs = F.transform(
-        _segments(visible_html(F.col(html))),
+    segs = with_visible(pages.select(key, html), html).select(key, _segments(F.col("_visible")).alias("_segs"))
+    texts = F.transform(
+        "_segs",
         lambda s: F.struct(
             F.when((s["tag"] == "") | s["tag"].startswith("/"), F.lit("text")).otherwise(s["tag"]).alias("kind"),
             _plain(s["html"]).alias("text"),
         ),
     )
-    kept = F.filter(segs, lambda s: s["text"] != "")
-    return pages.select(key, F.posexplode(kept).alias("_i", "_s")).select(
-        key, (F.col("_i") + 1).cast("bigint").alias("ordinal"), F.col("_s.kind").alias("kind"), F.col("_s.text").alias("text")
+    return (
+        segs.withColumn("_texts", texts)
+        .withColumn("_texts", F.filter("_texts", lambda s: s["text"] != ""))
+        .select(key, F.posexplode("_texts").alias("_i", "_s"))
+        .select(key, (F.col("_i") + 1).cast("bigint").alias("ordinal"), F.col("_s.kind").alias("kind"), F.col("_s.text").alias("text"))
     )
 
 
@@ -114,19 +125,13 @@ SAFE_LINK = r"(?i)^(https?:|mailto:|#)"
 
 def html_links(pages, key="page_id", html="html"):
     """(key, ordinal, href, text, kept) of the links; ``kept`` = scheme allowed."""
-    links = F.transform(
-        F.regexp_extract_all(visible_html(F.col(html)), F.lit(LINK), 1),
-        lambda a: F.struct(
-            F.regexp_extract(a, r"(?i)^<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']", 1).alias("href"), _plain(a).alias("text")
-        ),
-    )
-    return pages.select(key, F.posexplode(links).alias("_i", "_l")).select(
-        key,
-        (F.col("_i") + 1).cast("bigint").alias("ordinal"),
-        F.col("_l.href").alias("href"),
-        F.col("_l.text").alias("text"),
-        F.col("_l.href").rlike(SAFE_LINK).alias("kept"),
+    found = with_visible(pages.select(key, html), html).select(
+        key, F.posexplode(F.regexp_extract_all("_visible", F.lit(LINK), 1)).alias("_i", "_a")
     )
+    href = F.regexp_extract("_a", r"(?i)^<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']", 1)
+    return found.select(
+        key, (F.col("_i") + 1).cast("bigint").alias("ordinal"), href.alias("href"), _plain(F.col("_a")).alias("text")
+    ).withColumn("kept", F.col("href").rlike(SAFE_LINK))
 
 
 INLINE = "struct<out:string,b:int,i:int,code:int,href:string>"
@@ -170,7 +175,7 @@ def _inline_markdown(html):
             .when(name.isin("a", "/a"), F.lit(""))
             .otherwise(s["href"])
             .alias("href"),
-        ).cast(INLINE)
+        )
 
     start = F.struct(
         F.lit("").alias("out"), F.lit(0).alias("b"), F.lit(0).alias("i"), F.lit(0).alias("code"), F.lit("").alias("href")
@@ -222,7 +227,7 @@ def html_to_markdown(pages, key="page_id", html="html"):
 
     def st(s, **new):
         names = ["out", "lists", "quote", "held", "table", "rows"]
-        return F.struct(*[new.get(n, s[n]).alias(n) for n in names]).cast(PAGE_STATE)
+        return F.struct(*[new.get(n, s[n]).alias(n) for n in names])
 
     def step(s, seg):
         tag, text = seg["tag"], seg["md"]
@@ -281,12 +286,15 @@ def html_to_markdown(pages, key="page_id", html="html"):
         none.alias("out"), none.alias("lists"), F.lit(0).alias("quote"), none.alias("held"), F.lit(0).alias("table"),
         F.array().cast("array<array<string>>").alias("rows"),
     ).cast(PAGE_STATE)
-    joined = F.aggregate(
-        F.transform(_segments(visible_html(F.col(html))), ready), start, step,
-        lambda s: F.array_join(F.concat(s["out"], s["held"]), ""),
+    joined = F.aggregate("_ready", start, step, lambda s: F.array_join(F.concat(s["out"], s["held"]), ""))
+    tidy = F.regexp_replace(F.regexp_replace("_joined", r"\n[ \t]+", "\n"), r"\n{3,}", "\n\n")
+    return (
+        with_visible(pages.select(key, html), html)
+        .select(key, _segments(F.col("_visible")).alias("_segs"))
+        .select(key, F.transform("_segs", ready).alias("_ready"))
+        .select(key, joined.alias("_joined"))
+        .select(key, F.concat(T.strip(tidy), F.lit("\n")).alias("markdown"))
     )
-    tidy = F.regexp_replace(F.regexp_replace(joined, r"\n[ \t]+", "\n"), r"\n{3,}", "\n\n")
-    return pages.select(key, F.concat(T.strip(tidy), F.lit("\n")).alias("markdown"))
 
 
 # ---------------------------------------------------------------- tables

@@ -40,13 +40,8 @@ def page_count(pages):
 
 def select_pages(pages, spec):
     """Pages of a lenient spec; ``sel_no`` is the rank among the selected pages."""
-    ranges = S.lenient_ranges(spec, F.col("n_pages"))
-    return (
-        pages.withColumn("_r", ranges)
-        .filter(S.contains(F.col("_r"), F.col("page_no")))
-        .withColumn("sel_no", S.rank_in(F.col("_r"), F.col("page_no")))
-        .drop("_r")
-    )
+    chosen = S.selection(spec, F.col("n_pages"))
+    return pages.filter(chosen.contains(F.col("page_no"))).withColumn("sel_no", chosen.rank(F.col("page_no")))
 
 
 def page_indexes(docs, spec):
@@ -62,22 +57,16 @@ def page_indexes(docs, spec):
 def reorder_pages(pages, spec):
     """New order by an order-preserving spec; pages may repeat or be dropped.
     A spec that names no existing page changes nothing."""
-    runs = S.ordered_runs(spec, F.col("n_pages"))
-    total = S.runs_total(F.col("_runs"))
+    order = S.ordering(spec, F.col("n_pages"))
     keep = [c for c in pages.columns if c not in ("page_no", "n_pages")]
-    return (
-        pages.withColumn("_runs", runs)
-        .withColumn("_total", total)
-        .select(
-            *keep,
-            F.col("page_no").alias("from_page"),
-            F.when(F.col("_total") > 0, F.col("_total")).otherwise(F.col("n_pages")).alias("n_pages"),
-            F.explode(
-                F.when(
-                    F.col("_total") > 0, S.new_positions(F.col("_runs"), F.col("page_no"))
-                ).otherwise(F.array("page_no"))
-            ).alias("page_no"),
-        )
+    changed = order.total() > 0
+    return pages.select(
+        *keep,
+        F.col("page_no").alias("from_page"),
+        F.when(changed, order.total()).otherwise(F.col("n_pages")).alias("n_pages"),
+        F.explode(
+            F.when(changed, order.positions(F.col("page_no"))).otherwise(F.array("page_no"))
+        ).alias("page_no"),
     )
 
 
@@ -101,37 +90,33 @@ def reorder_check(docs, spec):
 def delete_pages(pages, spec):
     """Remove the pages of a lenient spec and close the numbering. A blank spec
     removes nothing."""
-    n = F.col("n_pages")
-    return (
-        pages.withColumn("_r", S.lenient_ranges(spec, n))
-        .withColumn("_blank", S.is_blank(spec))
-        .filter(F.col("_blank") | ~S.contains(F.col("_r"), F.col("page_no")))
-        .withColumn(
-            "page_no",
-            F.when(F.col("_blank"), F.col("page_no")).otherwise(
-                F.col("page_no") - S.rank_in(F.col("_r"), F.col("page_no"))
-            ),
-        )
-        .withColumn("n_pages", F.when(F.col("_blank"), n).otherwise(n - S.total_in(F.col("_r"))))
-        .drop("_r", "_blank")
+    n, page, blank = F.col("n_pages"), F.col("page_no"), S.is_blank(spec)
+    gone = S.selection(spec, n)
+    kept = pages.filter(blank | ~gone.contains(page))
+    return kept.withColumns(
+        {
+            "page_no": F.when(blank, page).otherwise(page - gone.rank(page)),
+            "n_pages": F.when(blank, n).otherwise(n - gone.total()),
+        }
     )
 
 
 def delete_check(docs, spec):
     """Documents whose deletion leaves no page (refused by the native profile)."""
     n = F.col("n_pages")
-    left = F.when(S.is_blank(spec), n).otherwise(n - S.total_in(S.lenient_ranges(spec, n)))
+    left = F.when(S.is_blank(spec), n).otherwise(n - S.selection(spec, n).total())
     return docs.withColumn("pages_left", left).withColumn("refused", F.col("pages_left") == 0)
 
 
-def _selected(spec, profile):
-    """Selection of a page edit. Blank selects nothing; ``all`` selects every page."""
+def _selected(spec):
+    """Selection of a page edit. Blank selects nothing; ``all`` selects every page.
+    A strict spec (native) is a lenient one without its liberties, checked first by
+    ``page_indexes``, so the same ranges serve both."""
     if spec.strip().lower() == "all":
         return F.lit(True)
     if not spec.strip():
         return F.lit(False)
-    ranges = S.lenient_ranges(spec, F.col("n_pages")) if profile == "web" else S.strict_ranges(spec)
-    return S.contains(ranges, F.col("page_no"))
+    return S.selection(spec, F.col("n_pages")).contains(F.col("page_no"))
 
 
 def rotate_pages(pages, spec, degrees, profile="web"):
@@ -139,7 +124,7 @@ def rotate_pages(pages, spec, degrees, profile="web"):
     if profile == "native" and degrees % 90 != 0:
         raise ValueError("rotation must be a multiple of 90 degrees")
     turned = F.lit(degrees % 360) if profile == "web" else F.pmod(F.col("rotation") + degrees, F.lit(360))
-    return pages.withColumn("rotation", F.when(_selected(spec, profile), turned).otherwise(F.col("rotation")))
+    return pages.withColumn("rotation", F.when(_selected(spec), turned).otherwise(F.col("rotation")))
 
 
 def crop_pages(pages, spec, box, profile="web"):
@@ -148,7 +133,7 @@ def crop_pages(pages, spec, box, profile="web"):
     x0, y0, x1, y1 = [float(v) for v in box]
     if x0 >= x1 or y0 >= y1:
         raise ValueError("crop box needs x0 < x1 and y0 < y1")
-    hit = _selected(spec, profile)
+    hit = _selected(spec)
     inside = (F.col("x0") <= x0) & (F.col("y0") <= y0) & (F.col("x1") >= x1) & (F.col("y1") >= y1)
     ok = hit if profile == "web" else hit & inside
     out = pages.withColumn("_ok", ok).withColumn(
@@ -374,8 +359,8 @@ def fallback_text(pages, ocr):
 def interleave_bilingual(pages, spec):
     """Selected pages: the translation, then the original; others pass once. New
     numbers follow from the count of selected pages so far."""
-    sel = S.contains(F.col("_r"), F.col("page_no"))
-    rank = S.rank_in(F.col("_r"), F.col("page_no"))
+    chosen = S.selection(spec, F.lit(2**31 - 1).cast("bigint"))
+    sel, rank = chosen.contains(F.col("page_no")), chosen.rank(F.col("page_no"))
     both = F.array(
         F.struct(F.lit("translation").alias("side"), (F.col("page_no") + rank - 1).alias("no"), F.col("translated_text").alias("t")),
         F.struct(F.lit("original").alias("side"), (F.col("page_no") + rank).alias("no"), F.col("source_text").alias("t")),
@@ -384,8 +369,7 @@ def interleave_bilingual(pages, spec):
         F.struct(F.lit("original").alias("side"), (F.col("page_no") + rank).alias("no"), F.col("source_text").alias("t"))
     )
     return (
-        pages.withColumn("_r", S.lenient_ranges(spec, F.lit(2**31 - 1).cast("bigint")))
-        .select("conv_id", "page_no", F.explode(F.when(sel, both).otherwise(once)).alias("_s"))
+        pages.select("conv_id", "page_no", F.explode(F.when(sel, both).otherwise(once)).alias("_s"))
         .select("conv_id", "page_no", F.col("_s.side").alias("side"), F.col("_s.no").alias("new_page_no"), F.col("_s.t").alias("text"))
     )
 
@@ -450,7 +434,7 @@ def search(pages, query, limit=MAX_MATCHES):
         lambda s, x: F.struct(
             (s["p"] + F.length(x) + size).alias("p"),
             F.concat(s["out"], F.array(s["p"] + F.length(x))).alias("out"),
-        ).cast(state),
+        ),
         lambda s: F.slice(s["out"], F.lit(1), F.lit(limit)),
     )
     hits = (

@@ -16,14 +16,12 @@ def chunk_text(docs, sep="\n\n", max_chars=MAX_CHUNK, text="text"):
     paragraph is cut hard; chunks are trimmed and blank ones dropped; a text that
     fits stays as it is. One fold inside each row: no explode, no shuffle."""
     quoted = "".join("\\" + c if c in "\\.[]{}()*+-?^$|" else c for c in sep)
-    state = "struct<cur:string,out:array<string>>"
-
     def flushed(s):
         t = T.strip(s["cur"])
         return F.when(t == "", s["out"]).otherwise(F.concat(s["out"], F.array(t)))
 
     def mk(cur, out):
-        return F.struct(cur.alias("cur"), out.alias("out")).cast(state)
+        return F.struct(cur.alias("cur"), out.alias("out"))
 
     def step(s, p):
         n = F.length(p)
@@ -502,14 +500,14 @@ def align_boundaries(members, keys, target="zh"):
     pair = "struct<member_no:bigint,translation:string>"
 
     def mk(no, text):
-        return F.struct(no.alias("member_no"), text.alias("translation")).cast(pair)
+        return F.struct(no.alias("member_no"), text.alias("translation"))
 
     def step(s, m):
         a, b = _align_step(s["cur"]["translation"], m["translation"])
         return F.struct(
             mk(m["member_no"], b).alias("cur"),
             F.concat(s["out"], F.array(mk(s["cur"]["member_no"], a))).alias("out"),
-        ).cast(state)
+        )
 
     ordered = members.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(F.col("member_no").cast("bigint").alias("member_no"), "translation").cast(pair))).alias("_m")

@@ -388,7 +388,7 @@ def unique_names(files, bucket=None):
         )
         return F.struct(
             F.concat(s["used"], F.array(stem_of(k))).alias("used"), F.concat(s["out"], F.array(named)).alias("out")
-        ).cast(state)
+        )
 
     entry = F.struct(
         F.col("ord").cast("bigint").alias("ord"),
