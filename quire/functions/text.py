@@ -24,7 +24,9 @@ ACCENTED, PLAIN = _accent_pairs()
 
 def fold_case_accents(col):
     """Lower case without accents; one character stays one character."""
-    return F.translate(F.lower(col), ACCENTED, PLAIN)
+    low = F.lower(col)
+    # Character mapping is the slow part; plain ASCII texts skip it.
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, ACCENTED, PLAIN)).otherwise(low)
 
 
 def fold_python(value):
@@ -43,7 +45,7 @@ def fold_text(col):
 
 def strip(col):
     """Trim spaces, tabs and line breaks on both sides."""
-    return F.regexp_replace(col, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return F.btrim(col, F.lit(" \t\r\n"))
 
 
 def collapse(col):

@@ -111,11 +111,12 @@ def html_blocks(pages, key="page_id", html="html"):
             _plain(s["html"]).alias("text"),
         ),
     )
-    return (
-        segs.withColumn("_texts", texts)
-        .withColumn("_texts", F.filter("_texts", lambda s: s["text"] != ""))
-        .select(key, F.posexplode("_texts").alias("_i", "_s"))
-        .select(key, (F.col("_i") + 1).cast("bigint").alias("ordinal"), F.col("_s.kind").alias("kind"), F.col("_s.text").alias("text"))
+    # The expression is exploded directly: a named column would have its size tested
+    # in a filter pushed to the scan, and be worked out twice.
+    return segs.select(
+        key, F.posexplode(F.filter(texts, lambda s: s["text"] != "")).alias("_i", "_s")
+    ).select(
+        key, (F.col("_i") + 1).cast("bigint").alias("ordinal"), F.col("_s.kind").alias("kind"), F.col("_s.text").alias("text")
     )
 
 

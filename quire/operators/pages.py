@@ -18,13 +18,10 @@ BOX = ["x0", "y0", "x1", "y1"]
 
 def explode_pages(docs, sep="\n", box=PAGE_BOX, text="text"):
     """One row per page with its 1-based number and its document's page count."""
-    parts = docs.withColumn("_parts", F.split(text, sep))
     keep = [c for c in docs.columns if c != text]
-    return parts.select(
-        *keep,
-        F.size("_parts").cast("bigint").alias("n_pages"),
-        F.posexplode("_parts").alias("_pos", "text"),
-    ).select(
+    # Counted before the explode, once per document.
+    counted = docs.withColumn("n_pages", F.size(F.split(text, sep)).cast("bigint"))
+    return counted.select(*keep, "n_pages", F.posexplode(F.split(text, sep)).alias("_pos", "text")).select(
         *keep,
         (F.col("_pos") + 1).cast("bigint").alias("page_no"),
         "n_pages",

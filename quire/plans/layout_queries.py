@@ -544,8 +544,10 @@ def r25(spark, sf):
 def _groups(spark, sf):
     """Triples of lines as groups; some documents are damaged in one way each."""
     n, d = F.col("line"), F.col("doc_id") % 6
-    src = X.table(spark, sf, "documents").select(
-        "doc_id", F.size(F.split("text", "\n")).alias("total"), F.posexplode(F.split("text", "\n")).alias("line", "text")
+    src = (
+        X.table(spark, sf, "documents")
+        .withColumn("total", F.size(F.split("text", "\n")))
+        .select("doc_id", "total", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     )
     first = (F.floor(n / 3) * 3).cast("bigint")
     name = lambda v: F.concat(F.lit("r"), v.cast("string"))
