@@ -365,7 +365,7 @@ def _continues_sql(a, b, a_bold, b_bold, same_kind, fonts):
     cjk = f"regexp_matches({b}, '{L.CJK_START}')"
     return (
         f"({_prose_sql(a, a_bold)} AND {_prose_sql(b, b_bold)} AND {same_kind} AND length({a}) + length({b}) >= 35 AND {fonts} "
-        f"AND (({bare} <> '' AND NOT regexp_matches({bare}, '{L.STOPS}')) OR regexp_matches({bare}, '{L.ABBREVIATION}')) "
+        f"AND (({bare} <> '' AND NOT regexp_matches({bare}, '[{L.STOPS}]$')) OR regexp_matches({bare}, '{L.ABBREVIATION}')) "
         f"AND ({lower} OR {cjk} OR regexp_matches({b}, '{L.TECHNICAL}') OR lower(regexp_extract({a}, '(\\S+)$', 1)) IN ({words}) OR {more}) "
         f"AND (least(length({a}), length({b})) >= 12 OR {lower} OR {cjk}) AND NOT starts_with({b}, 'http') AND NOT starts_with({b}, 'doi:'))"
     )
