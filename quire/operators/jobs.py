@@ -73,9 +73,9 @@ def step_progress(done, total):
 
 
 def job_log(events):
-    """Log lines with their number per job, hour by hour. Lines stay rows: a log is
+    """Log lines with their number per job, minute by minute. Lines stay rows: a log is
     appended to for as long as the job lives."""
-    return number_rows(events, ["job_id"], F.date_trunc("hour", F.col("ts")), ["ts", "event_id"], "line_no")
+    return number_rows(events, ["job_id"], F.date_trunc("minute", F.col("ts")), ["ts", "event_id"], "line_no")
 
 
 MAX_SERVICE_LINES = 80

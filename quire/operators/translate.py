@@ -220,9 +220,9 @@ def classify_reply(attempts, profile="native"):
 
 
 def number_attempts(attempts, keys=("request_id",)):
-    """Attempt numbers per request in time order, hour by hour: one busy request
-    key is spread over its hours."""
-    bucket = F.date_trunc("hour", F.col("ts"))
+    """Attempt numbers per request in time order, minute by minute: one busy request
+    key is spread over its minutes."""
+    bucket = F.date_trunc("minute", F.col("ts"))
     return number_rows(attempts, list(keys), bucket, ["ts", "event_id"], "attempt_no")
 
 

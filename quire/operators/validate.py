@@ -343,44 +343,68 @@ def dedup_imports(existing, new):
     )
 
 
+NAMED = "array<struct<ord:bigint,name:string,unique_name:string>>"
+
+
+def _ancestors(stem):
+    """A stem and what is left of it as its trailing -digits are cut one by one."""
+    tail = F.regexp_extract(stem, r"((?:-[0-9]+)*)$", 1)
+    root = F.left(stem, F.length(stem) - F.length(tail))
+    steps = F.split(tail, "-")
+    return F.transform(
+        F.sequence(F.lit(1), F.size(steps)),
+        lambda i: F.concat(root, F.array_join(F.slice(steps, F.lit(1), i), "-")),
+    )
+
+
 def unique_names(files, bucket=None):
     """Case-insensitively unique names and stems inside a job: a taken one gets
     -2, -3, … in upload order.
 
-    A generated name keeps its stem's root (the stem without trailing -digits), so
-    names of different roots never meet and each (job, root) is settled on its own.
-    Where a root has one plain stem, the k-th file simply gets -k: numbered bucket
-    by bucket, however many copies there are. The others are folded in order.
+    Only a stem that occurs twice makes new names, and they all extend it by
+    -digits. So a file is concerned only if its stem, or a shorter form of it, is
+    repeated; the topmost such form is its family. Files without a family keep
+    their names. A family of one stem is numbered bucket by bucket, however many
+    copies there are. Only a family in which generated and given names can meet is
+    folded in order: there, each name depends on all earlier ones.
     """
-    root = F.regexp_replace(F.col("_stem"), r"(-[0-9]+)+$", "")
-    base = (
-        files.withColumn("_stem", F.lower(T.stem(F.col("name"))))
-        .withColumn("_root", root)
-    )
-    shape = base.groupBy("job_id", "_root").agg(
-        (F.min("_stem") == F.max("_stem")).alias("_plain")
-    )
-    tagged = base.join(shape, ["job_id", "_root"])
+    base = files.withColumn("_stem", F.lower(T.stem(F.col("name"))))
+    repeated = (
+        base.groupBy("job_id", "_stem")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+        .select("job_id", F.col("_stem").alias("_form"), F.lit(True).alias("_hit"))
+    )
+    forms = base.select("job_id", "ord", "name", "_stem", F.posexplode(_ancestors(F.col("_stem"))).alias("_depth", "_form"))
+    tagged = (
+        forms.join(repeated, ["job_id", "_form"], "left")
+        .groupBy("job_id", "ord", "name", "_stem")
+        .agg(F.min(F.when(F.col("_hit"), F.struct("_depth", "_form"))).alias("_top"))
+        .withColumn("_family", F.col("_top._form"))
+        .drop("_top")
+    )
+    free = tagged.filter("_family is null").select("job_id", "ord", "name", F.col("name").alias("unique_name"))
+    related = tagged.filter("_family is not null")
+    shape = related.groupBy("job_id", "_family").agg((F.min("_stem") == F.max("_stem")).alias("_plain"))
+    related = related.join(shape, ["job_id", "_family"])
     bucket = F.expr("ord div 256") if bucket is None else bucket
-    plain = number_rows(tagged.filter("_plain"), ["job_id", "_root"], bucket, ["ord"], "_k")
-    suffixed = lambda name, k: F.concat(
-        T.stem(name), F.lit("-"), k.cast("string"), F.regexp_extract(name, r"[^./](\.[^./]+)$", 1)
-    )
+    plain = number_rows(related.filter("_plain"), ["job_id", "_family"], bucket, ["ord"], "_k")
+    ext = F.regexp_extract("name", r"[^./](\.[^./]+)$", 1)
     plain = plain.select(
         "job_id",
         "ord",
         "name",
-        F.when(F.col("_k") == 1, F.col("name")).otherwise(suffixed(F.col("name"), F.col("_k"))).alias("unique_name"),
+        F.when(F.col("_k") == 1, F.col("name"))
+        .otherwise(F.concat(T.stem(F.col("name")), F.lit("-"), F.col("_k").cast("string"), ext))
+        .alias("unique_name"),
     )
-    state = "struct<used:array<string>,out:array<struct<ord:bigint,name:string,unique_name:string>>>"
 
     def place(s, f):
         def stem_of(k):
             return F.when(k == 1, f["stem"]).otherwise(F.concat(f["stem"], F.lit("-"), k.cast("string")))
 
         ks = F.sequence(F.lit(1).cast("bigint"), F.size(s["used"]).cast("bigint") + 1)
-        free = F.filter(ks, lambda k: ~F.array_contains(s["used"], stem_of(k)))
-        k = F.element_at(free, 1)
+        k = F.element_at(F.filter(ks, lambda k: ~F.array_contains(s["used"], stem_of(k))), 1)
         named = F.struct(
             f["ord"].alias("ord"),
             f["name"].alias("name"),
@@ -391,33 +415,18 @@ def unique_names(files, bucket=None):
         )
 
     entry = F.struct(
-        F.col("ord").cast("bigint").alias("ord"),
-        "name",
-        F.col("_stem").alias("stem"),
-        T.stem(F.col("name")).alias("bare"),
-        F.regexp_extract("name", r"[^./](\.[^./]+)$", 1).alias("ext"),
+        F.col("ord").cast("bigint").alias("ord"), "name", F.col("_stem").alias("stem"),
+        T.stem(F.col("name")).alias("bare"), ext.alias("ext"),
     )
+    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(NAMED).alias("out"))
     mixed = (
-        tagged.filter("not _plain")
-        .groupBy("job_id", "_root")
+        related.filter("not _plain")
+        .groupBy("job_id", "_family")
         .agg(F.sort_array(F.collect_list(entry)).alias("_fs"))
-        .select(
-            "job_id",
-            F.explode(
-                F.aggregate(
-                    "_fs",
-                    F.struct(
-                        F.array().cast("array<string>").alias("used"),
-                        F.array().cast("array<struct<ord:bigint,name:string,unique_name:string>>").alias("out"),
-                    ).cast(state),
-                    place,
-                    lambda s: s["out"],
-                )
-            ).alias("_o"),
-        )
+        .select("job_id", F.explode(F.aggregate("_fs", start, place, lambda s: s["out"])).alias("_o"))
         .select("job_id", "_o.ord", "_o.name", "_o.unique_name")
     )
-    return plain.unionByName(mixed)
+    return free.unionByName(plain).unionByName(mixed)
 
 
 MAX_STEM = 80
