@@ -186,31 +186,50 @@ def engine_rows():
     return [(e, i, d, note) for e, deps, note in ENGINES for i, d in enumerate(deps.split(","))]
 
 
+def literal_table(spark, schema, rows):
+    """A small fixed table as a local relation: the planner sees its size, and no
+    Python rows or extra tasks are involved. ``schema``: "name type, …"."""
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, (bool, int)):
+            return str(v)
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    names = ", ".join(n for n, _ in fields)
+    cast = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in fields)
+    body = ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT {cast} FROM VALUES {body} AS t({names})")
+
+
 def routes(spark, profile="native"):
-    return spark.createDataFrame(
-        route_rows(profile),
+    return literal_table(
+        spark,
         "route_no bigint, source string, target string, kind string, engines string, "
         "requirements string, accept string, input_limit bigint",
+        route_rows(profile),
     )
 
 
 def accepts(spark, profile="native"):
-    return spark.createDataFrame(accept_rows(profile), "route_no bigint, ext string")
+    return literal_table(spark, "route_no bigint, ext string", accept_rows(profile))
 
 
 def format_table(spark, profile="native"):
-    return spark.createDataFrame(formats(profile), "format string, label string, input string")
+    return literal_table(spark, "format string, label string, input string", formats(profile))
 
 
 def requirements(spark, profile="web"):
-    return spark.createDataFrame(
-        requirement_rows(profile), "route_no bigint, pos int, dependency string, level string"
+    return literal_table(
+        spark, "route_no bigint, pos int, dependency string, level string", requirement_rows(profile)
     )
 
 
 def engines(spark):
-    return spark.createDataFrame(engine_rows(), "engine string, dep_pos int, dependency string, note string")
+    return literal_table(spark, "engine string, dep_pos int, dependency string, note string", engine_rows())
 
 
 def dependencies(spark):
-    return spark.createDataFrame(DEPENDENCIES, "dependency string, category string, risk string")
+    return literal_table(spark, "dependency string, category string, risk string", DEPENDENCIES)

@@ -5,6 +5,7 @@ are commutative aggregates with map-side combine, and numbering goes by bucket.
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.catalog import literal_table
 from quire.functions.scale import number_rows
 
 TERMINAL = ["done", "failed"]
@@ -142,7 +143,7 @@ DEFAULT_ERROR = ("task_failed", True)
 def classify_errors(events, profile="web"):
     """Code and retry flag of each error type; unknown types get the default."""
     rows = ERRORS if profile == "web" else NATIVE_ERRORS
-    known = events.sparkSession.createDataFrame(rows, "error_type string, _code string, _retry boolean")
+    known = literal_table(events.sparkSession, "error_type string, _code string, _retry boolean", rows)
     return events.join(F.broadcast(known), "error_type", "left").select(
         *events.columns,
         F.coalesce("_code", F.lit(DEFAULT_ERROR[0])).alias("error_code"),

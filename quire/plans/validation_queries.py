@@ -192,7 +192,7 @@ UNION ALL SELECT job_id, 'blocking', arg_min(code, pos), arg_min(dependency, pos
 
 
 def _deps(spark):
-    return spark.createDataFrame(AVAILABLE, "dependency string, available boolean")
+    return C.literal_table(spark, "dependency string, available boolean", AVAILABLE)
 
 
 @query("v7_requirement_check", f"WITH {REQS} SELECT job_id, severity, code, detail FROM req_issues")
