@@ -213,6 +213,12 @@ def ordering(spec, n):
     return _PerRowOrder(spec, n) if isinstance(spec, Column) else _UnrolledOrder(spec, n)
 
 
+def lenient_error(spec):
+    """True where a Column spec has a part that is not a page or a range. Such a
+    part selects nothing; a string spec raises instead."""
+    return ~F.forall(_parts(spec), lambda p: p.rlike(r"^(\+?[0-9]+|(\+?[0-9]+)? *- *(\+?[0-9]+)?)$"))
+
+
 STRICT_PART = r"^\+?[0-9]+(-\+?[0-9]+)?$"
 
 

@@ -190,6 +190,25 @@ def replace_text(pages, find, replacement):
     )
 
 
+def replace_selection(pages, page_no, start, find, replacement):
+    """Replacement of one selected range: on page ``page_no``, at the 1-based
+    ``start``. ``stale`` marks pages whose text there is no longer ``find``; they
+    stay as they are."""
+    start = F.lit(start) if isinstance(start, int) else start
+    n = len(find)
+    here = F.col("page_no") == page_no
+    found = F.col("text").substr(start, F.lit(n)) == find
+    made = F.concat(
+        F.left("text", start - 1), F.lit(replacement), F.col("text").substr(start + n, F.length("text"))
+    )
+    return pages.withColumns(
+        {
+            "stale": here & ~((start > 0) & found),
+            "text": F.when(here & (start > 0) & found, made).otherwise(F.col("text")),
+        }
+    )
+
+
 def replace_report(replaced):
     """Per document: hits and verdict (``not_found`` / ``too_many`` / ``ok``)."""
     return (
@@ -355,19 +374,20 @@ def fallback_text(pages, ocr):
 
 def interleave_bilingual(pages, spec):
     """Selected pages: the translation, then the original; others pass once. New
-    numbers follow from the count of selected pages so far."""
+    numbers follow from the count of selected pages so far. ``pages`` has page_no,
+    source_text and translated_text beside its document key."""
     chosen = S.selection(spec, F.lit(2**31 - 1).cast("bigint"))
-    sel, rank = chosen.contains(F.col("page_no")), chosen.rank(F.col("page_no"))
-    both = F.array(
-        F.struct(F.lit("translation").alias("side"), (F.col("page_no") + rank - 1).alias("no"), F.col("translated_text").alias("t")),
-        F.struct(F.lit("original").alias("side"), (F.col("page_no") + rank).alias("no"), F.col("source_text").alias("t")),
-    )
-    once = F.array(
-        F.struct(F.lit("original").alias("side"), (F.col("page_no") + rank).alias("no"), F.col("source_text").alias("t"))
-    )
-    return (
-        pages.select("conv_id", "page_no", F.explode(F.when(sel, both).otherwise(once)).alias("_s"))
-        .select("conv_id", "page_no", F.col("_s.side").alias("side"), F.col("_s.no").alias("new_page_no"), F.col("_s.t").alias("text"))
+    page = F.col("page_no")
+    sel, rank = chosen.contains(page), chosen.rank(page)
+    keys = [c for c in pages.columns if c not in ("source_text", "translated_text")]
+
+    def side(name, number, text):
+        return F.struct(F.lit(name).alias("side"), number.alias("no"), F.col(text).alias("t"))
+
+    original = side("original", page + rank, "source_text")
+    both = F.array(side("translation", page + rank - 1, "translated_text"), original)
+    return pages.select(*keys, F.explode(F.when(sel, both).otherwise(F.array(original))).alias("_s")).select(
+        *keys, F.col("_s.side").alias("side"), F.col("_s.no").alias("new_page_no"), F.col("_s.t").alias("text")
     )
 
 

@@ -141,7 +141,8 @@ def decode_replies(replies, content="content"):
         return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
 
     parsed = F.coalesce(as_object(bare), as_object(inner))
-    items = F.try_variant_get(F.col("_v"), "$.items", "array<variant>")
+    listed = F.try_variant_get(F.col("_v"), "$.items", "array<variant>")
+    items = F.when(F.forall(listed, lambda v: F.schema_of_variant(v).startswith("OBJECT")), listed)
     alone = (F.col("n_regions") == 1) & is_string(F.variant_get("_v", "$.id", "variant")) & is_string(
         F.variant_get("_v", "$.text", "variant")
     )
@@ -271,13 +272,16 @@ def resume_best_snapshot(regions, saved, meta, snapshots):
         live = live.filter(F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}")))
     usable = saved.join(live.select("doc_id", "snapshot_no"), ["doc_id", "snapshot_no"], "left_semi")
     r, o = regions.alias("r"), usable.alias("o")
-    same = (F.col("r.doc_id") == F.col("o.doc_id")) & (F.col("r.region_id") == F.col("o.region_id"))
-    for c in ("text", "page_index", "kind", "group_id"):
+    key = (F.col("r.doc_id") == F.col("o.doc_id")) & (F.col("r.region_id") == F.col("o.region_id"))
+    same = F.col("o.translation").isNotNull()
+    for c in ("page_index", "kind", "group_id", "text"):
         same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}"))
     same = same & (F.coalesce("r.preserve", F.lit(False)) == F.coalesce("o.preserve", F.lit(False)))
     for c in ("x", "y", "w", "h"):
         same = same & (F.abs(F.col(f"r.{c}") - F.col(f"o.{c}")) <= TOLERANCE)
-    hits = r.join(o, same & F.col("o.translation").isNotNull()).select(
+    # Wrapped, so that whole texts do not become keys to hash and sort by: the two
+    # ids already bring together the few rows to compare.
+    hits = r.join(o, key & F.when(same, F.lit(True)).otherwise(F.lit(False))).select(
         "r.doc_id", "r.region_id", "o.snapshot_no", "o.translation"
     )
     n = F.count(F.lit(1)).over(W.partitionBy("doc_id", "snapshot_no"))

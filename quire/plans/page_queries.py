@@ -239,6 +239,17 @@ def p11_report(spark, sf):
     return P.replace_report(P.replace_text(X.doc_pages(spark, sf), "tion", "TION"))
 
 
+@query(
+    "p11_replace_selection",
+    f"""WITH {DOC_PAGES}, s AS (SELECT *, instr(text, 'the') AS k FROM doc_pages)
+SELECT doc_id, page_no, page_no = 2 AND k = 0 AS stale,
+       CASE WHEN page_no = 2 AND k > 0 THEN substr(text, 1, k - 1) || '<A>' || substr(text, k + 3) ELSE text END AS text FROM s""",
+)
+def p11_selection(spark, sf):
+    at = F.instr("text", "the")
+    return P.replace_selection(X.doc_pages(spark, sf), 2, at, "the", "<A>").select("doc_id", "page_no", "stale", "text")
+
+
 @query(
     "p12_merge_documents",
     f"""WITH {DOC_PAGES}

@@ -166,3 +166,11 @@ def test_selection_and_edits_do_not_shuffle(spark, sf_dir):
         if name != "p19_interleave_bilingual":
             assert "Exchange" not in plan and "Window" not in plan, name
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+
+
+def test_broken_spec_is_reported(spark):
+    df = spark.createDataFrame([("1,3-4,-2,9-",), ("",), (" 2 - 3 ,",), ("a",), ("1-2-3",), ("1.5",)], "s string")
+    got = [r.e for r in df.select(S.lenient_error(F.col("s")).alias("e")).collect()]
+    assert got == [False, False, False, True, True, True]
+    with pytest.raises(ValueError):
+        S.selection("a", F.col("n"))
