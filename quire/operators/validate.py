@@ -368,29 +368,31 @@ def unique_names(files, bucket=None):
     copies there are. Only a family in which generated and given names can meet is
     folded in order: there, each name depends on all earlier ones.
     """
-    base = files.withColumn("_stem", F.lower(T.stem(F.col("name"))))
+    base = files.select("job_id", "ord", "name").withColumn("_stem", F.lower(T.stem(F.col("name"))))
+    # Families are found among the distinct stems, not among the files.
+    stems = base.groupBy("job_id", "_stem").agg(F.count(F.lit(1)).alias("n"))
+    forms = stems.select("job_id", "_stem", "n", F.posexplode(_ancestors(F.col("_stem"))).alias("_depth", "_form"))
     repeated = (
-        base.groupBy("job_id", "_stem")
-        .agg(F.count(F.lit(1)).alias("n"))
+        forms.groupBy("job_id", "_form")
+        .agg(F.count(F.lit(1)).alias("_kin"), F.max(F.when(F.col("_form") == F.col("_stem"), F.col("n"))).alias("n"))
         .filter("n > 1")
-        .select("job_id", F.col("_stem").alias("_form"), F.lit(True).alias("_hit"))
-    )
-    forms = base.select("job_id", "ord", "name", "_stem", F.posexplode(_ancestors(F.col("_stem"))).alias("_depth", "_form"))
-    tagged = (
-        forms.join(repeated, ["job_id", "_form"], "left")
-        .groupBy("job_id", "ord", "name", "_stem")
-        .agg(F.min(F.when(F.col("_hit"), F.struct("_depth", "_form"))).alias("_top"))
-        .withColumn("_family", F.col("_top._form"))
-        .drop("_top")
-    )
-    free = tagged.filter("_family is null").select("job_id", "ord", "name", F.col("name").alias("unique_name"))
-    related = tagged.filter("_family is not null")
-    shape = related.groupBy("job_id", "_family").agg((F.min("_stem") == F.max("_stem")).alias("_plain"))
-    related = related.join(shape, ["job_id", "_family"])
+        .select("job_id", "_form", "_kin")
+    )
+    families = (
+        forms.drop("n")
+        .join(repeated, ["job_id", "_form"])
+        .groupBy("job_id", "_stem")
+        .agg(F.min(F.struct("_depth", "_form", "_kin")).alias("_top"))
+        .select("job_id", "_stem", F.col("_top._form").alias("_family"), (F.col("_top._kin") > 1).alias("_mixed"))
+    )
+    mixed_stems = families.filter("_mixed").select("job_id", "_stem", "_family")
     bucket = F.expr("ord div 256") if bucket is None else bucket
-    plain = number_rows(related.filter("_plain"), ["job_id", "_family"], bucket, ["ord"], "_k")
     ext = F.regexp_extract("name", r"[^./](\.[^./]+)$", 1)
-    plain = plain.select(
+    # A stem of its own is numbered whether repeated or not: the first keeps its name.
+    alone = number_rows(base, ["job_id", "_stem"], bucket, ["ord"], "_k").join(
+        mixed_stems, ["job_id", "_stem"], "left_anti"
+    )
+    alone = alone.select(
         "job_id",
         "ord",
         "name",
@@ -420,13 +422,13 @@ def unique_names(files, bucket=None):
     )
     start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(NAMED).alias("out"))
     mixed = (
-        related.filter("not _plain")
+        base.join(mixed_stems, ["job_id", "_stem"])
         .groupBy("job_id", "_family")
         .agg(F.sort_array(F.collect_list(entry)).alias("_fs"))
         .select("job_id", F.explode(F.aggregate("_fs", start, place, lambda s: s["out"])).alias("_o"))
         .select("job_id", "_o.ord", "_o.name", "_o.unique_name")
     )
-    return free.unionByName(plain).unionByName(mixed)
+    return alone.unionByName(mixed)
 
 
 MAX_STEM = 80
