@@ -454,10 +454,9 @@ def search(pages, query, limit=MAX_MATCHES):
         ),
         lambda s: F.slice(s["out"], F.lit(1), F.lit(limit)),
     )
-    hits = (
-        pages.select("doc_id", "page_no", parts.alias("_parts"))
-        .filter(F.size("_parts") > 1)
-        .select("doc_id", "page_no", F.explode(found).alias("char_pos"))
+    # Pages without a match explode to nothing; a filter would fold each text twice.
+    hits = pages.select("doc_id", "page_no", parts.alias("_parts")).select(
+        "doc_id", "page_no", F.explode(found).alias("char_pos")
     )
     w = W.partitionBy("doc_id").orderBy("page_no", "char_pos")
     return (
@@ -512,9 +511,9 @@ def unchanged_output(source_pages, output_pages):
     page adds nothing, so pages are collapsed first and joined after."""
 
     def whole(pages, name):
-        piece = T.collapse(F.col("text"))
-        return pages.groupBy("doc_id").agg(
-            _ordered_text_nonnull(F.when(piece != "", piece), F.col("page_no"), " ").alias(name)
+        pieces = pages.select("doc_id", "page_no", T.collapse(F.col("text")).alias("_p"))
+        return pieces.groupBy("doc_id").agg(
+            _ordered_text_nonnull(F.nullif(F.col("_p"), F.lit("")), F.col("page_no"), " ").alias(name)
         )
 
     return whole(source_pages, "_a").join(whole(output_pages, "_b"), "doc_id").select(
