@@ -27,3 +27,15 @@ def op2_best_fit_packing(spark, sf_dir):
     from quire.llm.packing import pack_documents
 
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+@_query
+def op7_byte_bpe_round_trip(spark, sf_dir):
+    """Byte-level BPE ids of every document and the bytes they decode to, as digests."""
+    import public_tokenizers
+
+    from quire.llm.bpe import round_trip_digests
+
+    return round_trip_digests(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
