@@ -39,3 +39,24 @@ def op7_byte_bpe_round_trip(spark, sf_dir):
     return round_trip_digests(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )
+
+
+@_query
+def op8_exact_dedup(spark, sf_dir):
+    """Which document of each group of equal texts stays."""
+    from quire.llm.exact import deduplicate
+
+    rows = deduplicate(spark, f"{sf_dir}/documents.parquet")
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+ORACLES["op8_exact_dedup"] = r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS plain
+  FROM documents
+), r AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY plain ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size
+  FROM t
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM r
+"""
