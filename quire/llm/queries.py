@@ -60,3 +60,13 @@ WITH t AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM r
 """
+
+
+@_query
+def op6_quality_rules(spark, sf_dir):
+    """Line-first cleaning: base counts and the verdict on every document."""
+    from quire.llm.quality import judge_documents
+
+    return judge_documents(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "n_kept_words"
+    )
