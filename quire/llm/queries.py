@@ -70,3 +70,11 @@ def op6_quality_rules(spark, sf_dir):
     return judge_documents(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "n_kept_words"
     )
+
+
+@_query
+def op4_repeated_passages(spark, sf_dir):
+    """Documents without the words of any 35-word window that starts twice."""
+    from quire.llm.substring import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
