@@ -78,3 +78,13 @@ def op4_repeated_passages(spark, sf_dir):
     from quire.llm.substring import remove_repeats
 
     return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+@_query
+def op1_string_kernel_toxicity(spark, sf_dir):
+    """Toxicity score of every document, learnt from labels that are not held out."""
+    from quire.llm.toxicity import held_out, score_texts, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"))
+    return score_texts(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
