@@ -88,3 +88,11 @@ def op1_string_kernel_toxicity(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     model = train(docs, _table(spark, sf_dir, "labels"))
     return score_texts(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@_query
+def op5_ngram_jaccard_join(spark, sf_dir):
+    """Components of documents whose five-word shingles have a Jaccard similarity of 0.75 or more."""
+    from quire.llm.ngram_join import link_documents
+
+    return link_documents(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_equal")
