@@ -96,3 +96,11 @@ def op5_ngram_jaccard_join(spark, sf_dir):
     from quire.llm.ngram_join import link_documents
 
     return link_documents(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_equal")
+
+
+@_query
+def op9_wrapper_induction(spark, sf_dir):
+    """Main text of every page."""
+    from quire.llm.html import extract
+
+    return extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
