@@ -104,3 +104,13 @@ def op9_wrapper_induction(spark, sf_dir):
     from quire.llm.html import extract
 
     return extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@_query
+def op10_bootstrapped_pii(spark, sf_dir):
+    """Personal data of every document: counts and spans."""
+    from quire.llm.pii import KINDS, find, written
+
+    found = find(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
