@@ -17,11 +17,13 @@ they are, and a candidate never overlaps one. Texts are read twice (spans, word
 the graph holds only words beside entities and candidates. Counts of common words are
 added up before they move; a busy pattern or instance is only ever summed.
 
-Positions are code points, ends exclusive. Nulls: a null text is empty and has no spans; a
+Positions are code points, ends exclusive; they are running sums in a text, so a text
+of many matches costs no more than their number. Nulls: a null text is empty and has no spans; a
 null ``doc_id`` is kept; repeated rows are rows of their own; extra columns are ignored;
 an empty table gives no rows.
 """
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import stored
@@ -38,23 +40,22 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 CANDIDATE = rf"(?<![^{_S}])[^{_S}0-9@]*+[0-9@][^{_S}]*+"
-SPAN = "struct<start:int,end:int,text:string>"
+LAST_WORD = rf"(?<![^{_S}])([^{_S}]++)[{_S}]*+$"
+MATCH = "struct<kind:int,gap:int,text:string,last_word:string>"
+#: Shorter tokens are no identifiers.
+LEAST = 5
 
 
-def located(text, pattern):
-    """Matches of ``pattern`` with their code point positions, as an array of ``SPAN``."""
+def _matches(text, pattern, number):
+    """Matches of ``pattern`` in order, with the length of the gap before each and its last word."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("text")))
-
-    def add(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["text"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text")))
-        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.aggregate(steps, begin, add, lambda acc: acc["out"])
+    return F.zip_with(
+        F.slice(gaps, 1, F.size(found)), found,
+        lambda g, m: F.struct(
+            F.lit(number).alias("kind"), F.length(g).alias("gap"), m.alias("text"), F.regexp_extract(g, LAST_WORD, 1).alias("last_word")
+        ),
+    )
 
 
 def _digits(text):
@@ -86,48 +87,49 @@ def _valid(kind, text):
     return F.lit(True)
 
 
-def _before(text, start):
-    """Lower-case hash of the word before a position, 0 at the start of the text."""
-    ahead = F.substring(text, F.greatest(F.lit(1), start - 199), F.least(F.lit(200), start))
-    word = F.regexp_extract(ahead, rf"([^{_S}]+)[{_S}]*$", 1)
-    return F.when(word == "", F.lit(0).cast("long")).otherwise(F.xxhash64(F.lower(word)))
-
-
-def spans_of(docs):
-    """``doc_id``, ``seeds`` and ``candidates`` (start, end, kind, instance, pattern) of every text."""
-    none = F.array().cast(f"array<{SPAN}>")
-    text = F.col("text")
-    marks = {"email": text.contains("@"), "phone": text.contains("+")}
-    digit = F.col("has_digit")
+def matches_of(docs):
+    """``doc_id`` and all matches of every text, seeds' kinds and candidates (kind -1), row by row."""
+    none = F.array().cast(f"array<{MATCH}>")
+    text, digit = F.col("text"), F.col("has_digit")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("has_digit", text.rlike("[0-9]"))
-    for kind in KINDS:
-        condition = marks["email"] if kind == "email" else digit & marks.get(kind, F.lit(True))
-        base = base.withColumn(kind, F.when(condition, located(text, PATTERNS[kind])).otherwise(none))
-    base = base.withColumn("token", F.when(digit | marks["email"], located(text, CANDIDATE)).otherwise(none))
-
-    def named(kind, number):
-        good = F.filter(F.col(kind), lambda x: _valid(kind, x["text"]))
-        return F.transform(
-            good,
-            lambda x: F.struct(
-                x["start"].alias("start"), x["end"].alias("end"), F.lit(number).alias("kind"),
-                F.xxhash64(F.lower(x["text"])).alias("instance"), _before(text, x["start"]).alias("pattern"),
-            ),
-        )
+    at = text.contains("@")
+    needs = {"email": at, "ip": digit, "card": digit, "phone": digit & text.contains("+")}
+    parts = [F.when(needs[k], _matches(text, PATTERNS[k], i)).otherwise(none) for i, k in enumerate(KINDS)]
+    parts.append(F.when(digit | at, _matches(text, CANDIDATE, -1)).otherwise(none))
+    return base.select("doc_id", F.concat(*parts).alias("matches"))
 
-    base = base.withColumn("seeds", F.concat(*[named(k, i) for i, k in enumerate(KINDS)]))
-    free = F.filter("token", lambda t: ~F.exists("seeds", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
 
-    def trimmed(t):
-        short = F.regexp_replace(t["text"], r"[.,;:!?\"')\]}>]+$", "")
-        return F.struct(
-            t["start"].alias("start"), (t["start"] + F.length(short)).alias("end"), F.lit(-1).alias("kind"),
-            F.xxhash64(F.lower(short)).alias("instance"), _before(text, t["start"]).alias("pattern"),
-        )
+def spans_of(rows):
+    """``uid, kind, start, end, instance, pattern`` of the valid seeds and free candidates in ``rows``.
 
-    base = base.withColumn("candidates", F.filter(F.transform(free, trimmed), lambda t: t["end"] > t["start"]))
-    return base.select("doc_id", "seeds", "candidates")
+    Positions are running sums over the matches of one kind in one text.
+    """
+    one = rows.select("uid", F.posexplode("matches").alias("at", "m")).select("uid", "at", "m.*")
+    order = W.partitionBy("uid", "kind").orderBy("at")
+    size = F.length("text")
+    one = one.withColumn("end", F.sum(F.col("gap") + size).over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    # without a word in the gap the word before is the end of the match before
+    last = F.when(F.col("last_word") == "", F.regexp_extract(F.lag("text").over(order), LAST_WORD, 1)).otherwise(F.col("last_word"))
+    one = one.withColumn("last_word", F.coalesce(last, F.lit(""))).withColumn("start", F.col("end") - size)
+    valid = F.when(F.col("kind") == -1, F.length("text") >= LEAST)
+    for i, kind in enumerate(KINDS):
+        valid = valid.when(F.col("kind") == i, _valid(kind, F.col("text")))
+    one = one.filter(valid)
+    # a candidate is free if no seed begins in it and none before reaches into it
+    seed_end = F.when(F.col("kind") >= 0, F.col("end"))
+    seed_start = F.when(F.col("kind") >= 0, F.col("start"))
+    here = W.partitionBy("uid").orderBy("start")
+    free = (F.coalesce(F.max(seed_end).over(here.rangeBetween(W.unboundedPreceding, 0)), F.lit(0)) <= F.col("start")) & (
+        F.coalesce(F.min(seed_start).over(here.rangeBetween(0, W.unboundedFollowing)), F.lit(2**31 - 1)) >= F.col("end")
+    )
+    one = one.withColumn("free", free).filter("kind >= 0 OR free")
+    short = F.when(F.col("kind") >= 0, F.col("text")).otherwise(F.regexp_replace("text", r"[.,;:!?\"')\]}>]+$", ""))
+    word = F.lower("last_word")
+    return one.withColumn("text", short).filter(F.length("text") > 0).select(
+        "uid", "kind", "start", (F.col("start") + F.length("text")).alias("end"), F.xxhash64(F.lower("text")).alias("instance"),
+        F.when(word == "", F.lit(0).cast("long")).otherwise(F.xxhash64(word)).alias("pattern"),
+    )
 
 
 def word_counts(docs, words):
@@ -139,8 +141,7 @@ def word_counts(docs, words):
 
 def bootstrap(spans, docs, support=3, confident=0.6, rounds=3):
     """``instance, kind`` of the candidates that confident patterns vouch for."""
-    seeds = spans.select(F.explode("seeds").alias("s")).select("s.kind", "s.instance", "s.pattern")
-    tokens = spans.select(F.explode("candidates").alias("s")).select("s.instance", "s.pattern")
+    seeds, tokens = spans.filter("kind >= 0"), spans.filter("kind < 0")
     edges = seeds.groupBy("kind", "instance", "pattern").agg(F.count("*").alias("n"))
     # only patterns with enough different seeds can ever vouch for something
     words = edges.filter("pattern != 0").groupBy("kind", "pattern").agg(F.count("*").alias("k")).filter(F.col("k") >= support).select("pattern").distinct()
@@ -171,17 +172,16 @@ def bootstrap(spans, docs, support=3, confident=0.6, rounds=3):
 
 def find(docs, support=3, confident=0.6, rounds=3):
     """``doc_id``, ``base`` and ``spans``: arrays of (start, kind number, end), in order."""
-    spans = stored(spans_of(docs).withColumn("uid", F.monotonically_increasing_id()), "pii-spans")
+    rows = stored(matches_of(docs).withColumn("uid", F.monotonically_increasing_id()), "pii-matches")
+    spans = stored(spans_of(rows.select("uid", "matches")), "pii-spans")
     known = bootstrap(spans, docs, support, confident, rounds)
-    more = (
-        spans.select("uid", F.explode("candidates").alias("s")).select("uid", "s.start", "s.end", "s.instance")
-        .join(known, "instance").groupBy("uid").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
-    )
-    both = spans.select("uid", "doc_id", "seeds").join(more, "uid", "left")
-    base = F.array_sort(F.transform("seeds", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    both = both.select("doc_id", base.alias("base"), "more")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return both.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
+    more = spans.filter("kind < 0").drop("kind").join(known, "instance").select("uid", "kind", "start", "end", F.lit(False).alias("seed"))
+    every = spans.filter("kind >= 0").select("uid", "kind", "start", "end", F.lit(True).alias("seed")).unionByName(more)
+    every = every.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "seed"))).alias("all"))
+    short = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,seed:boolean>>")
+    both = rows.select("uid", "doc_id").join(every, "uid", "left").withColumn("all", F.coalesce("all", none))
+    return both.select("doc_id", F.transform(F.filter("all", lambda s: s["seed"]), short).alias("base"), F.transform("all", short).alias("spans"))
 
 
 def written(spans):

@@ -69,7 +69,7 @@ def test_mask(spark):
 
 
 def test_edge_rows(spark):
-    rows = [(1, None), (2, ""), (None, "a@b.co"), (4, "1.2.3.4"), (4, "1.2.3.4"), (5, "9" * 300_000), (6, "1 " * 100_000), (7, "a" * 300_000 + "@b.co"), (8, "+1" + "-" * 200_000)]
+    rows = [(1, None), (2, ""), (None, "a@b.co"), (4, "1.2.3.4"), (4, "1.2.3.4"), (5, "9" * 6_000), (6, "1 " * 50_000), (7, "a" * 6_000 + "@b.co"), (8, "+1" + "-" * 100_000)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, spans string, seeds int")
     result = find(df).select("doc_id", written("base").alias("b")).collect()
     assert sorted((str(r["doc_id"]), r["b"]) for r in result) == sorted((str(d), base(t)) for d, t in rows)
