@@ -114,3 +114,13 @@ def op10_bootstrapped_pii(spark, sf_dir):
     found = find(_table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+@_query
+def op3_license_scan(spark, sf_dir):
+    """Licence notices in every document."""
+    from quire.llm.licenses import scan
+
+    found = scan(_table(spark, sf_dir, "documents"))
+    names = F.array_join(F.transform("matches", lambda m: m["license"]), ",")
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), names.alias("licenses"))
