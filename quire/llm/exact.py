@@ -126,3 +126,17 @@ def deduplicate(spark, path, files_per_batch=8, digest=sha256_digest):
         "row_id", "doc_id", F.when(rank != LAST, rank).alias("keep_id"), F.col("n_rows").alias("group_size"),
         (F.col("row_id") == F.col("best.row_id")).alias("kept"), "digest",
     )
+
+
+def distinct_rows(docs, files_per_batch=8):
+    """``docs`` without the rows that :func:`deduplicate` drops; same columns.
+
+    The rows are written to the shared folder first, because a stream reads files.
+    """
+    spark = docs.sparkSession
+    path = new_folder(spark, "exact-input")
+    docs.write.parquet(path)
+    kept = deduplicate(spark, path, files_per_batch).filter("kept").select(F.col("row_id").alias("_row_id"))
+    rows = spark.read.schema(docs.schema).parquet(path)
+    place = F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("_row_id")
+    return rows.select("*", place).join(kept, "_row_id", "left_semi").select(*docs.columns)

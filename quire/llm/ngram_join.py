@@ -15,10 +15,11 @@ larger set.
    order of rarity, as many as it could lose plus one go into lists, and linked sets meet
    in one. The boundary size is the one with the smallest cost, subsets written against
    list entries met.
-4. *Check.* A list first compares its members with one hub, exactly, on whole sets. Then
-   only lists whose members lie in different components compare across components. So a
-   list of thousands of near copies costs one comparison per member, and no link between
-   components is lost.
+4. *Check.* A list first compares its members with one hub, exactly, on whole sets; some
+   turns with other hubs follow, for members that are not in the hub's component yet. Then
+   every list whose members still lie in different components compares all of them across
+   components. So a list of thousands of near copies costs a few comparisons per member,
+   and no link between components is lost.
 
 Sets travel as packed hashes by slices of rows, never one row per n-gram; hot values are
 counted per slice before the shuffle.
@@ -45,9 +46,9 @@ LIGHT_MOST = 12
 EXTRA = 0.15
 
 
-def placed(docs, rows):
-    """``slice, row, doc_id, text``: the place of each row, the same at each read."""
-    columns = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+def placed(docs, rows, *columns):
+    """``slice, row, doc_id, text`` (or ``columns``): the place of each row, the same at each read."""
+    columns = columns or (F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     place = (
         F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows)).alias("slice"),
         (F.col("_metadata.row_index") % rows).cast("int").alias("row"),
@@ -71,10 +72,9 @@ def shingle_sets(texts, n):
         if not len(part) and b.counts[i]:
             # fewer than n words: the whole sequence, told apart by its length
             words = b.hash[b.first[i] : b.first[i + 1]]
-            total = np.uint64(len(words))
+            part = np.array([len(words)], np.uint64)
             for w in words:
-                total = mix(np.array([total * np.uint64(31) + w]))[0]
-            part = np.array([total])
+                part = mix(part * np.uint64(31) + w)
         out.append(np.unique(part))
     return out
 
@@ -280,8 +280,28 @@ def components(edges, name="components"):
             return labels
 
 
-def link_documents(docs, n=5, percent=75, rows=128):
-    """``doc_id, n_shingles, component_id`` and the number of rows with an equal set, ``n_equal``."""
+def _mixed(told):
+    """Entries of lists whose members lie in different components."""
+    lists = told.groupBy("subset", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
+    return told.join(lists.select("subset", "key"), ["subset", "key"], "left_semi")
+
+
+def _relabelled(told, links):
+    """Entries with the labels that ``links`` between their sets lead to."""
+    of = told.select("set_id", "label").distinct()
+    edges = links.join(of.select(F.col("set_id").alias("a"), F.col("label").alias("x")), "a").join(
+        of.select(F.col("set_id").alias("b"), F.col("label").alias("y")), "b"
+    )
+    moved = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    moved = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return told.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+
+
+def link_documents(docs, n=5, percent=75, rows=128, hub_turns=5):
+    """``slice, row, doc_id, n_shingles, component_id, n_equal, stays`` of every row.
+
+    ``n_equal`` counts the rows with an equal set; ``stays`` marks one row of a component.
+    """
     spark = docs.sparkSession
     buckets = 2 * partitions(spark)
     docs = placed(docs, rows)
@@ -290,9 +310,9 @@ def link_documents(docs, n=5, percent=75, rows=128):
     found = _found_elsewhere(first.filter(F.col("keys").isNotNull()).select("slice", "bucket", "keys", "rows"), rows)
     # one row stands for all rows with an equal set
     classes = members.filter(F.col("print").isNotNull()).groupBy("print").agg(
-        F.min(F.struct("slice", "row")).alias("at"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("least_id"), F.count("*").alias("n_equal")
+        F.min(F.struct("slice", "row")).alias("at"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "slice", "row")).alias("best"), F.count("*").alias("n_equal")
     )
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("set_id"), "print", "at.slice", "at.row", "least_id", "n_equal"), "join-classes")
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("set_id"), "print", "at.slice", "at.row", "best", "n_equal"), "join-classes")
     alive = members.select("slice", "row", "need").join(found, ["slice", "row"]).filter(F.col("found") >= F.col("need"))
     alive = classes.select("set_id", "slice", "row").join(alive.select("slice", "row"), ["slice", "row"])
 
@@ -310,14 +330,19 @@ def link_documents(docs, n=5, percent=75, rows=128):
         listed.filter(light).select("set_id", "size", light.alias("light"), F.lit(True).alias("subset"), F.explode("subset_keys").alias("key"))
     )
     entries = stored(entries, "join-entries")
-    hubs = entries.groupBy("subset", "key").agg(F.min("set_id").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    pairs = entries.join(hubs, ["subset", "key"]).filter("set_id != b").select(F.col("set_id").alias("a"), "b").distinct()
-    hub_links = stored(_verified(pairs, sets, percent), "join-links")
-    labels = components(hub_links)
-    told = entries.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    told = stored(told, "join-told")
-    mixed = told.groupBy("subset", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("subset", "key")
-    told = told.join(mixed, ["subset", "key"], "left_semi")
+    links = None
+    told = entries.withColumn("label", F.col("set_id"))
+    for turn in range(hub_turns):
+        mixed = _mixed(told)
+        hubs = mixed.groupBy("subset", "key").agg(F.min(F.struct(F.xxhash64("set_id", F.lit(turn)), F.struct("set_id", "label"))).alias("hub"))
+        hubs = hubs.select("subset", "key", F.col("hub.col2.set_id").alias("b"), F.col("hub.col2.label").alias("label_b"))
+        pairs = mixed.join(hubs, ["subset", "key"]).filter("label != label_b").select(F.col("set_id").alias("a"), "b").distinct()
+        new = stored(_verified(pairs, sets, percent), "join-links")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        told = stored(_relabelled(told, new), "join-told")
+    told = _mixed(told)
     left = told.select("subset", "key", F.col("set_id").alias("a"), F.col("size").alias("size_a"), F.col("light").alias("light_a"), F.col("label").alias("label_a"))
     right = told.select("subset", "key", F.col("set_id").alias("b"), F.col("size").alias("size_b"), F.col("light").alias("light_b"), F.col("label").alias("label_b"))
     across = (
@@ -329,11 +354,25 @@ def link_documents(docs, n=5, percent=75, rows=128):
         .select("a", "b")
         .distinct()
     )
-    links = hub_links.unionByName(_verified(across, sets, percent))
-    labels = components(links)
+    rest = stored(_verified(across, sets, percent), "join-links")
+    labels = components(rest if links is None else links.unionByName(rest))
     named = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    names = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    named = named.join(names, "label").select("print", "n_equal", F.when(F.col("component_id") != LAST, F.col("component_id")).alias("component_id"))
-    linked = members.filter(F.col("print").isNotNull()).join(named, "print").select("doc_id", "n_shingles", "component_id", "n_equal")
-    empty = members.filter(F.col("print").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_equal"))
+    names = named.groupBy("label").agg(F.min("best").alias("best_of_all"))
+    named = named.join(names, "label").select("print", "n_equal", "best_of_all")
+    best = F.col("best_of_all")
+    stays = (best["slice"] == F.col("slice")) & (best["row"] == F.col("row"))
+    name = F.when(best["rank"] != LAST, best["rank"]).alias("component_id")
+    linked = members.filter(F.col("print").isNotNull()).join(named, "print")
+    linked = linked.select("slice", "row", "doc_id", "n_shingles", name, "n_equal", stays.alias("stays"))
+    empty = members.filter(F.col("print").isNull()).select(
+        "slice", "row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_equal"), F.lit(True).alias("stays")
+    )
     return linked.unionByName(empty)
+
+
+def distinct_documents(docs, n=5, percent=75, rows=128):
+    """``docs`` with one row of each component (smallest ``doc_id``); same columns."""
+    docs = stored(docs, "join-documents")
+    gone = link_documents(docs, n, percent, rows).filter("NOT stays").select(F.col("slice").alias("_slice"), F.col("row").alias("_row"))
+    every = placed(docs, rows, *docs.columns).toDF("_slice", "_row", *docs.columns)
+    return every.join(gone, ["_slice", "_row"], "left_anti").select(*docs.columns)

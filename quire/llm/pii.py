@@ -97,7 +97,7 @@ def matches_of(docs):
     needs = {"email": at, "ip": digit, "card": digit, "phone": digit & text.contains("+")}
     parts = [F.when(needs[k], _matches(text, PATTERNS[k], i)).otherwise(none) for i, k in enumerate(KINDS)]
     parts.append(F.when(digit | at, _matches(text, CANDIDATE, -1)).otherwise(none))
-    return base.select("doc_id", F.concat(*parts).alias("matches"))
+    return base.select("doc_id", F.xxhash64(text).alias("text_hash"), F.concat(*parts).alias("matches"))
 
 
 def spans_of(rows):
@@ -171,7 +171,7 @@ def bootstrap(spans, docs, support=3, confident=0.6, rounds=3):
 
 
 def find(docs, support=3, confident=0.6, rounds=3):
-    """``doc_id``, ``base`` and ``spans``: arrays of (start, kind number, end), in order."""
+    """``doc_id``, ``text_hash``, ``base`` and ``spans``: arrays of (start, kind number, end), in order."""
     rows = stored(matches_of(docs).withColumn("uid", F.monotonically_increasing_id()), "pii-matches")
     spans = stored(spans_of(rows.select("uid", "matches")), "pii-spans")
     known = bootstrap(spans, docs, support, confident, rounds)
@@ -180,8 +180,8 @@ def find(docs, support=3, confident=0.6, rounds=3):
     every = every.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "seed"))).alias("all"))
     short = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,seed:boolean>>")
-    both = rows.select("uid", "doc_id").join(every, "uid", "left").withColumn("all", F.coalesce("all", none))
-    return both.select("doc_id", F.transform(F.filter("all", lambda s: s["seed"]), short).alias("base"), F.transform("all", short).alias("spans"))
+    both = rows.select("uid", "doc_id", "text_hash").join(every, "uid", "left").withColumn("all", F.coalesce("all", none))
+    return both.select("doc_id", "text_hash", F.transform(F.filter("all", lambda s: s["seed"]), short).alias("base"), F.transform("all", short).alias("spans"))
 
 
 def written(spans):
@@ -190,15 +190,17 @@ def written(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def masked(docs, found):
-    """``docs`` with every span of ``found`` (joined by ``doc_id``) replaced by ``[KIND]``.
+def masked(docs, **options):
+    """``docs`` with every span of every text replaced by ``[KIND]``; same columns.
 
-    Every copy of a text has the same spans, so rows that repeat a ``doc_id`` with the same
-    text get the same result.
+    Rows meet their spans by id and hash of the text, so repeated rows are masked alike.
     """
-    one = found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), "spans")
-    joined = docs.join(one, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn("text", mask_text(F.col("text"), F.col("spans"))).drop("_id", "spans")
+    docs = stored(docs, "pii-documents")
+    found = find(docs, **options).filter(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("_spans"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_spans")
+    same = docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"])
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(mask_text(F.col("text"), F.col("_spans")))
+    return docs.join(found, same, "left").withColumn("text", text).select(*docs.columns)
 
 
 def mask_text(text, spans):

@@ -391,20 +391,22 @@ def training_sample(docs, labels, per_class=2500):
 
 def score_texts(docs, model, threshold=THRESHOLD, keep=()):
     """``docs`` columns ``keep`` with ``score`` and ``predicted``."""
-    columns = [F.col(c) for c in keep]
-    frame = docs.select(*columns, F.col("text").cast("string").alias("_text"))
-    schema = frame.drop("_text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    frame = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string").alias("text"))
+    at = frame.columns.index("text")
+    shown = frame if "text" in keep else frame.drop("text")
+    schema = shown.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
 
     def run(batches):
         featurizer = Featurizer(model.landmarks) if model else None
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
             score = np.zeros(len(texts))
             for a, b in groups_of([len(t) for t in texts], 1 << 21):
                 if model:
                     score[a:b] = model.score(texts[a:b], featurizer)
             predicted = pa.array((score >= threshold).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), predicted], schema.names)
+            columns = batch.columns if len(schema) == len(batch.columns) + 2 else batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(score), predicted], schema.names)
 
     return frame.mapInArrow(run, schema)
 
