@@ -163,6 +163,8 @@ def _locate(words, stretches, window):
     for text, found in zip(texts, stretches):
         for a, z in found:
             shard.add_word(text[a : z + window], z + window - a)
+    if not len(shard):  # repeated seeds, but no repeated window
+        return [np.zeros(len(text), bool) for text in texts]
     shard.make_automaton()
     covered = []
     for text in texts:

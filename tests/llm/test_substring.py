@@ -60,6 +60,12 @@ def test_planted_passages(spark, seed):
     assert got == want_of(rows)
 
 
+def test_seeds_without_windows(spark):
+    shared = " ".join(f"s{i}" for i in range(20))
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(30)) + " " + shared + " " + " ".join(f"x{i}_{k}" for k in range(30))) for i in range(4)]
+    assert rows_of(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == want_of(rows)
+
+
 def test_edge_rows(spark):
     words = " ".join(f"w{i}" for i in range(40))
     long = " ".join(f"v{i % 70_000}" for i in range(100_000))
