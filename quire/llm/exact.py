@@ -22,7 +22,11 @@ from pyspark.sql import types as T
 
 from quire.llm.common import new_folder, stored
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; no space is set aside in advance, since partitions may be many and small.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Deleted before texts are compared.
 BLANK = r"[\x20\x09-\x0D]+"
 LAST = 2**63 - 1
@@ -75,9 +79,9 @@ def stream_states(spark, path, files_per_batch=8, digest=sha256_digest):
     folder = new_folder(spark, "exact-dedup")
     source = spark.readStream.schema(_schema(spark, path)).option("maxFilesPerTrigger", files_per_batch)
     state = _rows(source, _pattern(path), digest).groupBy("digest").agg(F.count("*").alias("n_rows"), F.min(_best()).alias("best"))
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -89,7 +93,8 @@ def stream_states(spark, path, files_per_batch=8, digest=sha256_digest):
         query.awaitTermination()
         batches = query.lastProgress is not None and query.lastProgress["batchId"] >= 0
     finally:
-        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if not batches:
         return spark.createDataFrame([], state.schema)
     # a digest's state only grows from batch to batch: its largest count is its last

@@ -18,7 +18,8 @@ larger set.
 4. *Check.* A list first compares its members with one hub, exactly, on whole sets; some
    turns with other hubs follow, for members that are not in the hub's component yet. Then
    every list whose members still lie in different components compares all of them across
-   components. So a list of thousands of near copies costs a few comparisons per member,
+   components; a bit map of each set rules out pairs that differ in too many hashes (a
+   bound, so it rules out no link). So a list of thousands of near copies costs a few comparisons per member,
    and no link between components is lost.
 
 Sets travel as packed hashes by slices of rows, never one row per n-gram; hot values are
@@ -195,13 +196,15 @@ def _subset_keys(values, percent):
     return out
 
 
-_LISTED = "slice long, row int, size long, cost long, list_keys array<long>, subset_keys array<long>"
+_LISTED = "slice long, row int, size long, cost long, list_keys array<long>, subset_keys array<long>, bits array<long>"
+#: Bits of the map of a set, a power of two.
+MAP = 1024
 
 
 def _listed(sets, frequencies, percent):
     """Sets with enough shared hashes, with their list keys (rarest first) and subset keys."""
     schema = pa.schema([("slice", pa.int64()), ("row", pa.int32()), ("size", pa.int64()), ("cost", pa.int64()),
-                        ("list_keys", pa.list_(pa.int64())), ("subset_keys", pa.list_(pa.int64()))])
+                        ("list_keys", pa.list_(pa.int64())), ("subset_keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(left, right):
         known = np.frombuffer(b"".join(right.column("keys").to_pylist()), np.uint64)
@@ -222,7 +225,10 @@ def _listed(sets, frequencies, percent):
             rare = rare[count[rare] > 1]
             keys = values[rare].view(np.int64).tolist()
             subsets = _subset_keys(values, percent) if len(values) <= LIGHT_MOST else None
-            out.append((slice_id, row, len(values), int(count[rare].sum()), keys, subsets))
+            bits = np.zeros(MAP, np.uint8)
+            bits[values >> np.uint64(64 - MAP.bit_length() + 1)] = 1
+            bits = np.packbits(bits).view(np.int64).tolist()
+            out.append((slice_id, row, len(values), int(count[rare].sum()), keys, subsets, bits))
         return _rows(out, schema)
 
     return sets.groupBy("slice").cogroup(frequencies.groupBy("slice")).applyInArrow(run, _LISTED)
@@ -297,7 +303,7 @@ def _relabelled(told, links):
     return told.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
 
 
-def link_documents(docs, n=5, percent=75, rows=128, hub_turns=5):
+def link_documents(docs, n=5, percent=75, rows=128, hub_turns=3):
     """``slice, row, doc_id, n_shingles, component_id, n_equal, stays`` of every row.
 
     ``n_equal`` counts the rows with an equal set; ``stays`` marks one row of a component.
@@ -334,23 +340,29 @@ def link_documents(docs, n=5, percent=75, rows=128, hub_turns=5):
     told = entries.withColumn("label", F.col("set_id"))
     for turn in range(hub_turns):
         mixed = _mixed(told)
-        hubs = mixed.groupBy("subset", "key").agg(F.min(F.struct(F.xxhash64("set_id", F.lit(turn)), F.struct("set_id", "label"))).alias("hub"))
+        # first one hub for all lists of a group, then another one for each list
+        order = F.xxhash64("set_id", F.lit(turn), "key") if turn else F.col("set_id")
+        hubs = mixed.groupBy("subset", "key").agg(F.min(F.struct(order, F.struct("set_id", "label"))).alias("hub"))
         hubs = hubs.select("subset", "key", F.col("hub.col2.set_id").alias("b"), F.col("hub.col2.label").alias("label_b"))
         pairs = mixed.join(hubs, ["subset", "key"]).filter("label != label_b").select(F.col("set_id").alias("a"), "b").distinct()
         new = stored(_verified(pairs, sets, percent), "join-links")
         if new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
-        told = stored(_relabelled(told, new), "join-told")
-    told = _mixed(told)
-    left = told.select("subset", "key", F.col("set_id").alias("a"), F.col("size").alias("size_a"), F.col("light").alias("light_a"), F.col("label").alias("label_a"))
-    right = told.select("subset", "key", F.col("set_id").alias("b"), F.col("size").alias("size_b"), F.col("light").alias("light_b"), F.col("label").alias("label_b"))
+        told = stored(_relabelled(mixed, new), "join-told")
+    told = stored(_mixed(told).join(listed.select("set_id", "bits"), "set_id"), "join-told")
+    side = lambda x: told.select("subset", "key", F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "light", "label", "bits")])
+    left, right = side("a"), side("b")
+    # every differing bit stands for a hash that only one of the sets holds
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most_apart = (100 - percent) * (F.col("size_a") + F.col("size_b")) / (100 + percent)
     across = (
         left.join(right, ["subset", "key"])
         .filter("label_a < label_b")
         .filter(f"100 * size_a >= {percent} * size_b AND 100 * size_b >= {percent} * size_a")
         # light sets that link meet by a subset
         .filter("subset OR NOT (light_a AND light_b)")
+        .filter(apart <= most_apart)
         .select("a", "b")
         .distinct()
     )
