@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.catalog import literal_table
 from quire.functions.scale import number_rows
 
-TERMINAL = ["done", "failed"]
+TERMINAL = ["done", "failed", "cancelled"]
 
 
 def latest_state(events):
@@ -33,7 +33,8 @@ def fold_aggregates():
 def fold_result(folded):
     """Job state from the three minima. A finished job ignores a later cancel; a
     cancel before the end is never undone and the later result is refused; a job
-    that had not started is cancelled at once."""
+    that had not started is cancelled at once. A stored ``cancelled`` record ends its
+    job without a result."""
     key = lambda c: F.struct(F.col(f"{c}.ts"), F.col(f"{c}.event_id"))
     ended, ran, cancelled = (F.col(c).isNotNull() for c in ("_end", "_run", "_cancel"))
     finished = ended & (~cancelled | (key("_end") <= key("_cancel")))
@@ -47,8 +48,8 @@ def fold_result(folded):
     return folded.select(
         "job_id",
         status.alias("status"),
-        (cancelled & ~finished).alias("cancel_requested"),
-        F.when(finished, F.col("_end.event_id")).alias("result_event"),
+        ((cancelled & ~finished) | (finished & (F.col("_end.status") == "cancelled"))).alias("cancel_requested"),
+        F.when(finished & (F.col("_end.status") != "cancelled"), F.col("_end.event_id")).alias("result_event"),
     )
 
 

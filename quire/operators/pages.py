@@ -435,14 +435,15 @@ MAX_QUERY_CHARS = 256
 MAX_MATCHES = 2000
 
 
-def search(pages, query, limit=MAX_MATCHES):
-    """Case- and accent-insensitive matches, first ``limit`` per document in
-    document order. Positions are 1-based characters of the page."""
+def search(pages, query, shown=MAX_MATCHES):
+    """All case- and accent-insensitive matches, numbered per document in document
+    order; ``shown`` marks those a viewer lists. Positions are 1-based characters of
+    the page."""
     q = query.strip()
     if not q or len(q) > MAX_QUERY_CHARS:
         raise ValueError("query must have 1 to 256 characters")
     folded = T.fold_python(q)
-    parts = F.split(T.fold_case_accents(F.col("text")), re.escape(folded), limit + 2)
+    parts = F.split(T.fold_case_accents(F.col("text")), re.escape(folded), -1)
     size = F.lit(len(folded))
     state = "struct<p:int,out:array<int>>"
     found = F.aggregate(
@@ -452,7 +453,7 @@ def search(pages, query, limit=MAX_MATCHES):
             (s["p"] + F.length(x) + size).alias("p"),
             F.concat(s["out"], F.array(s["p"] + F.length(x))).alias("out"),
         ),
-        lambda s: F.slice(s["out"], F.lit(1), F.lit(limit)),
+        lambda s: s["out"],
     )
     # Pages without a match explode to nothing; a filter would fold each text twice.
     hits = pages.select("doc_id", "page_no", parts.alias("_parts")).select(
@@ -461,7 +462,7 @@ def search(pages, query, limit=MAX_MATCHES):
     w = W.partitionBy("doc_id").orderBy("page_no", "char_pos")
     return (
         hits.withColumn("match_no", F.row_number().over(w).cast("bigint"))
-        .filter(F.col("match_no") <= limit)
+        .withColumn("shown", F.col("match_no") <= shown)
         .withColumn("char_pos", F.col("char_pos").cast("bigint"))
     )
 

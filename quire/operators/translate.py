@@ -208,9 +208,11 @@ MAX_REPLY_BYTES = 2 * 1024 * 1024
 
 
 def classify_reply(attempts, profile="native"):
-    """ok / retry / fail / oversized for each attempt; ``attempt_no`` from 1."""
+    """ok / retry / fail / oversized for each attempt; ``attempt_no`` from 1. An attempt
+    without a status failed in the network or timed out and is tried again."""
     s = F.col("status_code")
     again = s.isin(RETRY_STATUSES) if profile == "native" else (s == 429) | (s >= 500)
+    again = again | s.isNull()
     return attempts.withColumn(
         "verdict",
         F.when(F.col("body_bytes") > MAX_REPLY_BYTES, "oversized")
@@ -242,14 +244,16 @@ def retry_after_seconds(header, now):
 
 
 def retry_schedule(attempts, profile="native"):
-    """Delay before the next attempt; NULL after the last one."""
+    """Delay before the next attempt; NULL where none follows: after the last one and
+    after any verdict but ``retry``."""
     n = F.col("attempt_no") - 1
     if profile == "web":
         delay = F.pow(F.lit(2.0), n)
     else:
         asked = retry_after_seconds(F.col("retry_after"), F.col("ts"))
         delay = F.least(F.coalesce(asked, F.pow(F.lit(2.0), n) * BASE_DELAY), F.lit(MAX_DELAY))
-    return attempts.withColumn("delay", F.when(F.col("attempt_no") < MAX_ATTEMPTS, delay))
+    judged = classify_reply(attempts, profile).withColumn("delay", F.when(F.col("verdict") == "retry", delay))
+    return judged.select(*attempts.columns, "delay")
 
 
 def atomic_groups(regions, saved, keys=("doc_id", "region_id"), group=("doc_id", "group_id")):

@@ -132,7 +132,7 @@ def job_requirements(jobs, profile="web"):
 def requirement_check(jobs, deps, profile="web"):
     """Missing required parts block, missing optional ones warn, an any-of group
     blocks only when no member is there. ``deps``: dependency, available."""
-    rows = job_requirements(jobs, profile).join(F.broadcast(deps), "dependency", "left")
+    rows = job_requirements(jobs, profile).join(deps, "dependency", "left")
     ok = F.coalesce("available", F.lit(False))
     rows = rows.withColumn("_ok", ok).withColumn(
         "_code", F.when(F.col("dependency").isin(PROVIDERS), "missing_provider").otherwise("missing_dependency")

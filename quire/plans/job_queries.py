@@ -130,12 +130,12 @@ NATIVE_TYPES = [e[0] for e in J.NATIVE_ERRORS] + ["other"]
 @query(
     "j7_classify_errors",
     f"""WITH {values_sql('web', ['t', 'code', 'retryable'], J.ERRORS)}, {values_sql('native', ['t', 'code', 'retryable'], J.NATIVE_ERRORS)},
-e AS (SELECT event_id, ({WEB_TYPES})[event_id % 6 + 1] AS wt, ({NATIVE_TYPES})[event_id % 7 + 1] AS nt FROM events WHERE event_type = 'error')
+e AS (SELECT event_id, ({WEB_TYPES})[event_id % 6 + 1] AS wt, ({NATIVE_TYPES})[event_id % 7 + 1] AS nt FROM events)
 SELECT event_id, 'web' AS profile, coalesce(code, 'task_failed') AS error_code, coalesce(retryable, TRUE) AS retryable FROM e LEFT JOIN web ON t = wt
 UNION ALL SELECT event_id, 'native', coalesce(code, 'task_failed'), coalesce(retryable, TRUE) FROM e LEFT JOIN native ON t = nt""",
 )
 def j7(spark, sf):
-    e = X.table(spark, sf, "events").filter("event_type = 'error'").select("event_id")
+    e = X.table(spark, sf, "events").select("event_id")
 
     def typed(types, profile):
         t = F.element_at(F.array(*[F.lit(x) for x in types]), (F.col("event_id") % len(types) + 1).cast("int"))
@@ -225,7 +225,7 @@ def j12(spark, sf):
         (F.col("user_id") * 10000 + F.dayofmonth("ts") * 100 + F.hour("ts")).alias("job_id"),
         F.date_trunc("hour", ts).alias("created_at"),
     )
-    return SJ.run_available(SJ.stream_expiry(e), "append", "expiry").select("job_id", "records")
+    return SJ.expired_now(SJ.run_available(SJ.stream_expiry(e), "update", "expiry")).select("job_id", "records")
 
 
 @query(

@@ -491,10 +491,10 @@ f AS (SELECT doc_id, page_no, string_split(strip_accents(lower(text)), 'ere') AS
 e AS (SELECT doc_id, page_no, parts, unnest(range(1, len(parts))) AS i FROM f WHERE len(parts) > 1),
 m AS (SELECT doc_id, page_no, 1 + (i - 1) * 3 + length(array_to_string(parts[1:i], '')) AS char_pos FROM e),
 r AS (SELECT doc_id, page_no, char_pos, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, char_pos) AS match_no FROM m),
-matches AS (SELECT * FROM r WHERE match_no <= 2000)"""
+matches AS (SELECT *, match_no <= 2000 AS shown FROM r)"""
 
 
-@query("p22_search", f"WITH {MATCHES} SELECT doc_id, page_no, char_pos, match_no FROM matches")
+@query("p22_search", f"WITH {MATCHES} SELECT doc_id, page_no, char_pos, match_no, shown FROM matches")
 def p22(spark, sf):
     return P.search(X.doc_pages(spark, sf), SEARCH_TERM)
 

@@ -197,8 +197,9 @@ def t7(spark, sf):
     f"""WITH {ATTEMPTS},
 d AS (SELECT *, CASE event_id % 4 WHEN 0 THEN (event_id % 50)::DOUBLE
    WHEN 1 THEN greatest(0, (epoch_us(date_trunc('second', ts + INTERVAL 12 SECONDS)) - epoch_us(ts)) / 1000000.0::DOUBLE) END AS asked FROM attempts)
-SELECT event_id, attempt_no, CASE WHEN attempt_no < 3 THEN least(coalesce(asked, pow(2.0::DOUBLE, attempt_no - 1) * 0.5), 30.0)::DOUBLE END AS native_delay,
-   CASE WHEN attempt_no < 3 THEN pow(2.0::DOUBLE, attempt_no - 1) END AS web_delay FROM d""",
+SELECT event_id, attempt_no, CASE WHEN attempt_no < 3 AND body_bytes <= 2097152 AND status_code IN (408, 425, 429, 500, 502, 503, 504)
+     THEN least(coalesce(asked, pow(2.0::DOUBLE, attempt_no - 1) * 0.5), 30.0)::DOUBLE END AS native_delay,
+   CASE WHEN attempt_no < 3 AND body_bytes <= 2097152 AND (status_code = 429 OR status_code >= 500) THEN pow(2.0::DOUBLE, attempt_no - 1) END AS web_delay FROM d""",
 )
 def t8(spark, sf):
     a = TR.retry_schedule(_attempts(spark, sf), "native").withColumnRenamed("delay", "native_delay")

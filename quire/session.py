@@ -1,7 +1,5 @@
 """Session helpers shared by tests, the bench and batch jobs."""
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -26,14 +24,14 @@ def local_session(cores="*", app="quire", **conf):
 def checkpoint_folder(spark):
     """The shared folder for checkpoints and stream state.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a
-    local test) a fresh temporary folder is made for the session.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a local
+    test) a folder beside the session's warehouse is taken.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="quire-checkpoint-")
+    made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
     spark.conf.set("spark.checkpoint.dir", made)
     return made

@@ -49,19 +49,24 @@ def current_state(emitted):
     return fold_result(last.select("job_id", *[F.col(f"_s.{c}").alias(c) for c in cols]))
 
 
-def stream_expiry(records, ttl="24 hours", sweep="1 hour"):
-    """Jobs whose lifetime has passed, emitted once per hourly sweep: a record
-    carries its job's creation time, and the append-mode window of that hour closes
-    when the watermark, ``ttl`` behind the newest creation, has gone past it. The
-    state of an expired job is dropped with its window."""
-    return (
-        records.withWatermark("created_at", ttl)
-        .groupBy(F.window("created_at", sweep).alias("hour"), "job_id")
-        .agg(F.min("created_at").alias("created_at"), F.count(F.lit(1)).alias("records"))
-    )
-
-
-def stream_inbox(arrivals, horizon="30 days"):
-    """Arriving files, each path of a job once. Duplicates are remembered for the
-    horizon in which a batch may stay open."""
-    return arrivals.withWatermark("arrived_at", horizon).dropDuplicatesWithinWatermark(["job_id", "path"])
+def stream_expiry(records):
+    """Creation time and number of records per job, kept live in update mode. There is
+    no watermark: a record that arrives late counts like any other."""
+    return records.groupBy("job_id").agg(F.min("created_at").alias("created_at"), F.count(F.lit(1)).alias("records"))
+
+
+def expired_now(emitted, ttl="24 hours", sweep="1 hour"):
+    """Jobs of :func:`stream_expiry` whose sweep hour ended ``ttl`` or more before the
+    newest creation so far."""
+    last = emitted.groupBy("job_id").agg(F.max_by(F.struct("created_at", "records"), "batch").alias("_l")).select("job_id", "_l.*")
+    newest = emitted.agg(F.max("created_at").alias("_newest"))
+    swept = last.withColumn("_end", F.window("created_at", sweep)["end"])
+    # one row of one value: a bounded broadcast
+    expired = swept.join(F.broadcast(newest), F.col("_end") <= F.col("_newest") - F.expr(f"INTERVAL {ttl}"))
+    return expired.select(*last.columns)
+
+
+def stream_inbox(arrivals):
+    """Arriving files, each path of a job once, however late it or a repeat arrives. A
+    batch is open until it is submitted, so paths are remembered without a horizon."""
+    return arrivals.dropDuplicates(["job_id", "path"])

@@ -104,15 +104,15 @@ def test_stream_fold_equals_batch_fold(spark, slices):
     assert sorted(SJ.current_state(emitted).collect()) == sorted(batch.collect())
 
 
-def test_stream_expiry_emits_each_job_once(spark, tmp_path):
+def test_stream_expiry_counts_late_jobs(spark, tmp_path):
     path = str(tmp_path / "jobs")
-    for day in range(1, 5):
+    for day in (4, 1, 3, 2):  # the newest arrives first
         spark.range(3).select(
             (F.col("id") + day * 10).alias("job_id"), F.lit(f"2024-01-0{day} 10:00:00").cast("timestamp").alias("created_at")
         ).coalesce(1).write.mode("append").parquet(path)
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(path)
-    got = SJ.run_available(SJ.stream_expiry(stream), "append", "test-expiry")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = SJ.expired_now(SJ.run_available(SJ.stream_expiry(stream), "update", "test-expiry"))
     # Newest creation is day 4, 10:00; hours closed 24 h before that are expired.
     assert sorted(r.job_id for r in got.collect()) == [10, 11, 12, 20, 21, 22]
 
@@ -122,9 +122,16 @@ def test_stream_inbox_drops_repeats_over_batches(spark, tmp_path):
     for i in range(3):
         spark.range(4).select(
             F.lit(1).alias("job_id"), F.concat(F.lit("/in/"), ((F.col("id") + i) % 5).cast("string")).alias("path"),
-            F.timestamp_seconds(F.lit(1000 + i)).alias("arrived_at"),
+            F.timestamp_seconds(F.lit(10**9 - i * 10**7)).alias("arrived_at"),
         ).coalesce(1).write.mode("append").parquet(path)
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     got = SJ.run_available(SJ.stream_inbox(stream), "append", "test-inbox")
     assert sorted(r.path for r in got.collect()) == [f"/in/{i}" for i in range(5)]
+
+
+def test_stored_cancelled_record_ends_its_job(spark):
+    rows = [(1, 1, "queued"), (1, 2, "cancelled"), (2, 1, "running"), (2, 2, "cancelled"), (2, 3, "done"), (3, 1, "done"), (3, 2, "cancelled")]
+    e = spark.createDataFrame([(j, i, s, False) for j, i, s in rows], "job_id int, event_id int, status string, cancel boolean")
+    got = {r.job_id: (r.status, r.cancel_requested, r.result_event) for r in J.fold_jobs(e.withColumn("ts", F.timestamp_seconds("event_id"))).collect()}
+    assert got == {1: ("cancelled", True, None), 2: ("cancelled", True, None), 3: ("done", False, 1)}

@@ -145,7 +145,7 @@ def test_search_folds_case_and_accents(spark):
         (1, 1), (1, 5), (1, 9), (3, 1), (3, 4),
     ]
     assert P.search(pages, "(a.b)").count() == 1
-    assert P.search(pages, "ete", limit=2).count() == 2
+    assert [r.shown for r in P.search(pages, "ete", shown=2).orderBy("match_no").collect()][:3] == [True, True, False]
     near = P.match_neighbours(P.search(pages, "ete")).orderBy("match_no").collect()
     assert (near[0].prev_no, near[-1].next_no) == (5, 1)
     with pytest.raises(ValueError):

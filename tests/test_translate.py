@@ -148,3 +148,12 @@ def test_even_sample_takes_first_and_last(spark):
     parts = r.sample.split("\n\n")
     assert r.n_sampled == 80 and parts[0] == "[Page 1] t0" and parts[-1] == "[Page 100] t999"
     assert parts == [f"[Page {p // 10 + 1}] t{p}" for p in (i * 999 // 79 for i in range(80))]
+
+
+def test_network_failures_are_attempts(spark):
+    rows = [(1, None, 1), (2, None, 3), (3, 200, 1), (4, 404, 1), (5, 503, 1)]
+    a = spark.createDataFrame([(*r, 0, None) for r in rows], "id int, status_code int, attempt_no int, body_bytes int, retry_after string").withColumn("ts", F.timestamp_seconds("id"))
+    for profile in ("web", "native"):
+        got = {r.id: r.verdict for r in TR.classify_reply(a, profile).collect()}
+        assert got == {1: "retry", 2: "fail", 3: "ok", 4: "fail", 5: "retry"}
+        assert {r.id for r in TR.retry_schedule(a, profile).filter("delay IS NOT NULL").collect()} == {1, 5}
