@@ -36,12 +36,14 @@ def html_body(html):
 # Named entities that are decoded.
 ENTITIES = {
     "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&middot;": "·",
-    "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&amp;": "&",
+    "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»",
 }
+# Stands for a decoded ampersand while the other entities are decoded.
+HELD = "\ue000"
 
 
 def decode_entities(col):
-    """Named entities of the list above and numeric ones."""
+    """Named entities of the list above and numeric ones, each decoded once."""
 
     def number(part):
         digits = F.regexp_extract(part, r"^([0-9]+|[xX][0-9A-Fa-f]+);", 1)
@@ -53,21 +55,26 @@ def decode_entities(col):
         rest = part.substr(F.length(digits) + 2, F.length(part))
         return F.when(known, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
 
-    parts = F.split(col, "&#")
+    # An ampersand that was written as an entity must not begin another one.
+    out = F.replace(col, F.lit("&amp;"), F.lit(HELD))
+    for entity, char in ENTITIES.items():
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    parts = F.split(out, "&#")
     numeric = F.concat(
         F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), number), "")
     )
-    out = F.when(F.contains(col, F.lit("&#")), numeric).otherwise(col)
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    out = F.when(F.contains(out, F.lit("&#")), numeric).otherwise(out)
+    return F.when(F.contains(col, F.lit("&")), F.replace(out, F.lit(HELD), F.lit("&"))).otherwise(col)
 
 
 # Elements never shown, and tags that start a block.
 DROPPED = r"(?is)<(script|style|noscript|iframe|object|head|svg)\b[^>]*>.*?</\1\s*>"
 COMMENT = r"(?s)<!--.*?-->"
-HIDDEN = r"(?is)<([a-z][a-z0-9]*)\b[^>]*?\shidden(?=[\s>=])[^>]*>.*?</\1\s*>"
-BLOCK_TAG = r"(?i)</?(?:h[1-6]|p|div|section|article|ul|ol|li|blockquote|pre|table|tr|td|th|hr)(?:\s[^>]*)?/?>"
+# What stands between a tag's name and its end; a quoted value may hold anything.
+INSIDE = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')"
+TAG = rf"</?[A-Za-z]{INSIDE}*>|<[!?][^>]*>"
+BLOCK_TAG = rf"(?i)</?(?:h[1-6]|p|div|section|article|ul|ol|li|blockquote|pre|table|tr|td|th|hr)(?:\s{INSIDE}*)?/?>"
+HIDDEN = rf"(?is)<([a-z][a-z0-9]*)\b{INSIDE}*?\shidden(?=[\s>=/]){INSIDE}*>.*?</\1\s*>"
 
 
 def with_visible(pages, html, out="_visible"):
@@ -98,7 +105,7 @@ def _segments(html):
 
 
 def _plain(html):
-    return T.collapse(decode_entities(F.regexp_replace(html, r"<[^>]*>", "")))
+    return T.collapse(decode_entities(F.regexp_replace(html, TAG, "")))
 
 
 def html_blocks(pages, key="page_id", html="html"):
@@ -146,7 +153,7 @@ def _attr(tag, name):
 def _inline_markdown(html):
     """One block's inline HTML as Markdown. Emphasis and links left open are closed
     at the end of the block; a closing tag without an opening one is dropped."""
-    tokens = F.regexp_extract_all(html, F.lit(r"(<[^>]*>|[^<]+)"), 1)
+    tokens = F.regexp_extract_all(html, F.lit(rf"({TAG}|[^<]+|<)"), 1)
 
     def step(s, t):
         name = F.lower(F.regexp_extract(t, r"^<(/?[A-Za-z0-9]+)", 1))
@@ -157,7 +164,7 @@ def _inline_markdown(html):
         strong, em = name.isin("b", "strong"), name.isin("i", "em")
         un_strong, un_em = name.isin("/b", "/strong") & (s["b"] > 0), name.isin("/i", "/em") & (s["i"] > 0)
         piece = (
-            F.when(~t.startswith("<"), shown)
+            F.when(~t.startswith("<") | (t == "<"), shown)
             .when(strong | un_strong, F.lit("**"))
             .when(em | un_em, F.lit("*"))
             .when((name == "code") | ((name == "/code") & (s["code"] > 0)), F.lit("`"))
@@ -243,9 +250,23 @@ def html_to_markdown(pages, key="page_id", html="html"):
         grown = F.when(tag == "tr", F.concat(rows, F.array(empty))).when(
             tag.isin("td", "th") & (F.size(rows) > 0),
             F.concat(F.slice(rows, F.lit(1), F.size(rows) - 1), F.array(F.concat(last, F.array(cell)))),
+        ).when(
+            # Blocks inside a cell add to it.
+            ~tag.rlike("^/?(table|tr)$|^/t[dh]$") & (cell != "") & (F.size(rows) > 0) & (F.size(last) > 0),
+            F.concat(
+                F.slice(rows, F.lit(1), F.size(rows) - 1),
+                F.array(F.concat(F.slice(last, F.lit(1), F.size(last) - 1), F.array(F.trim(F.concat_ws(" ", F.get(last, F.size(last) - 1), cell))))),
+            ),
         ).otherwise(rows)
+        pieces = F.when(s["quote"] > 0, s["held"]).otherwise(s["out"])
+        # An item or heading whose text comes in a block of its own.
+        waiting = F.coalesce(F.get(pieces, F.size(pieces) - 1).rlike(r"^\n+(- |1\. |#{1,6} )$"), F.lit(False))
+        mark = F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), F.coalesce(tag.substr(F.lit(2), F.lit(1)).try_cast("int"), F.lit(0))), F.lit(" "))
         piece = (
-            F.when(tag.rlike("^h[1-6]$"), F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), tag.substr(F.lit(2), F.lit(1)).cast("int")), F.lit(" "), T.strip(text), F.lit("\n\n")))
+            F.when(waiting & tag.rlike("^(p|div|section|article)$"), T.strip(text))
+            .when(tag.rlike("^h[1-6]$") & (T.strip(text) == ""), mark)
+            .when(tag.rlike("^h[1-6]$"), F.concat(mark, T.strip(text), F.lit("\n\n")))
+            .when(tag.rlike("^/h[1-6]$"), F.concat(F.lit("\n\n"), text))
             .when(tag == "hr", F.concat(F.lit("\n\n---\n\n"), text))
             .when(tag == "pre", seg["fenced"])
             .when(tag == "li", F.concat(F.lit("\n"), F.when(in_list == "ol", F.lit("1. ")).otherwise(F.lit("- ")), T.strip(text)))
@@ -272,7 +293,7 @@ def html_to_markdown(pages, key="page_id", html="html"):
         )
 
     def ready(seg):
-        bare = decode_entities(F.regexp_replace(seg["html"], r"<[^>]*>", ""))
+        bare = decode_entities(F.regexp_replace(seg["html"], TAG, ""))
         fence = fence_for(bare)
         return F.struct(
             seg["tag"].alias("tag"),

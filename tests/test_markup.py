@@ -96,3 +96,27 @@ def test_one_sheet_over_many_buckets(spark):
     got = M.expand_sheet(df).orderBy("row").collect()
     assert [r.row for r in got] == list(range(1, 7501))
     assert [int(r.value) for r in got] == sorted(int(r.value) for r in got)
+
+
+def _markdown(spark, *pages):
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    return [r.markdown.strip() for r in M.html_to_markdown(df).orderBy("page_id").collect()]
+
+
+def test_text_that_looks_like_markup_stays(spark):
+    got = _markdown(
+        spark, "<p>1 < 2 and 3 > 2</p>", '<p title="the hidden cost">Visible</p>', '<div class="menu hidden md:block">Shown</div>',
+        "<p hidden>no</p><p>yes</p>", "<p>&#38;amp; &amp;lt; &lt;b&gt;</p>",
+    )
+    assert [g.replace("\\", "") for g in got] == ["1 < 2 and 3 > 2", "Visible", "Shown", "yes", "&amp; &lt; <b>"]
+    rows = M.html_blocks(spark.createDataFrame([(1, "<p>a < b</p><p title='x > y'>c</p>")], "page_id int, html string")).orderBy("ordinal")
+    assert [r.text for r in rows.collect()] == ["a < b", "c"]
+
+
+def test_blocks_inside_blocks(spark):
+    cell, item, head = _markdown(
+        spark, "<table><tr><th>k</th></tr><tr><td><p>cell text</p><p>more</p></td></tr></table>", "<ul><li><p>x</p></li><li>y</li></ul>", "<h2><div>T</div></h2><p>z</p>",
+    )
+    assert "| cell text more |" in cell
+    assert item.split() == ["-", "x", "-", "y"] and "- x" in item
+    assert head.startswith("## T") and head.endswith("z")
