@@ -44,7 +44,7 @@ def h3(spark, sf):
 def _decoded(c):
     for entity, char in M.ENTITIES.items():
         c = f"replace({c}, '{entity}', '{char}')" if char != "'" else f"replace({c}, '{entity}', '''')"
-    return c
+    return f"replace({c}, '&amp;', '&')"
 
 
 def _plain(c):
