@@ -4,8 +4,7 @@ Pages of one host are made by one template. Their trees are aligned by simple tr
 matching; what stays the same from page to page belongs to the template, what varies is a
 slot. Three steps, all of them Spark jobs over every page:
 
-1. *Reference.* Pages of a host fall into layouts (the multiset of tag paths below
-   ``body``, counted once); the reference of a host is the page of its most frequent
+1. *Reference.* Pages of a host fall into layouts (the set of tags they use); the reference of a host is the page of its most frequent
    layout with the smallest id. It is one tree per host, however many pages there are.
 2. *Votes.* Every page is aligned with its host's reference. For each reference node the
    aligned pages report the hash of the node's text, its length and how much of it is
@@ -26,18 +25,21 @@ is empty and gives an empty text; a null url has no host. Repeated rows are page
 own; extra columns are ignored; an empty table gives no rows.
 """
 
+import hashlib
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
-from quire.llm.words import mix
+from quire.llm.common import partitions, stored
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
+NAMED = re.compile(r"\b(?:class|id|role|hidden)\b", re.I)
+OPENED = re.compile(r"<([A-Za-z][^\s/>]*)")
 SPACE = re.compile(r"[ \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,10 +67,12 @@ class Node:
 
     def __init__(self, name, attributes=""):
         self.name, self.items, self.number = name, [], -1
-        found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-        label = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".strip()
-        self.mark = name + "." + found.get("class", "")
-        self.chrome = name in CHROME or "hidden" in found or bool(label and AWAY.search(label))
+        self.mark, self.chrome = name + ".", name in CHROME
+        if NAMED.search(attributes):
+            found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
+            label = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".strip()
+            self.mark += found.get("class", "")
+            self.chrome = self.chrome or "hidden" in found or bool(label and AWAY.search(label))
 
     def children(self):
         return [i for i in self.items if not isinstance(i, str)]
@@ -168,8 +172,8 @@ def align(a, b):
     """Simple tree matching of two trees: reference node number -> page node.
 
     Children of matched nodes are matched in order, so that the number of matched nodes is
-    largest; nodes match by mark. Runs of children with equal marks are matched in order,
-    one by one, which is what the table gives for them.
+    largest; nodes match by mark. Equal marks at both ends are matched first, which never
+    makes the number smaller; a table decides about what lies between.
     """
     pairs = {}
     stack = [(a, b)]
@@ -180,8 +184,16 @@ def align(a, b):
         left, right = x.children(), y.children()
         if not left or not right:
             continue
-        if [c.mark for c in left] == [c.mark for c in right]:
-            stack += zip(left, right)
+        short, k = min(len(left), len(right)), 0
+        while k < short and left[k].mark == right[k].mark:
+            stack.append((left[k], right[k]))
+            k += 1
+        left, right, short, e = left[k:], right[k:], short - k, 0
+        while e < short and left[-1 - e].mark == right[-1 - e].mark:
+            stack.append((left[-1 - e], right[-1 - e]))
+            e += 1
+        left, right = left[: len(left) - e], right[: len(right) - e]
+        if not left or not right:
             continue
         # order-preserving match; a pair weighs the marks its children share
         best = np.zeros((len(left) + 1, len(right) + 1), np.int64)
@@ -209,8 +221,6 @@ def _marks(node, cache):
 
 
 def _common(a, b, cache):
-    from collections import Counter
-
     return 1 + sum((Counter(_marks(a, cache)) & Counter(_marks(b, cache))).values())
 
 
@@ -233,9 +243,7 @@ def _is_menu(node):
 
 
 def _hash(text):
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
-    power = np.multiply.accumulate(np.full(len(raw) + 1, 0x9E3779B97F4A7C15, np.uint64))[: len(raw)]
-    return int(mix(np.array([((raw + np.uint64(1)) * power).sum()], np.uint64)).view(np.int64)[0])
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def host_of(url):
@@ -270,11 +278,12 @@ def _body(root):
 
 
 def _layout(html):
-    return _hash(" ".join(sorted({n.mark for n in nodes_of(_body(parse(html)))})))
+    return _hash(" ".join(sorted({t.lower() for t in OPENED.findall(html)})))
 
 
-def extract(pages, constant=0.9, salt=16):
-    """``page_id, url, text`` of every page."""
+def extract(pages, constant=0.9, salt=None):
+    """``page_id, url, text`` of every page; a host is dealt to ``salt`` parts (as many as partitions)."""
+    salt = salt or partitions(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     hosted = rows.withColumn("host", host_of(F.col("url")))
 
@@ -287,75 +296,57 @@ def extract(pages, constant=0.9, salt=16):
     common = laid.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
     common = common.groupBy("host").agg(F.max(F.struct("n", (-F.col("layout")).alias("less"), "first")).alias("top")).select("host", F.col("top.first").alias("first"))
     reference = hosted.join(common, "host").filter(F.col("page_id") == F.col("first")).groupBy("host").agg(F.min("html").alias("reference"))
-    # one tree per host, repeated `salt` times so that the pages of a busy host spread out
     reference = stored(reference, "wrapper-reference")
-    salted = reference.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     dealt = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salt)).cast("int"))
-    paired = dealt.join(salted, ["host", "salt"], "left").select("page_id", "url", "host", "html", "reference")
 
-    def votes(batches):
-        trees = _Trees()
-        for batch in batches:
-            tally = {}
-            for host, html, ref in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                if ref is None:
-                    continue
-                tree, _ = trees.of(host, ref)
+    def spread(table):
+        """One row per host, once for each part that the pages of a host are dealt to."""
+        return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).groupBy("host", "salt")
+
+    def votes(pages, wrappers):
+        tally = Counter()
+        if wrappers.num_rows and pages.num_rows:
+            host = wrappers.column("host")[0].as_py()
+            tree = parse(wrappers.column("reference")[0].as_py() or "")
+            nodes_of(tree)
+            for html in pages.column("html").to_pylist():
                 page = parse(html or "")
                 nodes_of(page)
                 for number, node in align(_body(tree), _body(page)).items():
-                    text = "\n".join(SPACE.sub(" ", i).strip() for i in node.items if isinstance(i, str)).strip()
+                    text = "\n".join([i for i in node.items if isinstance(i, str)]).strip()
                     if text:
-                        key = host, number, _hash(text)
-                        tally[key] = tally.get(key, 0) + 1
-            rows = [(*k, n) for k, n in tally.items()]
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["host", "node", "text_hash", "n"])
-
-    told = paired.mapInArrow(votes, "host string, node int, text_hash long, n long")
+                        tally[number, _hash(text)] += 1
+        rows = [(host, *k, n) for k, n in tally.items()]
+        cols = list(zip(*rows)) or [(), (), (), ()]
+        kinds = (("host", pa.string()), ("node", pa.int32()), ("text_hash", pa.int64()), ("n", pa.int64()))
+        return pa.table({name: pa.array(c, k) for c, (name, k) in zip(cols, kinds)})
+
+    grouped = dealt.filter(F.col("host").isNotNull()).select("host", "salt", "html").groupBy("host", "salt")
+    told = grouped.cogroup(spread(reference)).applyInArrow(votes, "host string, node int, text_hash long, n long")
     told = told.groupBy("host", "node", "text_hash").agg(F.sum("n").alias("n")).groupBy("host", "node").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
-    # a node constant in enough pages weighs nothing, a slot its share of varying pages
+    # a node constant in enough pages weighs nothing
     weight = F.when((F.col("n") >= FEW) & (F.col("top") >= constant * F.col("n")), 0.0).otherwise(1.0)
     wrapper = told.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("node", weight))).alias("weights"))
     wrapper = stored(reference.join(wrapper, "host", "left"), "wrapper-slots")
-    salted = wrapper.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    final = dealt.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "host", "reference", "weights")
-
-    def texts(batches):
-        trees = _Trees()
-        for batch in batches:
-            out = []
-            for html, host, ref, weights in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
-                out.append(_main_text(html or "", host, ref, dict(weights or ()), trees))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    return final.mapInArrow(texts, "page_id long, url string, text string")
-
-
-class _Trees:
-    """Parsed references of the hosts a task meets, a bounded number at a time."""
-
-    def __init__(self, room=200):
-        self.room, self.known = room, {}
-
-    def of(self, host, html, weights=None):
-        key = host, weights is not None
-        if key not in self.known:
-            if len(self.known) >= self.room:
-                self.known.clear()
-            tree = parse(html)
+    def texts(pages, wrappers):
+        tree = slot = None
+        if wrappers.num_rows:
+            tree = parse(wrappers.column("reference")[0].as_py() or "")
             every = nodes_of(tree)
-            self.known[key] = tree, None if weights is None else region_of(_body(tree), every, weights)
-        return self.known[key]
+            slot = region_of(_body(tree), every, dict(wrappers.column("weights")[0].as_py() or ()))
+        out = [_main_text(html or "", tree, slot) for html in pages.column("html").to_pylist()]
+        return pa.table({"page_id": pages.column("page_id"), "url": pages.column("url"), "text": pa.array(out, pa.string())})
+
+    final = dealt.groupBy("host", "salt").cogroup(spread(wrapper))
+    return final.applyInArrow(texts, "page_id long, url string, text string")
 
 
-def _main_text(html, host, reference, weights, trees):
+def _main_text(html, tree, slot):
     page = parse(html)
     every = nodes_of(page)
     region = None
-    if reference is not None:
-        tree, slot = trees.of(host, reference, weights)
+    if tree is not None:
         region = align(_body(tree), _body(page)).get(slot.number)
     if region is None or not any(not n.chrome for n in region.children()):
         return "\n".join(blocks(region_of(_body(page), every), menus=False))
