@@ -62,8 +62,8 @@ vis AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(body, '(?is
 @query(
     "h4_html_blocks",
     f"""WITH {VISIBLE},
-sg AS (SELECT page_id, list_concat([''], list_transform(regexp_extract_all(html, '(?i)</?(?:h[1-6]|p|div|section|article|ul|ol|li|blockquote|pre|table|tr|td|th|hr)(?:\s[^>]*)?/?>'), lambda t: lower(regexp_extract(t, '^<(/?[A-Za-z0-9]+)', 1)))) AS tags,
-   regexp_split_to_array(html, '(?i)</?(?:h[1-6]|p|div|section|article|ul|ol|li|blockquote|pre|table|tr|td|th|hr)(?:\s[^>]*)?/?>') AS texts FROM vis),
+sg AS (SELECT page_id, list_concat([''], list_transform(regexp_extract_all(html, '(?i)</?(?:h[1-6]|p|div|section|article|ul|ol|li|blockquote|pre|table|tr|td|th|hr)(?:\\s[^>]*)?/?>'), lambda t: lower(regexp_extract(t, '^<(/?[A-Za-z0-9]+)', 1)))) AS tags,
+   regexp_split_to_array(html, '(?i)</?(?:h[1-6]|p|div|section|article|ul|ol|li|blockquote|pre|table|tr|td|th|hr)(?:\\s[^>]*)?/?>') AS texts FROM vis),
 ex AS (SELECT page_id, unnest(range(1, len(texts) + 1)) AS i, unnest(tags) AS tag, unnest(texts) AS t FROM sg),
 tx AS (SELECT page_id, i, CASE WHEN tag = '' OR starts_with(tag, '/') THEN 'text' ELSE tag END AS kind, {_plain('t')} AS text FROM ex)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS ordinal, kind, text FROM tx WHERE text <> ''""",
