@@ -606,13 +606,15 @@ MAX_SHEET_COLUMNS, MAX_SHEET_ROWS = 128, 10_000
 def expand_sheet(cells):
     """Run-length encoded cells to a dense grid: (sheet_id, row, col, value), both
     from 1. An empty run only moves the column on; rows without a value vanish. A
-    blank value falls back to the attribute.
+    blank value falls back to the attribute. Values are ready for a Markdown table: bars
+    are escaped, a line break becomes a blank.
 
     Row starts are a running total per sheet over its rows, taken bucket by bucket,
     because one sheet may be most of the data.
     """
     value = T.strip(F.coalesce("value", F.lit("")))
     shown = F.when(value == "", F.coalesce("attribute", F.lit(""))).otherwise(value)
+    shown = F.replace(F.replace(shown, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
     reps = F.greatest(F.lit(1), F.coalesce("col_repeat", F.lit(1))).cast("bigint")
     inside = W.partitionBy("sheet_id", "row_no").orderBy("cell_no").rowsBetween(W.unboundedPreceding, 0)
     runs = (

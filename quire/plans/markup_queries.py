@@ -1,5 +1,6 @@
 """Markup conversion over ``pages``, ``documents`` and ``lineitem``."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -295,23 +296,22 @@ def h11(spark, sf):
 
 
 def _cells(spark, sf):
+    """Every line of an order is a cell of its row; lines that share a number follow each other."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    value = F.when(F.col("l_linestatus") == "O", F.lit(" ")).otherwise(F.concat("l_returnflag", n.cast("string")))
-    # The same order and line may occur twice; order by supplier and part as well.
-    return X.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min(F.struct("l_suppkey", "l_partkey", "l_returnflag", "l_linestatus")).alias("s")
-    ).select(
-        F.expr("l_orderkey div 100").alias("sheet_id"), k.alias("row_no"), n.alias("cell_no"),
-        F.when(F.col("s.l_linestatus") == "O", F.lit(" ")).otherwise(F.concat("s.l_returnflag", n.cast("string"))).alias("value"),
-        F.when(F.col("s.l_suppkey") % 3 == 0, F.lit("attr")).alias("attribute"),
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus")
+    return X.table(spark, sf, "lineitem").select(
+        F.expr("l_orderkey div 100").alias("sheet_id"), k.alias("row_no"), F.row_number().over(order).alias("cell_no"),
+        F.when(F.col("l_linestatus") == "O", F.lit(" ")).otherwise(F.concat("l_returnflag", F.lit("|"), n.cast("string"))).alias("value"),
+        F.when(F.col("l_suppkey") % 3 == 0, F.lit("at\ntr")).alias("attribute"),
         (n % 3 + 1).alias("col_repeat"),
         F.when(k % 10 == 0, F.lit(3)).otherwise(F.lit(1)).alias("row_repeat"),
     )
 
 
-SHEET = """one AS (SELECT l_orderkey, l_linenumber, min(struct_pack(a := l_suppkey, b := l_partkey, c := l_returnflag, d := l_linestatus)) AS s FROM lineitem GROUP BY ALL),
-cells AS (SELECT l_orderkey // 100 AS sheet_id, l_orderkey AS row_no, l_linenumber AS cell_no, CASE WHEN s.d = 'O' THEN CASE WHEN s.a % 3 = 0 THEN 'attr' ELSE '' END ELSE s.c || l_linenumber END AS v,
-  (l_linenumber % 3 + 1)::BIGINT AS n, CASE WHEN l_orderkey % 10 = 0 THEN 3 ELSE 1 END AS rr FROM one),
+SHEET = """cells AS (SELECT l_orderkey // 100 AS sheet_id, l_orderkey AS row_no,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_returnflag, l_linestatus) AS cell_no,
+  CASE WHEN l_linestatus = 'O' THEN CASE WHEN l_suppkey % 3 = 0 THEN 'at tr' ELSE '' END ELSE l_returnflag || '\\|' || l_linenumber END AS v,
+  (l_linenumber % 3 + 1)::BIGINT AS n, CASE WHEN l_orderkey % 10 = 0 THEN 3 ELSE 1 END AS rr FROM lineitem),
 pl AS (SELECT *, sum(n) OVER (PARTITION BY sheet_id, row_no ORDER BY cell_no)::BIGINT AS e FROM cells),
 rw AS (SELECT sheet_id, row_no, max(rr) AS rr FROM pl WHERE v <> '' GROUP BY ALL),
 rp AS (SELECT *, sum(rr) OVER (PARTITION BY sheet_id ORDER BY row_no)::BIGINT AS last FROM rw),
