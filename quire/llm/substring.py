@@ -36,7 +36,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quire.llm.common import partitions, stored
-from quire.llm.words import Batch
+from quire.llm.words import Batch, mix
 
 KEYS = "slice long, bucket int, keys binary"
 FOUND = "slice long, keys binary"
@@ -138,7 +138,8 @@ def _seed_blocks(docs, window, seed, buckets):
             for a, z in zip(cuts[:-1], cuts[1:]):
                 b = Batch(batch.column(1).slice(a, z - a))
                 grams, lowest, _ = _seeds(b, window, seed)
-                rows += _blocks(int(slices[a]), grams[_chosen(grams, lowest, window - seed + 1)], buckets)
+                # seeds are small hashes: scrambled, they spread over all ranges
+                rows += _blocks(int(slices[a]), mix(grams[_chosen(grams, lowest, window - seed + 1)]), buckets)
             yield from _table(rows, _KEYS).to_batches()
 
     return docs.select("slice", "text").mapInArrow(run, KEYS)
@@ -201,7 +202,7 @@ def remove_repeats(docs, window=35, seed=8, rows=128, with_text=True):
         found = _values(right)
         b = Batch(texts)
         _, lowest, whole = _seeds(b, window, seed)
-        below = whole & _member(lowest, found)
+        below = whole & _member(mix(lowest), found)
         hashes, _ = b.runs(window)
         waits = np.bincount(b.text[below], minlength=b.n) > 0
         out = []
