@@ -219,6 +219,15 @@ class Featurizer:
             parts.append(out)
         return np.concatenate(parts) if parts else np.zeros((0, self.table.shape[1]), np.float32)
 
+    def all_sentences(self, texts, limit=1 << 20):
+        """:meth:`sentences` of many texts, a bounded number of characters at a time."""
+        owners, rows = [np.zeros(0, np.int64)], [np.zeros((0, self.table.shape[1]), np.float32)]
+        for a, b in groups_of([len(t) for t in texts], limit):
+            owner, x = self.sentences(texts[a:b])
+            owners.append(owner + a)
+            rows.append(x)
+        return np.concatenate(owners), np.concatenate(rows)
+
     def sentences(self, texts):
         """Text number and features of every sentence with a suspicious word."""
         text = Text(texts)
@@ -233,35 +242,53 @@ class Featurizer:
         return text.text[words[first]], np.maximum.reduceat(values, first, axis=0)
 
 
+def _parts(texts, limit=1 << 20):
+    """The texts, folded, a bounded number of characters at a time (one text at least)."""
+    for a, b in groups_of([len(t) for t in texts], limit):
+        yield Text(texts[a:b])
+
+
 def choose_landmarks(toxic, clean, most):
     """Words used in the most surroundings of toxic texts and (nearly) none of clean ones."""
 
     def surroundings(texts):
-        """Hash of each word -> number of different (word before, word after), and an example."""
-        text = Text(texts)
-        if not len(text.first):
-            return {}, text, {}
-        words = text.hashes()
-        edge = np.zeros(len(words), bool)
-        edge[1:] = text.text[1:] != text.text[:-1]
-        before = np.where(edge, np.uint64(1), np.roll(words, 1))
-        after = np.where(np.roll(edge, -1), np.uint64(1), np.roll(words, -1))
-        long = text.sizes() > 3
-        _, index = np.unique(mix(mix(before + mix(words)) + after)[long], return_index=True)
-        kinds, first, counts = np.unique(words[long][index], return_index=True, return_counts=True)
-        return dict(zip(kinds.tolist(), counts.tolist())), text, dict(zip(kinds.tolist(), np.flatnonzero(long)[index][first].tolist()))
-
-    bad, text, example = surroundings(toxic)
-    good = surroundings(clean)[0]
+        """Hash of each word -> number of different (word before, word after)."""
+        parts = []
+        for text in _parts(texts):
+            words = text.hashes()
+            if len(words):
+                edge = np.zeros(len(words), bool)
+                edge[1:] = text.text[1:] != text.text[:-1]
+                before = np.where(edge, np.uint64(1), np.roll(words, 1))
+                after = np.where(np.roll(edge, -1), np.uint64(1), np.roll(words, -1))
+                long = text.sizes() > 3
+                pair = mix(mix(before + mix(words)) + after)[long]
+                _, index = np.unique(pair, return_index=True)
+                parts.append((pair[index], words[long][index]))
+        if not parts:
+            return {}
+        _, index = np.unique(np.concatenate([p for p, _ in parts]), return_index=True)
+        kinds, counts = np.unique(np.concatenate([w for _, w in parts])[index], return_counts=True)
+        often = counts >= 3
+        return dict(zip(kinds[often].tolist(), counts[often].tolist()))
+
+    bad, good = surroundings(toxic), surroundings(clean)
     share = len(toxic) / max(1, len(clean))
-    odds = {w: n - 8 * share * good.get(w, 0) for w, n in bad.items() if n >= 3}
+    odds = {w: n - 8 * share * good.get(w, 0) for w, n in bad.items()}
     least = max(3, 0.003 * len(toxic))
-    ranked = sorted((w for w in odds if odds[w] >= least), key=lambda w: (-odds[w], w))
+    ranked = sorted((w for w in odds if odds[w] >= least), key=lambda w: (-odds[w], w))[: 8 * most]
+    spelled_as = {}
+    for text in _parts(toxic):
+        words = text.hashes()
+        found, index = np.unique(words, return_index=True)
+        for w, i in zip(found.tolist(), index.tolist()):
+            if w in odds and w not in spelled_as:
+                spelled_as[w] = text.spell(i)
     chosen, shapes = [], []
-    for w in ranked[: 8 * most]:
+    for w in ranked:
         if len(chosen) == most:
             break
-        spelled = text.spell(example[w])
+        spelled = spelled_as[w]
         shape = unit(spelled)
         if all(sum(v * x.get(c, 0.0) for c, v in shape.items()) < 0.85 for x in shapes):
             chosen.append(spelled)
@@ -322,11 +349,11 @@ def fit(toxic, clean, landmarks=96):
     gram = np.array([[sum(v * b.get(c, 0.0) for c, v in a.items()) for b in shapes] for a in shapes])
     values, vectors = np.linalg.eigh(gram)
     values = np.maximum(values, 1e-3 * values.max())
-    root = vectors @ np.diag(values**-0.5) @ vectors.T
-    bad_owner, bad = featurizer.sentences(toxic)
-    good_owner, good = featurizer.sentences(clean)
+    root = (vectors @ np.diag(values**-0.5) @ vectors.T).astype(np.float32)
+    bad_owner, bad = featurizer.all_sentences(toxic)
+    good_owner, good = featurizer.all_sentences(clean)
     # clean texts also have sentences without suspicious words
-    good = np.vstack([good, np.zeros((max(1, len(clean) // 4), len(chosen)))]) @ root
+    good = np.vstack([good, np.zeros((max(1, len(clean) // 4), len(chosen)), np.float32)]) @ root
     near = bad.max(axis=1, initial=0) >= 0.9
     bad = bad @ root
     padded = featurizer.sentences(_padded(chosen))[1] @ root
@@ -376,7 +403,7 @@ def _calibrate(decision, label):
     return float(w[0]), float(np.log(THRESHOLD / (1 - THRESHOLD)) - w[0] * cut)
 
 
-def training_sample(docs, labels, per_class=2500):
+def training_sample(docs, labels, per_class=2000):
     """Texts of at most ``per_class`` labelled documents of each class, as two lists."""
     marked = labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
     # the bound is on rows; ids first, so that only chosen texts are read and moved
@@ -416,6 +443,6 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs, labels, per_class=2500, landmarks=96):
+def train(docs, labels, per_class=2000, landmarks=96):
     """Fit on labelled rows that are not held out."""
     return fit(*training_sample(docs, labels.filter(~held_out()), per_class), landmarks)
