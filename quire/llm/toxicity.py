@@ -37,6 +37,8 @@ from quire.llm.words import mix
 
 SPAN, DECAY, FLOOR = 6, 0.7, 0.5
 THRESHOLD = 0.7
+#: The machine uses this power of the kernel, which is a kernel too.
+POWER = 3
 _CLASSES = 40
 _SKIP, _BLANK, _OTHER = 255, 0, 37
 #: Digits and signs that stand for letters.
@@ -216,6 +218,7 @@ class Featurizer:
                 out[owner[hit[first]]] = np.add.reduceat(rows, first, axis=0)
             out /= np.maximum(norm, 1e-9)[:, None].astype(np.float32)
             out[out < FLOOR] = 0
+            out **= POWER
             parts.append(out)
         return np.concatenate(parts) if parts else np.zeros((0, self.table.shape[1]), np.float32)
 
@@ -346,7 +349,7 @@ def fit(toxic, clean, landmarks=96):
         return None
     featurizer = Featurizer(chosen)
     shapes = [unit(w) for w in chosen]
-    gram = np.array([[sum(v * b.get(c, 0.0) for c, v in a.items()) for b in shapes] for a in shapes])
+    gram = np.array([[sum(v * b.get(c, 0.0) for c, v in a.items()) for b in shapes] for a in shapes]) ** POWER
     values, vectors = np.linalg.eigh(gram)
     values = np.maximum(values, 1e-3 * values.max())
     root = (vectors @ np.diag(values**-0.5) @ vectors.T).astype(np.float32)
@@ -354,7 +357,7 @@ def fit(toxic, clean, landmarks=96):
     good_owner, good = featurizer.all_sentences(clean)
     # clean texts also have sentences without suspicious words
     good = np.vstack([good, np.zeros((max(1, len(clean) // 4), len(chosen)), np.float32)]) @ root
-    near = bad.max(axis=1, initial=0) >= 0.9
+    near = bad.max(axis=1, initial=0) >= 0.9**POWER
     bad = bad @ root
     padded = featurizer.sentences(_padded(chosen))[1] @ root
     pick = np.zeros(len(bad))
