@@ -10,12 +10,14 @@ rounds:
 - patterns with ``support`` known instances or more and a confidence of ``confident`` or
   more vouch for the candidates that follow them;
 - a candidate's score is ``1 - product(1 - confidence)`` over its patterns; candidates that
-  reach ``confident`` become known instances of the next round.
+  reach ``confident`` become known instances and keep the kind of their best score;
+- known instances make new patterns confident, so rounds go on until one finds nothing new.
 
 All occurrences of an instance found so are added as spans of its kind; seed spans stay as
 they are, and a candidate never overlaps one. Texts are read twice (spans, word counts);
-the graph holds only words beside entities and candidates. Counts of common words are
-added up before they move; a busy pattern or instance is only ever summed.
+the graph holds only words that could be confident if all their candidates were known.
+Counts of common words are added up before they move; a busy pattern or instance is only
+ever summed.
 
 Positions are code points, ends exclusive; they are running sums in a text, so a text
 of many matches costs no more than their number. Nulls: a null text is empty and has no spans; a
@@ -26,7 +28,7 @@ an empty table gives no rows.
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import new_folder, stored
 
 KINDS = ("email", "ip", "card", "phone")
 _S = r"\x20\x09-\x0D"
@@ -139,38 +141,42 @@ def word_counts(docs, words):
     return every.groupBy("pattern").agg(F.count("*").alias("total")).join(words, "pattern")
 
 
-def bootstrap(spans, docs, support=3, confident=0.6, rounds=3):
-    """``instance, kind`` of the candidates that confident patterns vouch for."""
-    seeds, tokens = spans.filter("kind >= 0"), spans.filter("kind < 0")
-    edges = seeds.groupBy("kind", "instance", "pattern").agg(F.count("*").alias("n"))
-    # only patterns with enough different seeds can ever vouch for something
-    words = edges.filter("pattern != 0").groupBy("kind", "pattern").agg(F.count("*").alias("k")).filter(F.col("k") >= support).select("pattern").distinct()
-    totals = stored(word_counts(docs, words), "pii-patterns")
-    edges = stored(edges.join(totals.select("pattern"), "pattern", "left_semi"), "pii-seeds")
-    open_edges = tokens.join(totals.select("pattern"), "pattern", "left_semi").groupBy("instance", "pattern").agg(F.count("*").alias("n"))
-    open_edges = stored(open_edges, "pii-candidates")
-    known = None
-    for _ in range(rounds):
-        told = edges
-        if known is not None:
-            told = told.unionByName(open_edges.join(known, "instance").select("pattern", "kind", "instance", "n"))
+def bootstrap(spans, docs, support=3, confident=0.6, rounds=None):
+    """``instance, kind`` of the candidates that confident patterns vouch for.
+
+    Rounds go on until one finds nothing new, or for ``rounds`` of them.
+    """
+    edges = spans.filter("pattern != 0").groupBy("kind", "instance", "pattern").agg(F.count("*").alias("n"))
+    # bounds that hold whatever is found later: every neighbour of a word taken as known
+    words = edges.groupBy("pattern").agg(F.sum("n").alias("most"), F.countDistinct("instance").alias("k"), F.min("kind").alias("least"))
+    words = words.filter((F.col("k") >= support) & (F.col("least") < 0)).select("pattern", "most")
+    totals = word_counts(docs, words).filter(F.col("most") / F.col("total") >= confident).select("pattern", "total")
+    totals = stored(totals, "pii-patterns")
+    edges = stored(edges.join(totals.select("pattern"), "pattern", "left_semi"), "pii-edges")
+    seeds, open_edges = edges.filter("kind >= 0"), edges.filter("kind < 0").drop("kind")
+    spark, folder, paths = spans.sparkSession, new_folder(spans.sparkSession, "pii-known"), []
+    known = spark.createDataFrame([], "instance long, kind int")
+    while rounds is None or len(paths) < rounds:
+        told = seeds.unionByName(open_edges.join(known, "instance").select("kind", "instance", "pattern", "n"))
         scores = (
-            told.groupBy("kind", "pattern").agg(F.sum("n").alias("n"), F.count("*").alias("k")).join(totals, "pattern")
+            told.groupBy("kind", "pattern").agg(F.sum("n").alias("n"), F.countDistinct("instance").alias("k")).join(totals, "pattern")
             .select("kind", "pattern", (F.col("n") / F.col("total")).alias("confidence"), "k")
             .filter((F.col("k") >= support) & (F.col("confidence") >= confident))
         )
-        reached = open_edges.join(scores, "pattern").groupBy("instance", "kind").agg(
+        # every pattern here is confident, and so is what it vouches for
+        reached = open_edges.join(known, "instance", "left_anti").join(scores, "pattern").groupBy("instance", "kind").agg(
             (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score")
         )
-        best = reached.filter(F.col("score") >= confident).groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("less"), "kind")).alias("top"))
-        after = stored(best.select("instance", F.col("top.kind").alias("kind")), "pii-known")
-        if known is not None and after.count() == known.count():
-            return after
-        known = after
+        best = reached.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("less"), "kind")).alias("top"))
+        paths.append(f"{folder}/{len(paths)}")
+        best.select("instance", F.col("top.kind").alias("kind")).write.parquet(paths[-1])
+        known = spark.read.schema(known.schema).parquet(*paths)
+        if spark.read.schema(known.schema).parquet(paths[-1]).isEmpty():
+            break
     return known
 
 
-def find(docs, support=3, confident=0.6, rounds=3):
+def find(docs, support=3, confident=0.6, rounds=None):
     """``doc_id``, ``text_hash``, ``base`` and ``spans``: arrays of (start, kind number, end), in order."""
     rows = stored(matches_of(docs).withColumn("uid", F.monotonically_increasing_id()), "pii-matches")
     spans = stored(spans_of(rows.select("uid", "matches")), "pii-spans")

@@ -61,6 +61,21 @@ def test_patterns_discover_identifiers(spark):
     assert all(found[i].count(":") == 2 for i in range(8))
 
 
+def test_found_identifiers_make_new_patterns(spark):
+    """Each word stands before identifiers of the word before it; only the first one has seeds."""
+    words, texts = ["tel:", "fax:", "cell:", "desk:", "night:", "ward:"], [f"tel: +49 30 12345{i}{i}" for i in range(6)]
+    for hop, word in enumerate(words):
+        texts += [f"{word} 555-0{hop}0{i}" for i in range(3)]
+        texts += [f"{word} 555-0{hop - 1}0{i}" for i in range(3) for _ in range(2) if hop]
+    # a word that is mostly followed by other tokens, and one with two known identifiers
+    texts += ["room 555-0000", "room 555-0001", "room 555-0002", *[f"room 77-{i}00" for i in range(3)], "bay 555-0000", "bay 555-0001", "bay 88-100"]
+    rows = list(enumerate(texts))
+    found = {d: s for d, b, s in got(spark.createDataFrame(rows, "doc_id long, text string"))}
+    for i, text in rows:
+        at = text.index(" ") + 1
+        assert found[i] == ("" if " 77-" in text or " 88-" in text else f"phone:{at}:{len(text)}"), text
+
+
 def test_mask(spark):
     df = spark.createDataFrame([(1, "é a@b.co and 1.2.3.4!"), (2, "none"), (3, None)], "doc_id long, text string")
     spans = find(df).withColumnRenamed("doc_id", "id")
