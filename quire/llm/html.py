@@ -4,20 +4,22 @@ Pages of one host are made by one template. Their trees are aligned by simple tr
 matching; what stays the same from page to page belongs to the template, what varies is a
 slot. Three steps, all of them Spark jobs over every page:
 
-1. *Reference.* Pages of a host fall into layouts (the set of tags they use); the reference of a host is the page of its most frequent
-   layout with the smallest id. It is one tree per host, however many pages there are.
-2. *Votes.* Every page is aligned with its host's reference. For each reference node the
-   aligned pages report the hash of the node's text, its length and how much of it is
-   link text; votes are added up per (host, node, hash) before they move.
+1. *Reference.* Pages of a host fall into layouts (the set of tags they use); the reference
+   of a host is the page of its most frequent layout with the smallest id.
+2. *Votes.* Every page is aligned with its reference. For each reference node the pages report the hash of the node's text and its length without
+   links; votes are added up per (host, layout, node, hash) before they move. Text of nodes
+   that the reference lacks counts as varying at the nearest aligned node.
 3. *Slots.* A node is constant when one text makes ``constant`` or more of its votes (and
-   there are enough), else it is a slot. The content of a host is the slot region with the
-   most varying text outside links. Every page is aligned again and gives the blocks of
-   its part of that region.
+   there are enough), else it is a slot. The content of a layout is the lowest region that
+   covers its varying text, added up over its pages. Every page is aligned again and
+   gives the blocks of its part of that region.
 
 Menus, headers, footers, asides, forms, scripts, styles, notices, adverts and comments of
 readers are no content by the meaning of their tags or class names, wherever the alignment
-puts them. A page that cannot be aligned with the region (or has no host) gives its own
-richest region, without lists of links. Nothing is cut or capped.
+puts them. A page gives its own richest region, without lists of links, if it has no host,
+if its layout tells nothing about the template (few pages), or
+if it cannot be aligned with the region. Nothing is
+cut or capped.
 
 Blocks: white space inside a block becomes one space, blocks are trimmed and joined by one
 line break, character references are decoded, ``<br>`` is white space. Nulls: a null html
@@ -39,7 +41,6 @@ from quire.llm.common import partitions, stored
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
 NAMED = re.compile(r"\b(?:class|id|role|hidden)\b", re.I)
-OPENED = re.compile(r"<([A-Za-z][^\s/>]*)")
 SPACE = re.compile(r"[ \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,6 +58,10 @@ AWAY = re.compile(
     r"share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Elements that belong to an article wherever they stand beside its other parts, those that are never a region, headlines.
+PROSE = set("p h1 h2 h3 h4 h5 h6 ul ol dl table tbody blockquote pre figure".split())
+LEAVES = set("p h1 h2 h3 h4 h5 h6 li td th tr dd dt pre".split())
+HEADLINES = {"h1", "h2", "h3"}
 FEW = 3
 
 
@@ -252,102 +257,171 @@ def host_of(url):
     return F.when(host != "", host)
 
 
-def region_of(root, all_nodes, votes=None):
-    """The content region of a tree: the smallest node that holds most of its varying text."""
-    score = [0] * len(all_nodes)
-    for node in reversed(all_nodes):
-        own = sum(len(i.strip()) for i in node.items if isinstance(i, str))
+def text_sizes(root, count):
+    """Length of the text of its own of every element, by number: no chrome, no links outside headings."""
+    out, stack = [0] * count, [(root, "")]
+    while stack:
+        node, within = stack.pop()
         if node.chrome and node is not root:
             continue
-        if votes is not None:
-            own *= votes.get(node.number, 1.0)
-        if node.name == "a":
-            own = 0
-        score[node.number] += own + sum(score[c.number] for c in node.children())
-    at = root
-    while True:
+        if node.name in HEADLINES or node.name == "a" and within != "h":
+            within = "a" if node.name == "a" else "h"
+        if within != "a":
+            out[node.number] = sum(len(i.strip()) for i in node.items if isinstance(i, str))
+        stack += [(c, within) for c in node.children()]
+    return out
+
+
+def region_of(root, all_nodes, sizes, varying=False):
+    """The content region of a tree: the lowest node that covers the text counted in ``sizes``.
+
+    Prose and headlines are never left behind. What else may stay outside is a fiftieth of
+    the text if it is known to vary, and a fifth (half, beside the only ``article``) if
+    nothing is known about the template.
+    """
+    score, headed = list(sizes), [False] * len(all_nodes)
+    only = [False] * len(all_nodes)
+    for node in reversed(all_nodes):
+        inner = [c for c in node.children() if not c.chrome]
+        score[node.number] += sum(score[c.number] for c in inner)
+        headed[node.number] = node.name in HEADLINES and score[node.number] > 0 or any(headed[c.number] for c in inner)
+    articles = [n for n in all_nodes if n.name == "article" and score[n.number]]
+    if len(articles) == 1:
+        for node in reversed(all_nodes):
+            only[node.number] = node is articles[0] or any(only[c.number] for c in node.children())
+    total, at = score[root.number], root
+    while score[at.number] and at.name != "article":
         inner = [c for c in at.children() if c.name in BLOCK and not c.chrome]
         rich = max(inner, key=lambda c: score[c.number], default=None)
-        if rich is None or rich.name in ("p", "h1", "h2", "h3", "li", "td", "tr", "dd", "dt", "pre") or score[rich.number] < 0.6 * score[at.number]:
-            return at
+        if rich is None or rich.name in LEAVES or not score[rich.number]:
+            break
+        if score[rich.number] < score[at.number]:
+            least = 0.98 if varying else 0.5 if only[rich.number] else 0.8
+            beside = [c for c in at.children() if c is not rich and not c.chrome and score[c.number]]
+            if at.name == "main" or sizes[at.number] > 0.02 * total or score[rich.number] < least * total:
+                break
+            if any(c.name in PROSE or headed[c.number] for c in beside) or (rich.name in PROSE and not varying):
+                break
         at = rich
+    return at
 
 
-def _body(root):
-    return next((n for n in nodes_of(root) if n.name == "body"), root)
+def _read(html):
+    """All elements of a page and its body."""
+    every = nodes_of(parse(html or ""))
+    return every, next((n for n in every if n.name == "body"), every[0])
 
 
-def _layout(html):
-    return _hash(" ".join(sorted({t.lower() for t in OPENED.findall(html)})))
+def _own_text(node):
+    return "\n".join([i for i in node.items if isinstance(i, str)]).strip()
 
 
 def extract(pages, constant=0.9, salt=None):
     """``page_id, url, text`` of every page; a host is dealt to ``salt`` parts (as many as partitions)."""
     salt = salt or partitions(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    hosted = rows.withColumn("host", host_of(F.col("url")))
-
-    def layouts(batches):
-        for batch in batches:
-            marks = [_layout(h or "") for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64())], ["host", "page_id", "layout"])
-
-    laid = hosted.filter(F.col("host").isNotNull()).select("host", "page_id", "html").mapInArrow(layouts, "host string, page_id long, layout long")
-    common = laid.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
-    common = common.groupBy("host").agg(F.max(F.struct("n", (-F.col("layout")).alias("less"), "first")).alias("top")).select("host", F.col("top.first").alias("first"))
-    reference = hosted.join(common, "host").filter(F.col("page_id") == F.col("first")).groupBy("host").agg(F.min("html").alias("reference"))
+    low = F.lower(F.coalesce("html", F.lit("")))
+    key = F.xxhash64("page_id", "url", "html")
+    tags = F.array_sort(F.array_distinct(F.regexp_extract_all(low, F.lit(r"<([a-z][^\s/>]*)"), F.lit(1))))
+    dealt = rows.withColumns({"host": host_of(F.col("url")), "key": key, "salt": F.pmod(key, F.lit(salt)).cast("int")})
+    dealt = dealt.withColumn("layout", F.when(F.col("host").isNotNull(), F.xxhash64(tags)))
+    hosted = dealt.filter(F.col("host").isNotNull())
+
+    laid = stored(hosted.select("host", "layout", "salt", "key", "page_id", F.monotonically_increasing_id().alias("body")), "wrapper-layouts")
+    voters = laid.groupBy("host", "layout", "body").agg(F.min(F.struct("page_id", "key", "salt")).alias("v")).select("host", "layout", "v.*")
+    common = stored(voters.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min(F.struct("page_id", "key")).alias("first")), "wrapper-common")
+    top = common.groupBy("host").agg(F.max(F.struct("n", (-F.col("layout")).alias("less"), "layout")).alias("top"))
+    groups = common.join(top, "host").select(
+        "host", "layout", F.col("top.layout").alias("group"),
+        F.lit(True).alias("votes"),
+    )
+    groups = stored(groups, "wrapper-groups")
+    first = common.select("host", F.col("layout").alias("group"), F.col("first.key").alias("key")).join(groups.select("host", "group").distinct(), ["host", "group"], "left_semi")
+    reference = hosted.select("host", "key", "html").join(first, ["host", "key"]).groupBy("host", "group").agg(F.min("html").alias("reference"))
     reference = stored(reference, "wrapper-reference")
-    dealt = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salt)).cast("int"))
 
-    def spread(table):
-        """One row per host, once for each part that the pages of a host are dealt to."""
-        return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).groupBy("host", "salt")
+    def spread(table, cells):
+        """``table``, one row per group, once for each part that pages of the group are dealt to."""
+        return cells.join(groups, ["host", "layout"]).join(table, ["host", "group"]).groupBy("host", "layout", "salt")
 
     def votes(pages, wrappers):
-        tally = Counter()
-        if wrappers.num_rows and pages.num_rows:
-            host = wrappers.column("host")[0].as_py()
-            tree = parse(wrappers.column("reference")[0].as_py() or "")
-            nodes_of(tree)
-            for html in pages.column("html").to_pylist():
-                page = parse(html or "")
-                nodes_of(page)
-                for number, node in align(_body(tree), _body(page)).items():
-                    text = "\n".join([i for i in node.items if isinstance(i, str)]).strip()
+        tally, chars = Counter(), Counter()
+        host = group = None
+        if wrappers.num_rows and pages.num_rows and wrappers.column("votes")[0].as_py():
+            host, group = wrappers.column("host")[0].as_py(), wrappers.column("group")[0].as_py()
+            _, tree = _read(wrappers.column("reference")[0].as_py())
+            voting = set(wrappers.column("voters")[0].as_py())
+            for key, html in zip(pages.column("key").to_pylist(), pages.column("html").to_pylist()):
+                if key not in voting:
+                    continue
+                voting.remove(key)
+                every, page = _read(html)
+                sizes = text_sizes(page, len(every))
+                pairs = align(tree, page)
+                for number, node in pairs.items():
+                    text = _own_text(node)
                     if text:
                         tally[number, _hash(text)] += 1
-        rows = [(host, *k, n) for k, n in tally.items()]
-        cols = list(zip(*rows)) or [(), (), (), ()]
-        kinds = (("host", pa.string()), ("node", pa.int32()), ("text_hash", pa.int64()), ("n", pa.int64()))
+                        chars[number, _hash(text)] += sizes[node.number]
+                # text of nodes that only this page has varies, at the nearest node that both have
+                back = {node.number: number for number, node in pairs.items()}
+                stack = [(page, tree.number)]
+                while stack:
+                    node, near = stack.pop()
+                    near = back.get(node.number, near)
+                    if node.number not in back and sizes[node.number]:
+                        chars[near, None] += sizes[node.number]
+                    stack += [(c, near) for c in node.children()]
+        rows = [(host, group, *k, tally[k], n) for k, n in chars.items()]
+        cols = list(zip(*rows)) or [()] * 6
+        kinds = (("host", pa.string()), ("group", pa.int64()), ("node", pa.int32()), ("text_hash", pa.int64()), ("n", pa.int64()), ("chars", pa.int64()))
         return pa.table({name: pa.array(c, k) for c, (name, k) in zip(cols, kinds)})
 
-    grouped = dealt.filter(F.col("host").isNotNull()).select("host", "salt", "html").groupBy("host", "salt")
-    told = grouped.cogroup(spread(reference)).applyInArrow(votes, "host string, node int, text_hash long, n long")
-    told = told.groupBy("host", "node", "text_hash").agg(F.sum("n").alias("n")).groupBy("host", "node").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    chosen = voters.groupBy("host", "layout", "salt").agg(F.collect_list("key").alias("voters"))
+    grouped = hosted.select("host", "layout", "salt", "key", "html").groupBy("host", "layout", "salt")
+    told = grouped.cogroup(spread(reference, chosen)).applyInArrow(votes, "host string, group long, node int, text_hash long, n long, chars long")
+    told = told.groupBy("host", "group", "node", "text_hash").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    told = told.groupBy("host", "group", "node").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "text_hash")).alias("top"), F.sum("chars").alias("chars"),
+        F.sum(F.when(F.col("text_hash").isNull(), F.col("chars")).otherwise(0)).alias("more"),
+    )
     # a node constant in enough pages weighs nothing
-    weight = F.when((F.col("n") >= FEW) & (F.col("top") >= constant * F.col("n")), 0.0).otherwise(1.0)
-    wrapper = told.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("node", weight))).alias("weights"))
-    wrapper = stored(reference.join(wrapper, "host", "left"), "wrapper-slots")
+    fixed = (F.col("n") >= FEW) & (F.col("top.n") >= constant * F.col("n"))
+    told = told.select("host", "group", "node", "n", "chars", F.when(fixed, F.col("top.text_hash")).alias("fixed"), F.when(fixed, F.col("more")).otherwise(F.col("chars")).alias("varying"))
+    wrapper = told.groupBy("host", "group").agg(F.max("n").alias("most"), F.sum("chars").alias("chars"), F.collect_list(F.struct("node", "varying", "fixed")).alias("slots"))
+    wrapper = stored(reference.join(wrapper, ["host", "group"], "left"), "wrapper-slots")
 
     def texts(pages, wrappers):
         tree = slot = None
+        fixed = {}
         if wrappers.num_rows:
-            tree = parse(wrappers.column("reference")[0].as_py() or "")
-            every = nodes_of(tree)
-            slot = region_of(_body(tree), every, dict(wrappers.column("weights")[0].as_py() or ()))
-        out = [_main_text(html or "", tree, slot) for html in pages.column("html").to_pylist()]
+            slots = wrappers.column("slots")[0].as_py() or []
+            varying = {s["node"]: s["varying"] for s in slots}
+            if (wrappers.column("most")[0].as_py() or 0) >= FEW:
+                fixed = {s["node"]: s["fixed"] for s in slots if s["fixed"] is not None}
+                every, tree = _read(wrappers.column("reference")[0].as_py())
+                slot = region_of(tree, every, [varying.get(n.number, 0) for n in every], varying=True)
+        out = [_main_text(html, tree, slot, fixed) for html in pages.column("html").to_pylist()]
         return pa.table({"page_id": pages.column("page_id"), "url": pages.column("url"), "text": pa.array(out, pa.string())})
 
-    final = dealt.groupBy("host", "salt").cogroup(spread(wrapper))
+    cells = laid.select("host", "layout", "salt").distinct()
+    final = dealt.drop("key").groupBy("host", "layout", "salt").cogroup(spread(wrapper, cells))
     return final.applyInArrow(texts, "page_id long, url string, text string")
 
 
-def _main_text(html, tree, slot):
-    page = parse(html)
-    every = nodes_of(page)
-    region = None
+def _main_text(html, tree, slot, fixed):
+    every, page = _read(html)
+    sizes = text_sizes(page, len(every))
+    known = False
     if tree is not None:
-        region = align(_body(tree), _body(page)).get(slot.number)
-    if region is None or not any(not n.chrome for n in region.children()):
-        return "\n".join(blocks(region_of(_body(page), every), menus=False))
-    return "\n".join(blocks(region))
+        pairs = align(tree, page)
+        own = list(sizes)
+        for number, node in pairs.items():
+            if number in fixed and _hash(_own_text(node)) == fixed[number]:
+                own[node.number] = 0
+        region = pairs.get(slot.number)
+        if region is not None and slot is not tree:
+            return "\n".join(blocks(region))
+        known = any(own)
+        sizes = own if known else sizes
+    return "\n".join(blocks(region_of(page, every, sizes, varying=known), menus=False))

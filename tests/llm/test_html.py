@@ -48,6 +48,40 @@ def test_template_is_left_out(spark):
     assert got == {**{i: expect(i) for i in range(9)}, 20: "Only this <b> text.", 21: f"{expect(21)}\n{MORE}"}
 
 
+def texts(spark, rows):
+    frame = spark.createDataFrame([(i, f"http://{host}/{i}", html) for i, host, html in rows], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in extract(frame).collect()}
+
+
+def framed(body):
+    return f"<body><div class=top><p>A tagline of the whole site</div><div class=main>{body}</div></body>"
+
+
+def test_region_keeps_all_parts_of_an_article(spark):
+    say = lambda k, i: f"Sentence {k} of story {i} has words."
+    inner = {
+        "body": lambda i: (f"<h1>Head {i}</h1>", "<div class=text>", [f"<p>{say(k, i)}" for k in range(12)], "</div>", ""),
+        "table": lambda i: (f"<p>Before {i}", "<table>", [f"<tr><td>{say(k, i)}" for k in range(12)], "</table>", f"<p>After {i}"),
+        "list": lambda i: (f"<p>Before {i}", "<ul>", [f"<li>{say(k, i)}" for k in range(12)], "</ul>", f"<p>After {i}"),
+        "quote": lambda i: (f"<p>Before {i}", "<blockquote>", [f"<p>{say(k, i)}" for k in range(12)], "</blockquote>", f"<p>After {i}"),
+    }
+    rows, want = [], {}
+    for at, (name, make) in enumerate(inner.items()):
+        for wrap in ("article", "div"):
+            for i in range(6):
+                first, begin, parts, end, last = make(i)
+                # the page that is the reference is mostly the inner element, the others are mostly paragraphs
+                more = [] if i == 0 else [f"<p>{say(k, i)}" for k in range(20, 40)]
+                number = len(rows)
+                rows.append((number, f"{name}.{wrap}", framed(f"<{wrap}>{first}{begin}{''.join(parts)}{end}{last}{''.join(more)}</{wrap}>")))
+                want[number] = "\n".join(re.sub("<[^>]*>", "", x) for x in [first, *parts, last, *more] if x)
+    got = texts(spark, rows)
+    assert {k: got[k] for k in want} == want
+    # without a host, too
+    frame = spark.createDataFrame([(i, None, html) for i, _, html in rows], "page_id long, url string, html string")
+    assert all(want[r["page_id"]] in r["text"] for r in extract(frame).collect())
+
+
 def test_alignment_skips_inserted_nodes():
     a, b = parse("<div><p>x<h1>t</h1><p>y</div>"), parse("<div><ul></ul><p>x<p>new<h1>t</h1><p>y</div>")
     nodes_of(a), nodes_of(b)
