@@ -5,7 +5,8 @@ matching; what stays the same from page to page belongs to the template, what va
 slot. Three steps, all of them Spark jobs over every page:
 
 1. *Reference.* Pages of a host fall into layouts (the set of tags they use); the reference
-   of a host is the page of its most frequent layout with the smallest id.
+   of a layout is its page with the smallest id. A layout of fewer than ``FEW`` different
+   pages shares the reference of the host's most frequent one.
 2. *Votes.* Every page is aligned with its reference. For each reference node the pages report the hash of the node's text and its length without
    links; votes are added up per (host, layout, node, hash) before they move. Text of nodes
    that the reference lacks counts as varying at the nearest aligned node.
@@ -18,7 +19,7 @@ Menus, headers, footers, asides, forms, scripts, styles, notices, adverts and co
 readers are no content by the meaning of their tags or class names, wherever the alignment
 puts them. A page gives its own richest region, without lists of links, if it has no host,
 if its layout tells nothing about the template (few pages), or
-if it cannot be aligned with the region. Nothing is
+if most of its text that is not the template's lies outside the aligned region. Nothing is
 cut or capped.
 
 Blocks: white space inside a block becomes one space, blocks are trimmed and joined by one
@@ -331,9 +332,11 @@ def extract(pages, constant=0.9, salt=None):
     voters = laid.groupBy("host", "layout", "body").agg(F.min(F.struct("page_id", "key", "salt")).alias("v")).select("host", "layout", "v.*")
     common = stored(voters.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min(F.struct("page_id", "key")).alias("first")), "wrapper-common")
     top = common.groupBy("host").agg(F.max(F.struct("n", (-F.col("layout")).alias("less"), "layout")).alias("top"))
+    # a layout of few pages is read by the wrapper of the most frequent one, and votes on it if that has few pages too
+    few = F.col("n") < FEW
     groups = common.join(top, "host").select(
-        "host", "layout", F.col("top.layout").alias("group"),
-        F.lit(True).alias("votes"),
+        "host", "layout", F.when(few, F.col("top.layout")).otherwise(F.col("layout")).alias("group"),
+        (~few | (F.col("top.n") < FEW) | (F.col("layout") == F.col("top.layout"))).alias("votes"),
     )
     groups = stored(groups, "wrapper-groups")
     first = common.select("host", F.col("layout").alias("group"), F.col("first.key").alias("key")).join(groups.select("host", "group").distinct(), ["host", "group"], "left_semi")
@@ -420,8 +423,16 @@ def _main_text(html, tree, slot, fixed):
             if number in fixed and _hash(_own_text(node)) == fixed[number]:
                 own[node.number] = 0
         region = pairs.get(slot.number)
-        if region is not None and slot is not tree:
+        if region is not None and slot is not tree and 2 * sum(own[n.number] for n in _below(region)) >= sum(own):
             return "\n".join(blocks(region))
         known = any(own)
         sizes = own if known else sizes
     return "\n".join(blocks(region_of(page, every, sizes, varying=known), menus=False))
+
+
+def _below(node):
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack += node.children()

@@ -82,6 +82,18 @@ def test_region_keeps_all_parts_of_an_article(spark):
     assert all(want[r["page_id"]] in r["text"] for r in extract(frame).collect())
 
 
+def test_each_layout_has_its_wrapper(spark):
+    main = lambda i: f"<h2>Head {i}</h2>" + "".join(f"<p>Sentence {k} of {i}." for k in range(10))
+    rows = [(i, "two.example", f"<body><div>The site's tagline</div><div>{main(i)}</div></body>") for i in range(8)]
+    rows += [(20 + i, "two.example", f"<body><div>{main(20 + i)}</div><div><em>Words that are on every page of the section</em></div></body>") for i in range(5)]
+    # a single page of a third layout
+    rows += [(30, "two.example", f"<body><div>{main(30)}</div><div><code>Another end</code></div></body>")]
+    got = texts(spark, rows)
+    for i, _, _ in rows[:-1]:
+        assert got[i] == "\n".join([f"Head {i}", *(f"Sentence {k} of {i}." for k in range(10))])
+    assert "Head 30\nSentence 0 of 30." in got[30]
+
+
 def test_alignment_skips_inserted_nodes():
     a, b = parse("<div><p>x<h1>t</h1><p>y</div>"), parse("<div><ul></ul><p>x<p>new<h1>t</h1><p>y</div>")
     nodes_of(a), nodes_of(b)
