@@ -7,7 +7,8 @@ slot. Three steps, all of them Spark jobs over every page:
 1. *Reference.* Pages of a host fall into layouts (the set of tags they use); the reference
    of a layout is its page with the smallest id. A layout of fewer than ``FEW`` different
    pages shares the reference of the host's most frequent one.
-2. *Votes.* Every page is aligned with its reference. For each reference node the pages report the hash of the node's text and its length without
+2. *Votes.* Every page is aligned with its reference, one page for all copies of a body. For
+   each reference node the pages report the hash of the node's text and its length without
    links; votes are added up per (host, layout, node, hash) before they move. Text of nodes
    that the reference lacks counts as varying at the nearest aligned node.
 3. *Slots.* A node is constant when one text makes ``constant`` or more of its votes (and
@@ -18,7 +19,7 @@ slot. Three steps, all of them Spark jobs over every page:
 Menus, headers, footers, asides, forms, scripts, styles, notices, adverts and comments of
 readers are no content by the meaning of their tags or class names, wherever the alignment
 puts them. A page gives its own richest region, without lists of links, if it has no host,
-if its layout tells nothing about the template (few pages), or
+if its layout tells nothing about the template (few pages, or hardly any varying text), or
 if most of its text that is not the template's lies outside the aligned region. Nothing is
 cut or capped.
 
@@ -64,6 +65,8 @@ PROSE = set("p h1 h2 h3 h4 h5 h6 ul ol dl table tbody blockquote pre figure".spl
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li td th tr dd dt pre".split())
 HEADLINES = {"h1", "h2", "h3"}
 FEW = 3
+#: A group whose varying text is a smaller share of its text has no wrapper.
+NEGLIGIBLE = 0.05
 
 
 class Node:
@@ -324,11 +327,13 @@ def extract(pages, constant=0.9, salt=None):
     low = F.lower(F.coalesce("html", F.lit("")))
     key = F.xxhash64("page_id", "url", "html")
     tags = F.array_sort(F.array_distinct(F.regexp_extract_all(low, F.lit(r"<([a-z][^\s/>]*)"), F.lit(1))))
+    body = F.xxhash64(F.expr("substring(html, greatest(instr(lower(html), '<body'), 1))"))
     dealt = rows.withColumns({"host": host_of(F.col("url")), "key": key, "salt": F.pmod(key, F.lit(salt)).cast("int")})
     dealt = dealt.withColumn("layout", F.when(F.col("host").isNotNull(), F.xxhash64(tags)))
     hosted = dealt.filter(F.col("host").isNotNull())
 
-    laid = stored(hosted.select("host", "layout", "salt", "key", "page_id", F.monotonically_increasing_id().alias("body")), "wrapper-layouts")
+    # one page stands for all copies of a body
+    laid = stored(hosted.select("host", "layout", "salt", "key", "page_id", body.alias("body")), "wrapper-layouts")
     voters = laid.groupBy("host", "layout", "body").agg(F.min(F.struct("page_id", "key", "salt")).alias("v")).select("host", "layout", "v.*")
     common = stored(voters.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min(F.struct("page_id", "key")).alias("first")), "wrapper-common")
     top = common.groupBy("host").agg(F.max(F.struct("n", (-F.col("layout")).alias("less"), "layout")).alias("top"))
@@ -400,7 +405,8 @@ def extract(pages, constant=0.9, salt=None):
         if wrappers.num_rows:
             slots = wrappers.column("slots")[0].as_py() or []
             varying = {s["node"]: s["varying"] for s in slots}
-            if (wrappers.column("most")[0].as_py() or 0) >= FEW:
+            # too few pages, or copies but for a date or counter, tell nothing about the template
+            if (wrappers.column("most")[0].as_py() or 0) >= FEW and sum(varying.values()) > NEGLIGIBLE * wrappers.column("chars")[0].as_py():
                 fixed = {s["node"]: s["fixed"] for s in slots if s["fixed"] is not None}
                 every, tree = _read(wrappers.column("reference")[0].as_py())
                 slot = region_of(tree, every, [varying.get(n.number, 0) for n in every], varying=True)

@@ -94,6 +94,18 @@ def test_each_layout_has_its_wrapper(spark):
     assert "Head 30\nSentence 0 of 30." in got[30]
 
 
+def test_copies_do_not_hide_the_article(spark):
+    main = lambda i: f"<article><h1>Head {i}</h1><p>This is the story {i}.<p>It ends here.</article>"
+    want = lambda i: f"Head {i}\nThis is the story {i}.\nIt ends here."
+    rows = [(i, "copies.example", framed(main(1))) for i in range(12)]
+    dated = lambda i: framed(main(1) * 1).replace("</body>", f"<div>{i}</div></body>")
+    rows += [(20 + i, "dated.example", dated(i)) for i in range(9)]
+    rows += [(40 + i, "mixed.example", framed(main(1 if i < 30 else i))) for i in range(34)]
+    got = texts(spark, rows)
+    for i, host, _ in rows:
+        assert got[i] == want(i - 40 if host == "mixed.example" and i >= 70 else 1), (i, host)
+
+
 def test_alignment_skips_inserted_nodes():
     a, b = parse("<div><p>x<h1>t</h1><p>y</div>"), parse("<div><ul></ul><p>x<p>new<h1>t</h1><p>y</div>")
     nodes_of(a), nodes_of(b)
