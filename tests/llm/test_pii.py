@@ -1,9 +1,11 @@
 """Personal data against plain regular expressions, and bootstrapped identifiers."""
 
+import hashlib
 import random
 import re
 
 from quire.llm.pii import KINDS, find, mask_text, written
+from quire.llm.queries import QUERIES
 
 PLAIN = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -44,6 +46,19 @@ def test_table(spark, sf_dir):
     assert {(d, b) for d, b, _ in got(docs)} == want
 
 
+def test_registered_columns(spark, sf_dir):
+    """Every column of the query: counts and digest follow from the plain expressions."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op10_bootstrapped_pii"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        spans = base(texts[r["doc_id"]])
+        kinds = [s.split(":")[0] for s in spans.split(",") if s]
+        assert [r[f"n_{k}"] for k in KINDS] == [kinds.count(k) for k in KINDS]
+        assert r["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+        assert set(spans.split(",")) <= set(r["spans"].split(",")) | {""}
+
+
 def test_odd_texts(spark):
     rng = random.Random(5)
     bits = ["a", "b.c", "@", "x-y", ".", "_", "%", "1", "23", "456", "4111111111111111", " ", "-", "+", "(", ")", "\n", "255", "256", "é", "🙂", "5500 0000 0000 0004", "+49 (30) 1234-567", "1.2.3.4", "a@b.co"]
