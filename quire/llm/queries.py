@@ -126,3 +126,34 @@ def op3_license_scan(spark, sf_dir):
     found = scan(_table(spark, sf_dir, "documents"))
     names = F.array_join(F.transform("matches", lambda m: m["license"]), ",")
     return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), names.alias("licenses"))
+
+
+@_query
+def op11_fill_in_middle(spark, sf_dir):
+    """Fill-in-middle form of every document, as digests, and the text rebuilt from it."""
+    from quire.llm.fim import fill_in_middle, restore
+
+    rows = fill_in_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c, 256)
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), u AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+         WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM t
+), v AS (
+  SELECT *, substr(text, 1, least(c1, c2)) AS p, substr(text, least(c1, c2) + 1, abs(c1 - c2)) AS m, substr(text, greatest(c1, c2) + 1) AS s FROM u
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(c1, c2) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(c1 - c2) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM v
+"""
