@@ -31,9 +31,12 @@ _CODE[_SPACE] = 0
 
 
 class Batch:
-    """The words of a batch of texts: byte bounds, text index and 64-bit hash of each."""
+    """The words of a batch of texts: byte bounds, text index and 64-bit hash of each.
 
-    def __init__(self, texts, lower=False, hashed=True):
+    ``between`` marks the byte values that separate words (white space).
+    """
+
+    def __init__(self, texts, lower=False, hashed=True, between=_SPACE):
         texts = texts.cast(pa.large_string())
         if texts.null_count:
             texts = texts.fill_null("")
@@ -45,7 +48,7 @@ class Batch:
         if lower:
             buf = _LOWER[buf]
         self.n, self.buf, self.off = n, buf, off
-        space = _SPACE[buf]
+        space = between[buf]
         before = np.ones(len(buf), bool)
         before[1:] = space[:-1]
         first = off[:-1]
