@@ -201,3 +201,14 @@ WITH table_256 AS (
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= k THEN rank END AS rank FROM scores LEFT JOIN ranked USING (doc_id)
 """
+
+
+@_query
+def op13_secret_scan(spark, sf_dir):
+    """Secrets of every document: counts and spans."""
+    from quire.llm.secrets import KINDS, find, written
+
+    found = find(_table(spark, sf_dir, "documents"))
+    of_kind = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
