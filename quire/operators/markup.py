@@ -403,133 +403,198 @@ def fence_code(text, ext):
 
 # ---------------------------------------------------------------- Markdown
 
-FENCE = r"^ {0,3}(```|~~~)"
-HEADING = r"^ {0,3}(#{1,6})[ \t]+"
-RULE = r"^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$"
-ORDERED = r"^[ \t]*[0-9]+[.)][ \t]+"
-BULLET = r"^[ \t]*[-*+][ \t]+"
-QUOTE = r"^ {0,3}> ?"
-TABLE_ROW = r"^[ \t]*\|.*\|[ \t]*$"
-TABLE_RULE = r"^[ \t]*\|[ \t:|-]+\|[ \t]*$"
+STACK = "array<struct<kind:string,id:int>>"
+BLOCK = f"struct<kind:string,level:bigint,ordinal:bigint,text:string,blank:boolean,stack:{STACK}>"
 
 
 def markdown_blocks(docs, key="doc_id", text="text"):
-    """(key, block_no, kind, level, text). Lines are classified one by one, fences
-    by the running count of fence lines, and multi-line blocks are islands of one
-    kind. Level: heading level, or list nesting."""
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "_raw"))
-    w = W.partitionBy(key).orderBy("line")
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    fence = F.col("_raw").rlike(FENCE)
-    lines = lines.withColumn("_f", fence.cast("int")).withColumn("_open", F.sum("_f").over(upto))
-    # An odd count is inside a block; the line that makes it even again closes it.
-    in_code = (F.col("_open") % 2 == 1) | fence
-    raw = F.col("_raw")
-    kind = (
-        F.when(in_code, "code")
-        .when(raw.rlike(r"^[ \t]*$"), "blank")
-        .when(raw.rlike(HEADING), "heading")
-        .when(raw.rlike(RULE), "rule")
-        .when(raw.rlike(ORDERED), "ordered_item")
-        .when(raw.rlike(BULLET), "bullet_item")
-        .when(raw.rlike(QUOTE), "quote")
-        .when(raw.rlike(TABLE_ROW), "table")
-        .otherwise("paragraph")
-    )
-    indent = F.length(F.regexp_extract(raw, r"^([ \t]*)", 1))
-    level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract(raw, HEADING, 1))).when(
-        F.col("kind").isin("ordered_item", "bullet_item"), F.floor(indent / 2) + 1
-    ).otherwise(0)
-    content = (
-        F.when(F.col("_f") == 1, F.lit(None).cast("string"))
-        .when(F.col("kind") == "heading", F.regexp_replace(F.regexp_replace(raw, HEADING, ""), r"[ \t]+#*[ \t]*$", ""))
-        .when(F.col("kind") == "ordered_item", F.regexp_replace(raw, ORDERED, ""))
-        .when(F.col("kind") == "bullet_item", F.regexp_replace(raw, BULLET, ""))
-        .when(F.col("kind") == "quote", F.regexp_replace(raw, QUOTE, ""))
-        .when(F.col("kind") == "rule", F.lit(""))
-        .when(F.col("kind") == "paragraph", F.trim(raw))
-        .otherwise(raw)
-    )
-    before = F.lag("kind").over(w)
-    single = F.col("kind").isin("heading", "rule", "ordered_item", "bullet_item")
-    # A fence that opens starts a block even right after another code block.
-    opens = (F.col("_f") == 1) & (F.col("_open") % 2 == 1)
-    new = single | opens | F.coalesce(before != F.col("kind"), F.lit(True))
-    blocks = (
-        lines.withColumn("kind", kind)
-        .withColumn("level", level.cast("bigint"))
-        .withColumn("_t", content)
-        .withColumn("_new", new.cast("int"))
-        .withColumn("_b", F.sum("_new").over(upto))
-        .filter("kind <> 'blank'")
-        .groupBy(key, "_b")
-        .agg(
-            F.first("kind").alias("kind"),
-            F.first("level").alias("level"),
-            F.sort_array(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("line", "_t")))).alias("_ls"),
-        )
-    )
-    pieces = F.transform("_ls", lambda v: v["_t"])
-    joined = F.when(F.col("kind") == "paragraph", F.array_join(pieces, " ")).otherwise(F.array_join(pieces, "\n"))
-    no = F.row_number().over(W.partitionBy(key).orderBy("_b")).cast("bigint")
-    return blocks.withColumn("block_no", no).select(key, "block_no", "kind", "level", joined.alias("text"))
+    """(key, block_no, kind, level, ordinal, text, path, stack, blank), one row per leaf block.
+
+    ``kind`` is heading, paragraph, code, table, rule, or empty (a container without
+    content). ``level`` is the heading's level or the depth of lists, ``ordinal`` the number of
+    the innermost numbered item. ``path`` names the containers, such as ``quote/ul``;
+    ``stack`` tells them apart; ``blank`` says that a blank line stands before the block.
+
+    The lines of a text pass an automaton with a container stack (``functions.blocks``), once
+    per document and many documents per Arrow batch; a document is one row, so nothing shuffles.
+    """
+    import pyarrow as pa
+
+    field = pa.struct([("kind", pa.string()), ("id", pa.int32())])
+    struct = pa.struct(
+        [("kind", pa.string()), ("level", pa.int64()), ("ordinal", pa.int64()), ("text", pa.string()), ("blank", pa.bool_()), ("stack", pa.list_(field))]
+    )
+
+    def run(batches):
+        from quire.functions.blocks import blocks_of
+
+        for batch in batches:
+            found = [
+                [
+                    {"kind": k, "level": n, "ordinal": o, "text": t, "blank": b, "stack": [{"kind": c, "id": i} for c, i in st]}
+                    for k, n, o, t, b, st in blocks_of(value)
+                ]
+                for value in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(struct))], [key, "_blocks"])
+
+    typed = f"`{key}` {docs.schema[key].dataType.simpleString()}, _blocks array<{BLOCK}>"
+    parsed = docs.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(run, typed)
+    rows = parsed.select(key, F.posexplode("_blocks").alias("_i", "_b"))
+    # an item adds nothing to the path that its list does not say
+    path = F.array_join(F.transform(F.filter("_b.stack", lambda c: c["kind"] != "li"), lambda c: c["kind"]), "/")
+    return rows.select(
+        key, (F.col("_i") + 1).cast("bigint").alias("block_no"), "_b.kind", "_b.level", "_b.ordinal", "_b.text",
+        path.alias("path"), "_b.stack", "_b.blank",
+    )
+
+
+# A code span between backtick runs of one length, or an escaped sign.
+LITERAL = r"(?s)`(?<!``)(`*+)(?!`).*?`(?<!``)\1(?!`)|\\[!-/:-@\[-`{-~]"
+# Stand for a literal, and for the ends of a link, while the other rules run.
+MASK, LINK_START, LINK_END = "\ue001", "\ue002", "\ue003"
+WEB_LINK = rf"(?i)^(?:https?|mailto):"
+LINK_SPAN = r"\[([^\[\]]*)\]\(([^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:\s+&quot;.*?&quot;)?\)"
+
+
+def _let(value, use):
+    """``use(value)`` with ``value`` worked out once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _refill(text, mark, pieces):
+    """``text`` with the ``mark`` number ``i`` replaced by ``pieces[i]``."""
+    blank = F.lit("")
+    return _let(text, lambda t: F.when(
+        F.contains(t, F.lit(mark)),
+        F.array_join(F.zip_with(F.split(t, mark), pieces, lambda g, p: F.concat(F.coalesce(g, blank), F.coalesce(p, blank))), ""),
+    ).otherwise(t))
+
+
+# Sign, pattern and replacement of the paired signs, in order. Each pattern begins with its sign
+# and looks back over it, so that a search skips what lies between two signs.
+EMPHASIS = (
+    ("*", r"\*(?<!\*\*)\*\*(?=[^\s*])([^*]+?)(?<=[^\s*])\*\*\*(?!\*)", "<em><strong>$1</strong></em>"),
+    ("*", r"\*(?<!\*\*)\*(?=[^\s*])(.+?)(?<=[^\s*])\*\*(?!\*)", "<strong>$1</strong>"),
+    ("_", r"_(?<![\p{L}\p{N}_]_)_(?=\S)(.+?)(?<=\S)__(?![\p{L}\p{N}_])", "<strong>$1</strong>"),
+    ("*", r"\*(?<!\*\*)(?=[^\s*])([^*]*?)(?<=[^\s*])\*(?!\*)", "<em>$1</em>"),
+    ("_", r"_(?<![\p{L}\p{N}_]_)(?=[^\s_])([^_]*?)(?<=\S)_(?![\p{L}\p{N}_])", "<em>$1</em>"),
+    ("~", r"~~(?=\S)(.+?)(?<=\S)~~", "<del>$1</del>"),
+)
 
 
 def inline_html(text):
-    """Inline Markdown of one block as HTML: code, strong, em, strike-through,
-    links with a safe scheme; images only when embedded as data."""
-    out = T.escape_html(text)
-    out = F.regexp_replace(out, r"`([^`]+)`", "<code>$1</code>")
-    out = F.regexp_replace(out, r"!\[([^\]]*)\]\((data:image/[^)\s]*)\)", '<img src="$2" alt="$1">')
-    out = F.regexp_replace(out, r"!\[([^\]]*)\]\([^)]*\)", "[图片：$1]")
-    out = F.regexp_replace(out, r"\[([^\]]*)\]\(((?:https?|mailto):[^)\s]*)\)", '<a href="$2">$1</a>')
-    out = F.regexp_replace(out, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(out, r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
-    out = F.regexp_replace(out, r"\*([^*\s][^*]*)\*", "<em>$1</em>")
-    return F.regexp_replace(out, r"~~([^~]+)~~", "<del>$1</del>")
+    """Inline Markdown of one block as HTML: code, strong, em, strike-through, links with a
+    safe scheme; images only when embedded as data. Code spans and escaped signs are set aside
+    before any other rule runs, addresses of links before emphasis does."""
+
+    def replaced(t, sign, pattern, to):
+        return F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, to)).otherwise(t)
+
+    def pictured(t):
+        out = F.regexp_replace(t, r"!\[([^\]]*)\]\((data:image/[^)\s]*)\)", '<img src="$2" alt="$1">')
+        out = F.regexp_replace(out, r"!\[\]\([^)]*\)", f"[图片：{NO_ALT}]")
+        return F.when(F.contains(t, F.lit("![")), F.regexp_replace(out, r"!\[([^\]]*)\]\([^)]*\)", "[图片：$1]")).otherwise(t)
+
+    def literal(v):
+        # the text between the backticks; one blank on both sides belongs to the marks
+        inner = F.regexp_replace(F.regexp_replace(v, r"\A`+|`+\z", ""), r"(?s)\A (.*\S.*) \z", "$1")
+        code = F.concat(F.lit("<code>"), T.escape_html(F.replace(inner, F.lit("\n"), F.lit(" "))), F.lit("</code>"))
+        return F.when(v.startswith("`"), code).otherwise(T.escape_html(v.substr(F.lit(2), F.lit(1))))
+
+    def linked(t):
+        hrefs = F.regexp_extract_all(t, F.lit(LINK_SPAN), F.lit(2))
+        out = replaced(t, "[", LINK_SPAN, f"{LINK_START}$1{LINK_END}")
+        for sign, pattern, to in EMPHASIS:
+            out = _let(out, lambda v: replaced(v, sign, pattern, to))  # noqa: B023 - called at once
+        safe = lambda yes: F.transform(hrefs, lambda h: F.when(h.rlike(WEB_LINK), yes(h)).otherwise(F.lit("")))
+        out = _refill(out, LINK_START, safe(lambda h: F.concat(F.lit('<a href="'), h, F.lit('">'))))
+        return _refill(out, LINK_END, safe(lambda h: F.lit("</a>")))
+
+    def marked(t):
+        return _refill(_let(_let(T.escape_html(F.regexp_replace(t, LITERAL, MASK)), pictured), linked), MASK, F.transform(F.regexp_extract_all(t, F.lit(LITERAL), F.lit(0)), literal))
+
+    plain = F.regexp_replace(text, f"[{MASK}{LINK_START}{LINK_END}]", "")
+    # Most texts have none of the signs.
+    return F.when(text.rlike(r"[`*_~\[\\]"), _let(plain, marked)).otherwise(T.escape_html(plain))
+
+
+def table_cells(row):
+    """Cells of a table row; a bar behind a backslash belongs to its cell."""
+    bare = F.regexp_replace(T.strip(row), r"^\||(?<!\\)\|$", "")
+    return F.transform(F.split(bare, r"(?<!\\)\|"), lambda c: F.replace(T.strip(c), F.lit("\\|"), F.lit("|")))
 
 
 def _table_html(text):
-    rows = F.filter(F.split(text, "\n"), lambda r: ~r.rlike(TABLE_RULE))
-    cells = lambda r: F.split(F.regexp_replace(F.trim(r), r"^\||\|$", ""), r"\|")
+    """A header row, its delimiter row (not shown) and rows as wide as the header."""
+    lines = F.split(text, "\n")
+    width = F.size(table_cells(F.get(lines, F.lit(0))))
     row = lambda r: F.concat(
         F.lit("<tr>"),
-        F.array_join(F.transform(cells(r), lambda c: F.concat(F.lit("<td>"), inline_html(F.trim(c)), F.lit("</td>"))), ""),
+        F.array_join(
+            F.transform(
+                F.slice(F.concat(table_cells(r), F.array_repeat(F.lit(""), width)), F.lit(1), width),
+                lambda c: F.concat(F.lit("<td>"), inline_html(c), F.lit("</td>")),
+            ),
+            "",
+        ),
         F.lit("</tr>"),
     )
+    rows = F.concat(F.slice(lines, F.lit(1), F.lit(1)), F.slice(lines, F.lit(3), F.size(lines)))
     return F.concat(F.lit("<table>"), F.array_join(F.transform(rows, row), ""), F.lit("</table>"))
 
 
+TAGS = {"quote": "blockquote", "ul": "ul", "ol": "ol", "li": "li"}
+
+
 def markdown_to_html(blocks, key="doc_id"):
-    """One HTML text per document from its blocks; list items of one kind in a row
-    share a list."""
-    w = W.partitionBy(key).orderBy("block_no")
+    """One HTML text per document from its blocks.
+
+    Tags of containers open and close where the stacks of neighbouring blocks part. A list is
+    loose if a blank line stands between two blocks whose innermost common list it is; in other
+    lists paragraphs that stand in an item carry no tag of their own.
+    """
     kind, text = F.col("kind"), F.col("text")
-    item = kind.isin("ordered_item", "bullet_item")
-    lst = F.when(kind == "ordered_item", F.lit("ol")).otherwise(F.lit("ul"))
-    opens = item & ~F.coalesce(F.lag("kind").over(w) == kind, F.lit(False))
-    closes = item & ~F.coalesce(F.lead("kind").over(w) == kind, F.lit(False))
-    level = F.col("level").cast("string")
     body = (
-        F.when(kind == "heading", F.concat(F.lit("<h"), level, F.lit(">"), inline_html(text), F.lit("</h"), level, F.lit(">")))
-        .when(kind == "rule", F.lit("<hr>"))
+        F.when(kind == "rule", F.lit("<hr>"))
         .when(kind == "code", F.concat(F.lit("<pre>"), T.escape_html(text), F.lit("</pre>")))
-        .when(kind == "quote", F.concat(F.lit("<blockquote><p>"), inline_html(text), F.lit("</p></blockquote>")))
         .when(kind == "table", _table_html(text))
-        .when(item, F.concat(F.lit("<li>"), inline_html(text), F.lit("</li>")))
-        .otherwise(F.concat(F.lit("<p>"), inline_html(text), F.lit("</p>")))
+        .otherwise(inline_html(text))
     )
-    piece = F.concat(
-        F.when(opens, F.concat(F.lit("<"), lst, F.lit(">"))).otherwise(F.lit("")),
-        body,
-        F.when(closes, F.concat(F.lit("</"), lst, F.lit(">"))).otherwise(F.lit("")),
-    )
-    return (
-        blocks.withColumn("_p", piece)
+    docs = (
+        blocks.withColumn("_body", body)
         .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("block_no", "_p"))).alias("_ps"))
-        .select(key, F.array_join(F.transform("_ps", lambda p: p["_p"]), "").alias("html"))
-    )
+        .agg(F.sort_array(F.collect_list(F.struct("block_no", "kind", "level", "_body", "blank", "stack"))).alias("_bs"))
+    )
+    none = F.array().cast(STACK)
+    docs = docs.withColumn("_before", F.concat(F.array(none), F.transform("_bs", lambda b: b["stack"])))
+    # depth to which the stack of each block equals the one before it
+    shared = lambda a, b: F.coalesce(
+        F.nullif(F.array_position(F.zip_with(a, b, lambda x, y: x["id"].eqNullSafe(y["id"])), F.lit(False)), F.lit(0)) - 1, F.size(b)
+    ).cast("int")
+    docs = docs.withColumn(
+        "_bs", F.transform("_bs", lambda b, i: F.struct(
+            *[b[c].alias(c) for c in ("kind", "level", "_body", "blank", "stack")],
+            F.get("_before", i).alias("before"), shared(F.get("_before", i), b["stack"]).alias("common"),
+        ))
+    )
+    lists = lambda st: F.filter(st, lambda c: c["kind"].isin("ul", "ol"))
+    loose = F.transform(F.filter("_bs", lambda b: b["blank"]), lambda b: F.try_element_at(lists(F.slice(b["stack"], F.lit(1), b["common"])), F.lit(-1))["id"])
+    docs = docs.withColumn("_loose", F.array_compact(loose))
+    name = lambda c: F.element_at(F.create_map(*[F.lit(v) for kv in TAGS.items() for v in kv]), c["kind"])
+    opened = lambda st: F.array_join(F.transform(st, lambda c: F.concat(F.lit("<"), name(c), F.lit(">"))), "")
+    closed = lambda st: F.array_join(F.transform(F.reverse(st), lambda c: F.concat(F.lit("</"), name(c), F.lit(">"))), "")
+    behind = lambda st, n: F.slice(st, n + 1, F.size(st))
+
+    def piece(b):
+        in_item = F.coalesce(F.try_element_at(b["stack"], F.lit(-1))["kind"] == "li", F.lit(False))
+        tight = in_item & ~F.coalesce(F.array_contains("_loose", F.try_element_at(lists(b["stack"]), F.lit(-1))["id"]), F.lit(False))
+        tag = F.when(b["kind"] == "heading", F.concat(F.lit("h"), b["level"])).when((b["kind"] == "paragraph") & ~tight, F.lit("p"))
+        shown = F.when(tag.isNotNull(), F.concat(F.lit("<"), tag, F.lit(">"), b["_body"], F.lit("</"), tag, F.lit(">"))).otherwise(b["_body"])
+        return F.concat(closed(behind(b["before"], b["common"])), opened(behind(b["stack"], b["common"])), shown)
+
+    last = closed(F.element_at("_before", -1))
+    return docs.select(key, F.concat(F.array_join(F.transform("_bs", piece), ""), last).alias("html"))
 
 
 def delimited_html(text, sep=","):
@@ -690,7 +755,7 @@ def block_guard(blocks, key="doc_id", max_blocks=MAX_BLOCKS, max_columns=MAX_PRI
     """Documents with too many blocks or a table too wide to print."""
     columns = F.when(
         F.col("kind") == "table",
-        F.array_max(F.transform(F.split("text", "\n"), lambda r: F.size(F.split(F.regexp_replace(F.trim(r), r"^\||\|$", ""), r"\|")))),
+        F.size(table_cells(F.get(F.split("text", "\n"), F.lit(0)))),
     )
     return (
         blocks.groupBy(key)

@@ -63,21 +63,57 @@ def test_delimited_text(spark):
 
 
 def test_markdown_blocks_and_html(spark):
-    text = "# Head #\n\npara one\nstill\n- a\n- b\n1. c\n> q\n> r\n```py\nx < 1\n```\n```\ny\n```\n| a | b |\n|---|---|\n| 1 | **2** |\n---\n[l](https://x.y) [j](javascript:1)"
+    text = "# Head #\n\npara one\nstill\n- a\n- b\n1. c\n> q\n> r\n```py\nx < 1\n```\n```\ny\n```\n| a | b |\n|---|---|\n| 1 | **2** |\n\n---\n[l](https://x.y) [j](javascript:1)"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     blocks = M.markdown_blocks(df)
-    assert [(r.kind, r.level, r.text) for r in blocks.orderBy("block_no").collect()] == [
-        ("heading", 1, "Head"), ("paragraph", 0, "para one still"), ("bullet_item", 1, "a"), ("bullet_item", 1, "b"),
-        ("ordered_item", 1, "c"), ("quote", 0, "q\nr"), ("code", 0, "x < 1"), ("code", 0, "y"),
-        ("table", 0, "| a | b |\n|---|---|\n| 1 | **2** |"), ("rule", 0, ""), ("paragraph", 0, "[l](https://x.y) [j](javascript:1)"),
+    assert [(r.kind, r.level, r.text, r.path) for r in blocks.orderBy("block_no").collect()] == [
+        ("heading", 1, "Head", ""), ("paragraph", 0, "para one still", ""), ("paragraph", 1, "a", "ul"), ("paragraph", 1, "b", "ul"),
+        ("paragraph", 1, "c", "ol"), ("paragraph", 0, "q r", "quote"), ("code", 0, "x < 1", ""), ("code", 0, "y", ""),
+        ("table", 0, "| a | b |\n|---|---|\n| 1 | **2** |", ""), ("rule", 0, "", ""), ("paragraph", 0, "[l](https://x.y) [j](javascript:1)", ""),
     ]
     assert M.markdown_to_html(blocks).first().html == (
-        "<h1>Head</h1><p>para one still</p><ul><li>a</li><li>b</li></ul><ol><li>c</li></ol><blockquote><p>q\nr</p></blockquote>"
+        "<h1>Head</h1><p>para one still</p><ul><li>a</li><li>b</li></ul><ol><li>c</li></ol><blockquote><p>q r</p></blockquote>"
         "<pre>x &lt; 1</pre><pre>y</pre><table><tr><td>a</td><td>b</td></tr><tr><td>1</td><td><strong>2</strong></td></tr></table><hr>"
         '<p><a href="https://x.y">l</a> j</p>'
     )
 
 
+def test_markdown_trees(spark):
+    """Container stacks, fences, underlines, lazy lines, tables and inline rules on texts stated by hand."""
+    cases = {
+        "````\n```\nx\n````\ny": "<pre>```\nx</pre><p>y</p>",
+        "~~~\na\n```\n~~~\nb": "<pre>a\n```</pre><p>b</p>",
+        "```\nopen\n\n": "<pre>open\n</pre>",
+        "Title\n=====\ntext\n---": "<h1>Title</h1><h2>text</h2>",
+        "- a\n  - b\n    - c\n- d": "<ul><li>a<ul><li>b<ul><li>c</li></ul></li></ul></li><li>d</li></ul>",
+        "- a\n\n- b\n  - c\n  - d": "<ul><li><p>a</p></li><li><p>b</p><ul><li>c</li><li>d</li></ul></li></ul>",
+        "- a\n* b\n1. c\n1) d": "<ul><li>a</li></ul><ul><li>b</li></ul><ol><li>c</li></ol><ol><li>d</li></ol>",
+        "- \n- a\n-": "<ul><li></li><li>a</li><li></li></ul>",
+        "-\n\n  foo": "<ul><li></li></ul><p>foo</p>",
+        "> - q\n> ---\n\n> r": "<blockquote><ul><li>q</li></ul><hr></blockquote><blockquote><p>r</p></blockquote>",
+        "> a\n- b\nc\n\n\td": "<blockquote><p>a</p></blockquote><ul><li><p>b c</p><p>d</p></li></ul>",
+        "p\n2. no\n1. yes": "<p>p 2. no</p><ol><li>yes</li></ol>",
+        "    code\n\n    more\n\ntext\n    still": "<pre>code\n\nmore</pre><p>text still</p>",
+        "- a\n\n      code\n  > q": "<ul><li><p>a</p><pre>code</pre><blockquote><p>q</p></blockquote></li></ul>",
+        "x\na|b\n-|-\nc \\| d": "<p>x</p><table><tr><td>a</td><td>b</td></tr><tr><td>c | d</td><td></td></tr></table>",
+        "a|b\n-": "<h2>a|b</h2>",
+        "`x **y**` and ``a ` b`` and \\`no\\`": "<p><code>x **y**</code> and <code>a ` b</code> and `no`</p>",
+        "***b*** **b *e* b** x*** y*** _e_ a_b_c 2 * 3 * 4 <i>": "<p><em><strong>b</strong></em> <strong>b <em>e</em> b</strong> x*** y*** <em>e</em> a_b_c 2 * 3 * 4 &lt;i&gt;</p>",
+        "[a `]` b](http://x.y/(z)) ![](u) \ue001\ue002": '<p><a href="http://x.y/(z)">a <code>]</code> b</a> [图片：未提供替代文字] </p>',
+    }
+    df = spark.createDataFrame(list(enumerate([*cases, None, ""])), "doc_id int, text string")
+    got = {r.doc_id: r.html for r in M.markdown_to_html(M.markdown_blocks(df)).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
+    assert len(got) == len(cases)
+
+
+def test_markdown_of_many_lines(spark):
+    """One long document in a single pass; deep stacks and long fences do no harm."""
+    text = "\n".join(["- " * 200 + "x", "```", "y" * 100_000, *["a"] * 50_000, "```", *["> q", ""] * 5_000])
+    rows = M.markdown_blocks(spark.createDataFrame([(1, text)], "doc_id int, text string"))
+    assert rows.count() == 5_002 and rows.agg(F.max("level")).first()[0] == 200
+
+
 def test_sheet_runs(spark):
     rows = [
         ("s", 1, 1, "a", None, 2, 1), ("s", 1, 2, "", None, 3, 1), ("s", 1, 3, "", "9.5", 1, 1),
