@@ -33,171 +33,55 @@ def html_body(html):
     return F.when(F.coalesce(ok, F.lit(False)), html.substr(start + 1, end - start - 1)).otherwise(html)
 
 
-# Named entities that are decoded.
-ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&middot;": "·",
-    "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»",
-}
-# Stands for a decoded ampersand while the other entities are decoded.
-HELD = "\ue000"
-
-
-def decode_entities(col):
-    """Named entities of the list above and numeric ones, each decoded once."""
-
-    def number(part):
-        digits = F.regexp_extract(part, r"^([0-9]+|[xX][0-9A-Fa-f]+);", 1)
-        hexa = F.when(F.lower(digits).startswith("x"), digits.substr(F.lit(2), F.length(digits))).otherwise(
-            F.hex(digits.try_cast("bigint"))
-        )
-        known = (digits != "") & (F.length(hexa) <= 6)
-        char = F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")
-        rest = part.substr(F.length(digits) + 2, F.length(part))
-        return F.when(known, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
-
-    # An ampersand that was written as an entity must not begin another one.
-    out = F.replace(col, F.lit("&amp;"), F.lit(HELD))
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    parts = F.split(out, "&#")
-    numeric = F.concat(
-        F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), number), "")
-    )
-    out = F.when(F.contains(out, F.lit("&#")), numeric).otherwise(out)
-    return F.when(F.contains(col, F.lit("&")), F.replace(out, F.lit(HELD), F.lit("&"))).otherwise(col)
-
+NO_ALT = "未提供替代文字"
 
-# Elements never shown, and tags that start a block.
-DROPPED = r"(?is)<(script|style|noscript|iframe|object|head|svg)\b[^>]*>.*?</\1\s*>"
-COMMENT = r"(?s)<!--.*?-->"
-# What stands between a tag's name and its end; a quoted value may hold anything.
-INSIDE = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')"
-TAG = rf"</?[A-Za-z]{INSIDE}*>|<[!?][^>]*>"
-BLOCK_TAG = rf"(?i)</?(?:h[1-6]|p|div|section|article|ul|ol|li|blockquote|pre|table|tr|td|th|hr)(?:\s{INSIDE}*)?/?>"
-HIDDEN = rf"(?is)<([a-z][a-z0-9]*)\b{INSIDE}*?\shidden(?=[\s>=/]){INSIDE}*>.*?</\1\s*>"
 
+def _read_pages(pages, key, html, out_type, values):
+    """``values(Page)`` of every page as a column; many pages per Arrow batch, no shuffle.
 
-def with_visible(pages, html, out="_visible"):
-    """Adds the shown part of a page: comments, the parts outside the body, dropped
-    and hidden elements removed. Step by step, because each step reads its input
-    several times and must not repeat the step before."""
-    return (
-        pages.withColumn(out, F.regexp_replace(html, COMMENT, ""))
-        .withColumn(out, html_body(F.col(out)))
-        .withColumn(out, F.regexp_replace(out, DROPPED, ""))
-        .withColumn(
-            out, F.when(F.col(out).rlike(r"(?i)\shidden[\s>=]"), F.regexp_replace(out, HIDDEN, "")).otherwise(F.col(out))
-        )
-    )
+    Elements close by rules of nesting, which a stack keeps (``functions.page_tree``).
+    """
+    import pyarrow as pa
 
+    name, typed = out_type.split(" ", 1)
+    kinds = {"string": pa.string(), "array<array<string>>": pa.list_(pa.list_(pa.string()))}
 
-def _segments(html):
-    """array<struct<tag,html>>: the text after each block tag, with the tag's name
-    (``/p`` for a closing one); the first has an empty tag."""
-    tags = F.transform(
-        F.regexp_extract_all(html, F.lit("(" + BLOCK_TAG + ")"), 1),
-        lambda t: F.lower(F.regexp_extract(t, r"^<(/?[A-Za-z0-9]+)", 1)),
-    )
-    texts = F.split(html, BLOCK_TAG)
-    return F.zip_with(
-        F.concat(F.array(F.lit("")), tags), texts, lambda g, t: F.struct(g.alias("tag"), t.alias("html"))
-    )
+    def run(batches):
+        from quire.functions.page_tree import Page
 
+        for batch in batches:
+            read = [values(Page(source)) for source in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(read, kinds[typed])], [key, name])
 
-def _plain(html):
-    return T.collapse(decode_entities(F.regexp_replace(html, TAG, "")))
+    key_type = pages.schema[key].dataType.simpleString()
+    return pages.select(key, F.col(html).cast("string").alias("_html")).mapInArrow(run, f"`{key}` {key_type}, {name} {typed}")
 
 
 def html_blocks(pages, key="page_id", html="html"):
-    """(key, ordinal, kind, text) rows; kind is the tag the text follows."""
-    segs = with_visible(pages.select(key, html), html).select(key, _segments(F.col("_visible")).alias("_segs"))
-    texts = F.transform(
-        "_segs",
-        lambda s: F.struct(
-            F.when((s["tag"] == "") | s["tag"].startswith("/"), F.lit("text")).otherwise(s["tag"]).alias("kind"),
-            _plain(s["html"]).alias("text"),
-        ),
-    )
-    # The expression is exploded directly: a named column would have its size tested
-    # in a filter pushed to the scan, and be worked out twice.
-    return segs.select(
-        key, F.posexplode(F.filter(texts, lambda s: s["text"] != "")).alias("_i", "_s")
-    ).select(
-        key, (F.col("_i") + 1).cast("bigint").alias("ordinal"), F.col("_s.kind").alias("kind"), F.col("_s.text").alias("text")
+    """(key, ordinal, kind, text) rows; kind is the tag the text follows (``text`` behind a
+    closing one). Hidden and script content is left out."""
+    rows = _read_pages(pages, key, html, "_blocks array<array<string>>", lambda p: p.blocks)
+    return rows.select(key, F.posexplode("_blocks").alias("_i", "_b")).select(
+        key, (F.col("_i") + 1).cast("bigint").alias("ordinal"), F.col("_b")[0].alias("kind"), F.col("_b")[1].alias("text")
     )
 
 
-LINK = r"(?is)(<a\s[^>]*>.*?</a>)"
 SAFE_LINK = r"(?i)^(https?:|mailto:|#)"
 
 
 def html_links(pages, key="page_id", html="html"):
-    """(key, ordinal, href, text, kept) of the links; ``kept`` = scheme allowed."""
-    found = with_visible(pages.select(key, html), html).select(
-        key, F.posexplode(F.regexp_extract_all("_visible", F.lit(LINK), 1)).alias("_i", "_a")
-    )
-    href = F.regexp_extract("_a", r"(?i)^<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']", 1)
-    return found.select(
-        key, (F.col("_i") + 1).cast("bigint").alias("ordinal"), href.alias("href"), _plain(F.col("_a")).alias("text")
+    """(key, ordinal, href, text, kept) of the shown links; ``kept`` = scheme allowed."""
+    rows = _read_pages(pages, key, html, "_links array<array<string>>", lambda p: p.links)
+    return rows.select(key, F.posexplode("_links").alias("_i", "_a")).select(
+        key, (F.col("_i") + 1).cast("bigint").alias("ordinal"), F.col("_a")[0].alias("href"), F.col("_a")[1].alias("text")
     ).withColumn("kept", F.col("href").rlike(SAFE_LINK))
 
 
-INLINE = "struct<out:string,b:int,i:int,code:int,href:string>"
-NO_ALT = "未提供替代文字"
-
-
-def _attr(tag, name):
-    return F.regexp_extract(tag, rf"(?i)\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
-
-
-def _inline_markdown(html):
-    """One block's inline HTML as Markdown. Emphasis and links left open are closed
-    at the end of the block; a closing tag without an opening one is dropped."""
-    tokens = F.regexp_extract_all(html, F.lit(rf"({TAG}|[^<]+|<)"), 1)
-
-    def step(s, t):
-        name = F.lower(F.regexp_extract(t, r"^<(/?[A-Za-z0-9]+)", 1))
-        raw = decode_entities(t)
-        shown = F.when(s["code"] > 0, F.replace(raw, F.lit("`"), F.lit("\\`"))).otherwise(T.escape_markdown(raw))
-        href = decode_entities(_attr(t, "href"))
-        alt = decode_entities(_attr(t, "alt"))
-        strong, em = name.isin("b", "strong"), name.isin("i", "em")
-        un_strong, un_em = name.isin("/b", "/strong") & (s["b"] > 0), name.isin("/i", "/em") & (s["i"] > 0)
-        piece = (
-            F.when(~t.startswith("<") | (t == "<"), shown)
-            .when(strong | un_strong, F.lit("**"))
-            .when(em | un_em, F.lit("*"))
-            .when((name == "code") | ((name == "/code") & (s["code"] > 0)), F.lit("`"))
-            .when(name == "br", F.lit("\n"))
-            .when(name == "img", F.concat(F.lit("[图片："), F.when(alt == "", F.lit(NO_ALT)).otherwise(alt), F.lit("]")))
-            .when((name == "a") & href.rlike(SAFE_LINK), F.lit("["))
-            .when((name == "/a") & (s["href"] != ""), F.concat(F.lit("]("), F.replace(s["href"], F.lit(")"), F.lit("%29")), F.lit(")")))
-            .otherwise(F.lit(""))
-        )
-        return F.struct(
-            F.concat(s["out"], piece).alias("out"),
-            (s["b"] + F.when(strong, 1).when(un_strong, -1).otherwise(0)).alias("b"),
-            (s["i"] + F.when(em, 1).when(un_em, -1).otherwise(0)).alias("i"),
-            F.when(name == "code", F.lit(1)).when(name == "/code", F.lit(0)).otherwise(s["code"]).alias("code"),
-            F.when((name == "a") & href.rlike(SAFE_LINK), href)
-            .when(name.isin("a", "/a"), F.lit(""))
-            .otherwise(s["href"])
-            .alias("href"),
-        )
-
-    start = F.struct(
-        F.lit("").alias("out"), F.lit(0).alias("b"), F.lit(0).alias("i"), F.lit(0).alias("code"), F.lit("").alias("href")
-    ).cast(INLINE)
-    closed = lambda s: F.concat(
-        s["out"],
-        F.when(s["code"] > 0, F.lit("`")).otherwise(F.lit("")),
-        F.repeat(F.lit("*"), s["i"]),
-        F.repeat(F.lit("**"), s["b"]),
-        F.when(s["href"] != "", F.concat(F.lit("]("), F.replace(s["href"], F.lit(")"), F.lit("%29")), F.lit(")"))).otherwise(F.lit("")),
-    )
-    folded = F.aggregate(tokens, start, step, closed)
-    # Most blocks are plain text and need no token walk.
-    return F.when(F.contains(html, F.lit("<")), folded).otherwise(T.escape_markdown(decode_entities(html)))
+def html_to_markdown(pages, key="page_id", html="html"):
+    """Markdown per page: headings, nested lists, emphasis, safe links, image texts, quotes, code
+    fences and padded tables; hidden and script content dropped. Emphasis that is left open
+    ends with the block around it, where a browser would carry it on."""
+    return _read_pages(pages, key, html, "markdown string", lambda p: p.markdown)
 
 
 def fence_for(content):
@@ -206,119 +90,6 @@ def fence_for(content):
     return F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
 
 
-def _grid_text(rows):
-    """Markdown table of an array of arrays, padded to its widest row."""
-    width = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
-    lines = F.transform(
-        rows,
-        lambda r: F.concat(
-            F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |")
-        ),
-    )
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    all_lines = F.concat(F.slice(lines, F.lit(1), F.lit(1)), F.array(rule), F.slice(lines, F.lit(2), F.size(lines)))
-    return F.when(width > 0, F.array_join(all_lines, "\n")).otherwise(F.lit(""))
-
-
-PAGE_STATE = (
-    "struct<out:array<string>,lists:array<string>,quote:int,held:array<string>,table:int,rows:array<array<string>>>"
-)
-
-
-def html_to_markdown(pages, key="page_id", html="html"):
-    """Markdown per page: headings, lists, emphasis, safe links, image texts,
-    quotes, code fences and padded tables; hidden and script content dropped.
-
-    A row-local fold over the page's blocks; there is no DOM, so emphasis ends with
-    its block where a browser would carry it on.
-    """
-
-    def st(s, **new):
-        names = ["out", "lists", "quote", "held", "table", "rows"]
-        return F.struct(*[new.get(n, s[n]).alias(n) for n in names])
-
-    def step(s, seg):
-        tag, text = seg["tag"], seg["md"]
-        in_list = F.element_at(s["lists"], -1)
-        empty = F.array().cast("array<string>")
-        quoted = F.concat(
-            F.lit("\n\n> "), F.replace(T.strip(F.array_join(s["held"], "")), F.lit("\n"), F.lit("\n> ")), F.lit("\n\n")
-        )
-        cell = F.replace(F.regexp_replace(T.strip(text), r"\n+", " "), F.lit("|"), F.lit("\\|"))
-        rows = s["rows"]
-        last = F.element_at(rows, -1)
-        grown = F.when(tag == "tr", F.concat(rows, F.array(empty))).when(
-            tag.isin("td", "th") & (F.size(rows) > 0),
-            F.concat(F.slice(rows, F.lit(1), F.size(rows) - 1), F.array(F.concat(last, F.array(cell)))),
-        ).when(
-            # Blocks inside a cell add to it.
-            ~tag.rlike("^/?(table|tr)$|^/t[dh]$") & (cell != "") & (F.size(rows) > 0) & (F.size(last) > 0),
-            F.concat(
-                F.slice(rows, F.lit(1), F.size(rows) - 1),
-                F.array(F.concat(F.slice(last, F.lit(1), F.size(last) - 1), F.array(F.trim(F.concat_ws(" ", F.get(last, F.size(last) - 1), cell))))),
-            ),
-        ).otherwise(rows)
-        pieces = F.when(s["quote"] > 0, s["held"]).otherwise(s["out"])
-        # An item or heading whose text comes in a block of its own.
-        waiting = F.coalesce(F.get(pieces, F.size(pieces) - 1).rlike(r"^\n+(- |1\. |#{1,6} )$"), F.lit(False))
-        mark = F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), F.coalesce(tag.substr(F.lit(2), F.lit(1)).try_cast("int"), F.lit(0))), F.lit(" "))
-        piece = (
-            F.when(waiting & tag.rlike("^(p|div|section|article)$"), T.strip(text))
-            .when(tag.rlike("^h[1-6]$") & (T.strip(text) == ""), mark)
-            .when(tag.rlike("^h[1-6]$"), F.concat(mark, T.strip(text), F.lit("\n\n")))
-            .when(tag.rlike("^/h[1-6]$"), F.concat(F.lit("\n\n"), text))
-            .when(tag == "hr", F.concat(F.lit("\n\n---\n\n"), text))
-            .when(tag == "pre", seg["fenced"])
-            .when(tag == "li", F.concat(F.lit("\n"), F.when(in_list == "ol", F.lit("1. ")).otherwise(F.lit("- ")), T.strip(text)))
-            .when(tag.rlike("^/?(p|div|section|article|ul|ol)$"), F.concat(F.lit("\n\n"), text))
-            .otherwise(text)
-        )
-        in_table, in_quote = s["table"] > 0, s["quote"] > 0
-        add = lambda a, v: F.concat(a, F.array(v))
-        lists = F.when(tag.isin("ul", "ol"), add(s["lists"], tag)).when(
-            tag.isin("/ul", "/ol"), F.slice(s["lists"], F.lit(1), F.greatest(F.size(s["lists"]) - 1, F.lit(0)))
-        ).otherwise(s["lists"])
-        grid = F.concat(F.lit("\n\n"), _grid_text(rows), F.lit("\n\n"), text)
-        deep = s["table"] + F.when(tag == "table", 1).when(tag == "/table", -1).otherwise(0)
-        table_ends = (tag == "/table") & (s["table"] == 1)
-        return (
-            F.when(table_ends & in_quote, st(s, held=add(s["held"], grid), table=F.lit(0), rows=F.array().cast("array<array<string>>")))
-            .when(table_ends, st(s, out=add(s["out"], grid), table=F.lit(0), rows=F.array().cast("array<array<string>>")))
-            .when(in_table | (tag == "table"), st(s, table=F.greatest(deep, F.lit(0)), rows=grown))
-            .when(tag == "blockquote", st(s, quote=s["quote"] + 1, held=F.when(in_quote, add(s["held"], text)).otherwise(F.array(text))))
-            .when((tag == "/blockquote") & (s["quote"] == 1), st(s, quote=F.lit(0), held=empty, out=add(add(s["out"], quoted), text)))
-            .when((tag == "/blockquote") & in_quote, st(s, quote=s["quote"] - 1, held=add(s["held"], text)))
-            .when(in_quote, st(s, held=add(s["held"], piece), lists=lists))
-            .otherwise(st(s, out=add(s["out"], piece), lists=lists))
-        )
-
-    def ready(seg):
-        bare = decode_entities(F.regexp_replace(seg["html"], TAG, ""))
-        fence = fence_for(bare)
-        return F.struct(
-            seg["tag"].alias("tag"),
-            _inline_markdown(seg["html"]).alias("md"),
-            F.when(
-                seg["tag"] == "pre", F.concat(F.lit("\n\n"), fence, F.lit("\n"), bare, F.lit("\n"), fence, F.lit("\n\n"))
-            ).alias("fenced"),
-        )
-
-    none = F.array().cast("array<string>")
-    start = F.struct(
-        none.alias("out"), none.alias("lists"), F.lit(0).alias("quote"), none.alias("held"), F.lit(0).alias("table"),
-        F.array().cast("array<array<string>>").alias("rows"),
-    ).cast(PAGE_STATE)
-    joined = F.aggregate("_ready", start, step, lambda s: F.array_join(F.concat(s["out"], s["held"]), ""))
-    tidy = F.regexp_replace(F.regexp_replace("_joined", r"\n[ \t]+", "\n"), r"\n{3,}", "\n\n")
-    return (
-        with_visible(pages.select(key, html), html)
-        .select(key, _segments(F.col("_visible")).alias("_segs"))
-        .select(key, F.transform("_segs", ready).alias("_ready"))
-        .select(key, joined.alias("_joined"))
-        .select(key, F.concat(T.strip(tidy), F.lit("\n")).alias("markdown"))
-    )
-
-
 # ---------------------------------------------------------------- tables
 
 MAX_COLUMNS, MAX_ROWS = 128, 20_000

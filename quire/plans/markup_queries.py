@@ -37,15 +37,31 @@ def h2(spark, sf):
     return _html(spark, sf).select("page_id", M.html_body(F.col("html")).alias("body"))
 
 
-@query("h3_html_to_markdown")
-def h3(spark, sf):
-    return M.html_to_markdown(_html(spark, sf))
+# The references that occur in the pages.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
 
 def _decoded(c):
-    for entity, char in M.ENTITIES.items():
-        c = f"replace({c}, '{entity}', '{char}')" if char != "'" else f"replace({c}, '{entity}', '''')"
-    return f"replace({c}, '&amp;', '&')"
+    for entity, char in ENTITIES.items():
+        c = f"replace({c}, '{entity}', '{char}')"
+    return c
+
+
+# The pages use few tags; their Markdown is spelled out tag by tag. An open <b> ends with its paragraph.
+PIECES = r"""list_transform(regexp_extract_all(regexp_replace(regexp_replace(html, '<b>([^<]*)<br>', '<b>\1<br></b>', 'g'), '\s+((</a>)?</(h1|li)>)', '\1', 'g'), '<[^>]*>|[^<]+'), lambda t: CASE
+  WHEN t IN ('<b>', '</b>') THEN '**' WHEN t = '<br>' THEN chr(10) WHEN t = '<li>' THEN chr(10) || '- ' WHEN t = '<h1>' THEN chr(10) || chr(10) || '# '
+  WHEN regexp_matches(t, '^</?(h1|p|div|article|ul)[ >]') THEN chr(10) || chr(10) WHEN starts_with(t, '<') THEN ''
+  ELSE regexp_replace({text}, '([\\`*_\[\]])', '\\\1', 'g') END)"""
+
+
+@query(
+    "h3_html_to_markdown",
+    f"""WITH seen AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<head>.*?</head>', '') AS html FROM pages),
+md AS (SELECT page_id, array_to_string({PIECES.format(text=_decoded("t"))}, '') AS m FROM seen)
+SELECT page_id, trim(regexp_replace(regexp_replace(m, '\\n[ \\t]+', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {WS}) || chr(10) AS markdown FROM md""",
+)
+def h3(spark, sf):
+    return M.html_to_markdown(_html(spark, sf))
 
 
 def _plain(c):
@@ -60,6 +76,62 @@ vis AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(body, '(?is
    '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g'), '(?is)<head\\b[^>]*>.*?</head\\s*>', '', 'g') AS html FROM bodies)"""
 
 
+# Constructs of the HTML fixture: source with a line's words for §, its Markdown, and its links, stated by hand.
+PAGE_PARTS = [
+    ('<A Title="x > y" href=https://x.test/a?b=1&amp;c=(2)>§ <i>z</i></a>', "[§ *z*](https://x.test/a?b=1&c=(2%29)", [("https://x.test/a?b=1&c=(2)", "§ z")]),
+    ('<a href="http://x.y"><div>§</div></a> <a href="javascript:1">n</a>', "[\n\n§\n\n](http://x.y) n", [("http://x.y", "§"), ("javascript:1", "n")]),
+    ("<ul><li>§<ul><li>b<ol><li>c<li>d</ol></ul><li><p>e</p><p>§</p></ul>", "- §\n\n  - b\n\n    1. c\n    1. d\n- e\n\n  §", []),
+    ("<div hidden>a<div>b</div><a href='#'>§</a>LEAK</div>§<p hidden=''>no<p>yes", "§\n\nyes", []),
+    ("<code>§ <b>*z*</b> `</code> 1 < 2 &lt;§&gt; a_b", "`§ *z* \\`` 1 < 2 <§> a\\_b", []),
+    ("<table><caption>no</caption><tfoot><tr><td>f<tbody><tr><td>§|x<td><p>1</p><p>2</p><thead><tr><th>A<th>B<th>C</table>",
+     "| A | B | C |\n| --- | --- | --- |\n| §\\|x | 1 2 |  |\n| f |  |  |", []),
+    ("<blockquote><p>§<br>z<blockquote>q</blockquote></blockquote>", "> §\n> z\n> \n> \n> \n> > q", []),
+    ("<pre>\n§ ``` <b>z</b></pre><hr><img alt='§' src=x><img>", "````\n§ ``` z\n````\n\n---\n\n[图片：§][图片：未提供替代文字]", []),
+    ("<h2><div>§</div></h2><p><b>open<p>§</b><script>if (a</b) '<p>no'</script><style>p{}</style><!-- <p>no -->", "## §\n\n**open**\n\n§", []),
+]
+
+
+def _built_pages(spark, sf):
+    """Documents turned into pages: each line becomes a construct by its number."""
+    words = F.transform(F.split("text", "\n"), lambda t: F.trim(F.regexp_replace(t, "[^A-Za-zäöüßéèêáíóúñ]+", " ")))
+    words = F.transform(words, lambda t: F.when(t == "", F.lit("none")).otherwise(t))
+    made = F.array(*[F.lit(c[0]) for c in PAGE_PARTS])
+    parts = F.transform(words, lambda t, i: F.replace(F.get(made, i % len(PAGE_PARTS)), F.lit("§"), t))
+    html = F.concat(F.lit("<!doctype html><html><head><title>t</title><body><section>"), F.array_join(parts, "</section>\n<section>"), F.lit("</section></html>"))
+    return X.table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html"))
+
+
+LINES = (
+    "src AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS t FROM documents),\n"
+    "ln AS (SELECT doc_id, pos, coalesce(nullif(trim(regexp_replace(t, '[^A-Za-zäöüßéèêáíóúñ]+', ' ', 'g'), ' '), ''), 'none') AS t FROM src)"
+)
+
+
+def _lit(v):
+    return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+
+@query(
+    "h3_page_constructs",
+    f"""WITH {LINES},
+con(c, m) AS (VALUES {", ".join(f"({i}, {_lit(c[1])})" for i, c in enumerate(PAGE_PARTS))})
+SELECT doc_id AS page_id, string_agg(replace(m, '§', t), chr(10) || chr(10) ORDER BY pos) || chr(10) AS markdown FROM ln JOIN con ON c = pos % {len(PAGE_PARTS)} GROUP BY doc_id""",
+)
+def h3_constructs(spark, sf):
+    return M.html_to_markdown(_built_pages(spark, sf))
+
+
+@query(
+    "h4_link_constructs",
+    f"""WITH {LINES},
+con(c, sub, href, text) AS (VALUES {", ".join(f"({i}, {j}, {_lit(h)}, {_lit(t)})" for i, c in enumerate(PAGE_PARTS) for j, (h, t) in enumerate(c[2]))})
+SELECT doc_id AS page_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, sub) AS ordinal, href, replace(text, '§', t) AS text, starts_with(href, 'http') AS kept
+FROM ln JOIN con ON c = pos % {len(PAGE_PARTS)}""",
+)
+def h4_link_constructs(spark, sf):
+    return M.html_links(_built_pages(spark, sf))
+
+
 @query(
     "h4_html_blocks",
     f"""WITH {VISIBLE},
@@ -241,13 +313,8 @@ def _markdown(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", F.array_join(lines, "\n\n").alias("text"))
 
 
-def _lit(v):
-    return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-
-
 MARKDOWN = (
-    "src AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS t FROM documents),\n"
-    "ln AS (SELECT doc_id, pos, coalesce(nullif(trim(regexp_replace(t, '[^A-Za-zäöüßéèêáíóúñ]+', ' ', 'g'), ' '), ''), 'none') AS t FROM src),\n"
+    f"{LINES},\n"
     "con(c, sub, kind, level, ordinal, text, path) AS (VALUES "
     + ", ".join(
         f"({i}, {j}, {_lit(k)}, {n}::BIGINT, {_lit(o)}::BIGINT, {_lit(t)}, {_lit(p)})"

@@ -156,3 +156,27 @@ def test_blocks_inside_blocks(spark):
     assert "| cell text more |" in cell
     assert item.split() == ["-", "x", "-", "y"] and "- x" in item
     assert head.startswith("## T") and head.endswith("z")
+
+
+def test_pages_of_odd_shape(spark):
+    """Unclosed, crossed, hidden and endless elements; what takes a stack to tell."""
+    cases = {
+        "<a href=http://x.y>u</a>": "[u](http://x.y)",
+        "<ul><li>a<ul><li>b": "- a\n\n  - b",
+        "<div hidden>a<div>b</div>LEAK</div>": "",
+        "<code><b>z</b></code>": "`z`",
+        "<b>bold<p>x</b>y": "**bold\n\nx\n\n**y",
+        "<table>loose<tr><td><table><tr><td>in|ner</table></table>": "loose\n\n| \\| in\\\\|ner \\| \\| --- \\| |\n| --- |",
+        "<td>cell</td> <li>item": "cell \n- item",
+        "<p title=it's>q</p></p></div>r</br>s": "q\n\nr\ns",
+        "a <p never ends": "a",
+        "<textarea><b>raw</b> &amp;</textarea><iframe><p>no</iframe>": "<b>raw</b> &",
+        "<svg><p>no<svg></svg>no</svg>yes": "yes",
+        "&eacute;&#x4e2d;&#128;&nosuch;": "é中€&nosuch;",
+    }
+    df = spark.createDataFrame(list(enumerate([*cases, None, ""])), "page_id int, html string")
+    got = {r.page_id: r.markdown for r in M.html_to_markdown(df).collect()}
+    assert {h: got[i].strip() for i, h in enumerate(cases)} == cases
+    assert got[len(cases)] == got[len(cases) + 1] == "\n"
+    deep = spark.createDataFrame([(1, "<div>" * 30_000 + "x"), (2, '<p a="' * 30_000), (3, "<td>" * 30_000 + "y")], "page_id int, html string")
+    assert [r.markdown for r in M.html_to_markdown(deep).orderBy("page_id").collect()] == ["x\n", "\n", "y\n"]
