@@ -4,12 +4,15 @@ Catalogue tables are literal and tiny, so they are broadcast; jobs and files are
 only ever aggregated with map-side combine.
 """
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from quire.functions import page_spec as S
 from quire.functions import text as T
-from quire.functions.scale import number_rows
+from quire.functions.scale import running_total
 from quire import catalog as C
+from quire.session import written
 
 ISSUE = ["job_id", "severity", "stage", "code", "detail"]
 
@@ -343,9 +346,6 @@ def dedup_imports(existing, new):
     )
 
 
-NAMED = "array<struct<ord:bigint,name:string,unique_name:string>>"
-
-
 def _ancestors(stem):
     """A stem and what is left of it as its trailing -digits are cut one by one."""
     tail = F.regexp_extract(stem, r"((?:-[0-9]+)*)$", 1)
@@ -357,79 +357,98 @@ def _ancestors(stem):
     )
 
 
+_FREE, _AT = Ty.BooleanType(), Ty.LongType()
+MEETING = Ty.ArrayType(Ty.StructType().add("free0", _FREE).add("free1", _FREE).add("at0", _AT).add("at1", _AT))
+
+
+@F.pandas_udf(MEETING)
+def _meet(numbers: pd.Series, before: pd.Series) -> pd.Series:
+    """What becomes of the given names ``p-k`` of a stem ``p``, in order of ``k``.
+
+    ``before``: files of ``p`` ahead of the given name's first file. Generated names take the
+    free numbers from 2 on, so ``k`` is still free when its own file comes if numbers used up
+    and numbers left out so far do not reach it; it is then left out by all later ones.
+    Counted twice: with the first file of ``p`` numbered itself (0) or bearing the plain name
+    (1). ``at`` is the number of generated names that stand before a number left out.
+    """
+
+    def one(ks, ns):
+        out, left = [], [0, 0]
+        for k, n in zip(ks, ns):
+            row = {}
+            for t in (0, 1):
+                free = left[t] < k - 1 - max(n - t, 0)
+                left[t] += free
+                row[f"free{t}"], row[f"at{t}"] = bool(free), int(k - left[t]) if free else None
+            out.append(row)
+        return out
+
+    return pd.Series([one(*pair) for pair in zip(numbers, before)])
+
+
 def unique_names(files, bucket=None):
     """Case-insensitively unique names and stems inside a job: a taken one gets
     -2, -3, … in upload order.
 
-    Only a stem that occurs twice makes new names, and they all extend it by
-    -digits. So a file is concerned only if its stem, or a shorter form of it, is
-    repeated; the topmost such form is its family. Files without a family keep
-    their names. A family of one stem is numbered bucket by bucket, however many
-    copies there are. Only a family in which generated and given names can meet is
-    folded in order: there, each name depends on all earlier ones.
+    A file's number follows from counts. Files of one stem are numbered bucket by bucket,
+    however many there are. A name that a stem ``p`` generates, ``p-k``, can only meet files
+    given the stem ``p-k``; what counts of those is when the first one comes. So the given
+    numbers of a stem, which are few, are settled from three counts (``_meet``); numbers left
+    out then move later ones up, again by a running count; and whether the first file of
+    ``p-k`` bears its plain name passes down along chains such as ``a``, ``a-2``, ``a-2-2``.
     """
-    base = files.select("job_id", "ord", "name").withColumn("_stem", F.lower(T.stem(F.col("name"))))
-    # Families are found among the distinct stems, not among the files.
-    stems = base.groupBy("job_id", "_stem").agg(F.count(F.lit(1)).alias("n"))
-    forms = stems.select("job_id", "_stem", "n", F.posexplode(_ancestors(F.col("_stem"))).alias("_depth", "_form"))
-    repeated = (
-        forms.groupBy("job_id", "_form")
-        .agg(F.count(F.lit(1)).alias("_kin"), F.max(F.when(F.col("_form") == F.col("_stem"), F.col("n"))).alias("n"))
-        .filter("n > 1")
-        .select("job_id", "_form", "_kin")
-    )
-    families = (
-        forms.drop("n")
-        .join(repeated, ["job_id", "_form"])
-        .groupBy("job_id", "_stem")
-        .agg(F.min(F.struct("_depth", "_form", "_kin")).alias("_top"))
-        .select("job_id", "_stem", F.col("_top._form").alias("_family"), (F.col("_top._kin") > 1).alias("_mixed"))
-    )
-    mixed_stems = families.filter("_mixed").select("job_id", "_stem", "_family")
+    key = ["job_id", "_stem"]
     bucket = F.expr("ord div 256") if bucket is None else bucket
+    base = files.select("job_id", "ord", "name").withColumn("_stem", F.lower(T.stem(F.col("name"))))
+    stems = base.groupBy(*key).agg(F.min("ord").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    form = r"(?s)^(.+)-([2-9]|[1-9][0-9]{1,17})$"
+    given = stems.filter(F.col("_stem").rlike(form)).select(
+        "job_id", F.col("_stem").alias("_child"), F.regexp_extract("_stem", form, 1).alias("_stem"),
+        F.regexp_extract("_stem", form, 2).cast("long").alias("_k"), F.col("_first").alias("ord"),
+    )
+    # one file of a plain stem generates nothing
+    able = stems.filter((F.col("_n") > 1) | F.col("_stem").rlike(form)).select(*key)
+    given = given.join(able, key, "left_semi")
+    events = base.select(*key, "ord", "name", F.lit(None).cast("string").alias("_child"), F.lit(None).cast("long").alias("_k"), F.lit(1).alias("_file"))
+    events = events.unionByName(given.withColumn("name", F.lit(None).cast("string")).withColumn("_file", F.lit(0)))
+    counted = written(running_total(events, key, bucket, ["ord"], F.col("_file"), "_upto"), "names-counted")
+    met = (
+        counted.filter("_file = 0").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_k", "_upto", "_child"))).alias("_g"))
+        .withColumn("_m", _meet("_g._k", "_g._upto"))
+        .select(*key, F.explode(F.arrays_zip("_g", "_m")).alias("_z"))
+        .select("job_id", F.col("_stem").alias("_parent"), F.col("_z._g._child").alias("_stem"), "_z._m.*")
+    )
+    # down each chain from its top: does the first file of a given stem, and of the one before it, bear its plain name?
+    chain = met.select(*key, "_parent", "at0", "at1", F.posexplode(_ancestors(F.col("_stem"))).alias("_depth", "_form"))
+    link = met.select("job_id", F.col("_stem").alias("_form"), F.struct("free0", "free1").alias("_free"))
+    links = chain.join(link, ["job_id", "_form"], "left").groupBy(*key, "_parent", "at0", "at1").agg(
+        F.sort_array(F.collect_list(F.struct("_depth", "_free"))).alias("_links")
+    )
+    plain = lambda chain: F.aggregate(
+        chain, F.lit(True), lambda t, v: F.when(v["_free"].isNull(), F.lit(True)).when(t, v["_free"]["free1"]).otherwise(v["_free"]["free0"])
+    )
+    settled = written(
+        links.select(*key, "_parent", "at0", "at1", plain(F.col("_links")).alias("_plain"), plain(F.slice("_links", 1, F.size("_links") - 1)).alias("_parent_plain")),
+        "names-settled",
+    )
+    left_out = settled.select(
+        "job_id", F.col("_parent").alias("_stem"), F.when(F.col("_parent_plain"), F.col("at1")).otherwise(F.col("at0")).alias("_at")
+    ).filter("_at IS NOT NULL")
+    bears = settled.select(*key, "_plain")
+    rows = counted.filter("_file = 1").join(bears, key, "left").select(
+        *key, "ord", "name", (F.col("_upto") - F.coalesce("_plain", F.lit(True)).cast("int")).cast("long").alias("_at")
+    )
+    both = rows.withColumn("_own", F.lit(0)).unionByName(left_out.withColumn("_own", F.lit(1)), allowMissingColumns=True)
+    rows = running_total(both, key, F.expr("_at div 256"), ["_at", F.col("_own").desc()], F.col("_own"), "_out").filter("_own = 0")
+    number = F.when(F.col("_at") == 0, F.lit(1).cast("long")).otherwise(F.col("_at") + 1 + F.col("_out"))
     ext = F.regexp_extract("name", r"[^./](\.[^./]+)$", 1)
-    # A stem of its own is numbered whether repeated or not: the first keeps its name.
-    alone = number_rows(base, ["job_id", "_stem"], bucket, ["ord"], "_k").join(
-        mixed_stems, ["job_id", "_stem"], "left_anti"
-    )
-    alone = alone.select(
-        "job_id",
-        "ord",
-        "name",
-        F.when(F.col("_k") == 1, F.col("name"))
-        .otherwise(F.concat(T.stem(F.col("name")), F.lit("-"), F.col("_k").cast("string"), ext))
+    return rows.withColumn("_number", number).select(
+        "job_id", "ord", "name",
+        F.when(F.col("_number") == 1, F.col("name"))
+        .otherwise(F.concat(T.stem(F.col("name")), F.lit("-"), F.col("_number").cast("string"), ext))
         .alias("unique_name"),
     )
 
-    def place(s, f):
-        def stem_of(k):
-            return F.when(k == 1, f["stem"]).otherwise(F.concat(f["stem"], F.lit("-"), k.cast("string")))
-
-        ks = F.sequence(F.lit(1).cast("bigint"), F.size(s["used"]).cast("bigint") + 1)
-        k = F.element_at(F.filter(ks, lambda k: ~F.array_contains(s["used"], stem_of(k))), 1)
-        named = F.struct(
-            f["ord"].alias("ord"),
-            f["name"].alias("name"),
-            F.when(k == 1, f["name"]).otherwise(F.concat(f["bare"], F.lit("-"), k.cast("string"), f["ext"])).alias("unique_name"),
-        )
-        return F.struct(
-            F.concat(s["used"], F.array(stem_of(k))).alias("used"), F.concat(s["out"], F.array(named)).alias("out")
-        )
-
-    entry = F.struct(
-        F.col("ord").cast("bigint").alias("ord"), "name", F.col("_stem").alias("stem"),
-        T.stem(F.col("name")).alias("bare"), ext.alias("ext"),
-    )
-    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(NAMED).alias("out"))
-    mixed = (
-        base.join(mixed_stems, ["job_id", "_stem"])
-        .groupBy("job_id", "_family")
-        .agg(F.sort_array(F.collect_list(entry)).alias("_fs"))
-        .select("job_id", F.explode(F.aggregate("_fs", start, place, lambda s: s["out"])).alias("_o"))
-        .select("job_id", "_o.ord", "_o.name", "_o.unique_name")
-    )
-    return alone.unionByName(mixed)
-
 
 MAX_STEM = 80
 

@@ -1,5 +1,7 @@
 """Session helpers shared by tests, the bench and batch jobs."""
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -22,7 +24,7 @@ def local_session(cores="*", app="quire", **conf):
 
 
 def checkpoint_folder(spark):
-    """The shared folder for checkpoints and stream state.
+    """The shared folder for checkpoints, stream state and written intermediates.
 
     A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a local
     test) a folder beside the session's warehouse is taken.
@@ -32,6 +34,12 @@ def checkpoint_folder(spark):
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
+
+
+def written(df, name):
+    """Write ``df`` to the shared folder and read it back: later steps do not repeat it, and a
+    lost executor never reaches behind it."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

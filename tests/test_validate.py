@@ -9,14 +9,17 @@ from quire.operators import validate as V
 
 
 def brute_names(names):
-    used, out = set(), []
+    used, out, tried = set(), [], {}
     for name in names:
         dot = name.rfind(".")
         stem, ext = (name[:dot], name[dot:]) if dot > 0 else (name, "")
-        k, cand = 1, stem
+        # a number that was taken once stays so
+        k = tried.get(stem.lower(), 1)
+        cand = f"{stem}-{k}" if k > 1 else stem
         while cand.lower() in used:
             k += 1
             cand = f"{stem}-{k}"
+        tried[stem.lower()] = k
         used.add(cand.lower())
         out.append(cand + ext)
     return out
@@ -46,6 +49,17 @@ def test_unique_names_match_brute_force(spark, seed):
         assert [got[(j, i)] for i in range(1, len(names) + 1)] == brute_names(names), (j, names)
 
 
+def test_given_and_generated_names_of_a_large_family(spark):
+    """100,000 files: copies of one stem among given numbered ones, in no order of theirs."""
+    rng = random.Random(8)
+    names = ["a.txt"] * 50_000 + [f"A-{k}.md" for k in range(2, 50_002)]
+    rng.shuffle(names)
+    names += ["a-2.x", "a-2-2", "a-02", "a-02"]
+    rows = spark.createDataFrame(list(enumerate(names, 1)), "ord long, name string").withColumn("job_id", F.lit(1))
+    got = [r.unique_name for r in V.unique_names(rows).orderBy("ord").collect()]
+    assert got == brute_names(names)
+
+
 def test_thousands_of_copies_are_numbered_in_order(spark):
     files = spark.range(5000).select(
         F.lit(1).alias("job_id"), (F.col("id") + 1).alias("ord"),
