@@ -6,32 +6,38 @@ from pyspark.sql import functions as F
 
 
 def _accent_pairs():
-    """Latin letters with a single-letter base, by rule from the Unicode data."""
+    """Lower-case letters that Unicode composes of one letter and marks, of any script."""
     src, dst = [], []
-    for block in (range(0x00C0, 0x0180), range(0x1E00, 0x1F00)):
-        for code in block:
-            ch = chr(code)
-            low = ch.lower()
-            base = unicodedata.normalize("NFD", low)[0]
-            if len(low) == 1 and ch == low and base != low and base.isascii():
-                src.append(low)
-                dst.append(base)
+    for code in range(0x00C0, 0x2000):
+        ch = chr(code)
+        parts = unicodedata.normalize("NFD", ch)
+        if ch == ch.lower() and len(parts) > 1 and all(unicodedata.category(m) == "Mn" for m in parts[1:]):
+            src.append(ch)
+            dst.append(parts[0])
     return "".join(src), "".join(dst)
 
 
 ACCENTED, PLAIN = _accent_pairs()
+MARKS = r"\p{Mn}+"
 
 
-def fold_case_accents(col):
-    """Lower case without accents; one character stays one character."""
-    low = F.lower(col)
+def fold_letters(col):
+    """Lower case, composed letters without their accents; one character stays one character
+    (a dotted capital I would become two)."""
+    low = F.lower(F.replace(col, F.lit("İ"), F.lit("i")))
     # Character mapping is the slow part; plain ASCII texts skip it.
     return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, ACCENTED, PLAIN)).otherwise(low)
 
 
+def fold_case_accents(col):
+    """Lower case without accents, whether composed with their letters or not."""
+    return F.regexp_replace(fold_letters(col), MARKS, "")
+
+
 def fold_python(value):
     """The same folding for a query literal."""
-    return value.lower().translate(dict(zip(map(ord, ACCENTED), PLAIN)))
+    low = value.replace("İ", "i").lower().translate(dict(zip(map(ord, ACCENTED), PLAIN)))
+    return "".join(ch for ch in low if unicodedata.category(ch) != "Mn")
 
 
 # White space and punctuation dropped when texts are compared: a fixed pattern.

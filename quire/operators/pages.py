@@ -435,35 +435,52 @@ MAX_QUERY_CHARS = 256
 MAX_MATCHES = 2000
 
 
+def _starts(parts, size):
+    """Places (from 0) at which the pieces of a text are joined by ``size`` characters."""
+    return F.aggregate(
+        F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.struct(F.lit(0).alias("p"), F.array().cast("array<int>").alias("out")).cast("struct<p:int,out:array<int>>"),
+        lambda s, x: F.struct(
+            (s["p"] + F.length(x) + size).alias("p"), F.concat(s["out"], F.array(s["p"] + F.length(x))).alias("out")
+        ),
+        lambda s: s["out"],
+    )
+
+
 def search(pages, query, shown=MAX_MATCHES):
     """All case- and accent-insensitive matches, numbered per document in document
     order; ``shown`` marks those a viewer lists. Positions are 1-based characters of
-    the page."""
+    the page, in the page as it is: marks that the folding drops count.
+
+    Numbers are the matches of earlier pages plus the place in the page, so one row per
+    page, not per match, is sorted within a document.
+    """
     q = query.strip()
-    if not q or len(q) > MAX_QUERY_CHARS:
-        raise ValueError("query must have 1 to 256 characters")
     folded = T.fold_python(q)
-    parts = F.split(T.fold_case_accents(F.col("text")), re.escape(folded), -1)
-    size = F.lit(len(folded))
-    state = "struct<p:int,out:array<int>>"
-    found = F.aggregate(
-        F.slice(F.col("_parts"), F.lit(1), F.greatest(F.size("_parts") - 1, F.lit(0))),
-        F.struct(F.lit(1).alias("p"), F.array().cast("array<int>").alias("out")).cast(state),
-        lambda s, x: F.struct(
-            (s["p"] + F.length(x) + size).alias("p"),
-            F.concat(s["out"], F.array(s["p"] + F.length(x))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    # Pages without a match explode to nothing; a filter would fold each text twice.
-    hits = pages.select("doc_id", "page_no", parts.alias("_parts")).select(
-        "doc_id", "page_no", F.explode(found).alias("char_pos")
-    )
-    w = W.partitionBy("doc_id").orderBy("page_no", "char_pos")
+    if not folded or len(q) > MAX_QUERY_CHARS:
+        raise ValueError("query must have 1 to 256 characters")
+    letters = pages.select("doc_id", "page_no", T.fold_letters(F.col("text")).alias("_t"))
+    marked = F.col("_t").rlike(T.MARKS)
+    found = _starts(F.split(F.regexp_replace("_t", T.MARKS, ""), re.escape(folded), -1), F.lit(len(folded)))
+    # runs of dropped marks: where they stood in the folded text, and how many marks stood up to there
+    gaps = F.split("_t", T.MARKS, -1)
+    runs = F.zip_with(_starts(gaps, F.lit(0)), F.regexp_extract_all("_t", F.lit(f"({T.MARKS})"), 1), lambda at, m: F.struct(at.alias("at"), F.length(m).alias("n")))
+    shifted = F.transform(
+        "_found",
+        lambda p: p + F.aggregate(F.filter("_runs", lambda r: r["at"] <= p), F.lit(0), lambda n, r: n + r["n"]),
+    )
+    hits = (
+        letters.select("doc_id", "page_no", found.alias("_found"), F.when(marked, runs).alias("_runs"))
+        .select("doc_id", "page_no", F.when(F.col("_runs").isNull(), F.col("_found")).otherwise(shifted).alias("_found"))
+    )
+    before = W.partitionBy("doc_id").orderBy("page_no").rowsBetween(W.unboundedPreceding, -1)
     return (
-        hits.withColumn("match_no", F.row_number().over(w).cast("bigint"))
+        hits.withColumn("_before", F.coalesce(F.sum(F.size("_found")).over(before), F.lit(0)))
+        .select("doc_id", "page_no", "_before", F.posexplode("_found").alias("_i", "_p"))
+        .select(
+            "doc_id", "page_no", (F.col("_p") + 1).cast("bigint").alias("char_pos"), (F.col("_before") + F.col("_i") + 1).cast("bigint").alias("match_no")
+        )
         .withColumn("shown", F.col("match_no") <= shown)
-        .withColumn("char_pos", F.col("char_pos").cast("bigint"))
     )
 
 

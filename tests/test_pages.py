@@ -152,6 +152,20 @@ def test_search_folds_case_and_accents(spark):
         P.search(pages, "x" * 257)
 
 
+def test_search_finds_decomposed_letters_in_place(spark):
+    """Marks that stand alone, in the text or in the query, and letters of other scripts."""
+    cases = [
+        ("cafe\u0301 CAFÉ caf\u00e9 \u0301cafe", "café", [1, 7, 12, 18]), ("Istanbul İstanbul istanbul", "istanbul", [1, 10, 19]),
+        ("i\u0307x İx", "IX", [1, 5]), ("Ά ά α \u03b1\u0301", "α", [1, 3, 5, 7]), ("Йод йод и\u0306од", "иод", [1, 5, 9]),
+        ("e\u0301\u0301e\u0323\u0302te", "eete", [1]), ("tie\u0302\u0301ng Vie\u0323\u0302t", "việt", [9]), ("a.b a\u0301.b", "a.b", [1, 5]),
+    ]
+    for text, query, places in cases:
+        pages = P.explode_pages(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+        assert [r.char_pos for r in P.search(pages, query).orderBy("match_no").collect()] == places, (text, query)
+    with pytest.raises(ValueError):
+        P.search(pages, "\u0301")
+
+
 def test_ocr_text_keeps_source_page_numbers(spark):
     docs = spark.createDataFrame([(1, "one\n \nthree"), (2, " ")], "doc_id long, text string")
     got = {r.doc_id: r.ocr_text for r in P.assemble_ocr_text(P.explode_pages(docs), "web").collect()}
