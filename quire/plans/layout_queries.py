@@ -12,21 +12,23 @@ WS = "' ' || chr(9) || chr(13) || chr(10)"
 
 
 def _lines(spark, sf):
-    """Raw lines with font runs: a third of the text in another font."""
+    """Raw lines with runs: a third of the text in another font, boldness and colour of
+    their own; pages of every third document are narrow."""
     third = (F.length("text") / 3).cast("int")
-    runs = F.array(
-        F.struct(F.lit(9.0).alias("font"), third.alias("len")),
-        F.struct(F.col("font_size").alias("font"), (F.length("text") - third * 2).alias("len")),
-        F.struct(F.lit(8.0).alias("font"), third.alias("len")),
-    )
+    run = lambda font, size, bold, color: F.struct(font.alias("font"), size.alias("len"), bold.alias("bold"), F.lit(color).alias("color"))
+    first = F.when(F.col("line") % 3 == 0, run(F.lit(9.0), third, F.col("line") % 46 == 45, "red")).otherwise(run(F.lit(9.0), third, F.col("line") % 46 == 45, "blue"))
+    runs = F.array(first, run(F.col("font_size"), F.length("text") - third * 2, F.col("bold"), "grey"), run(F.lit(8.0), third, F.lit(True), "grey"))
     marked = F.when(F.col("line") % 6 == 5, F.concat(F.lit(" ￼"), F.col("text"), F.lit("\t"))).otherwise(F.col("text"))
-    return X.layout_lines(spark, sf).withColumn("runs", runs).withColumn("text", marked)
+    narrow = F.when(F.col("doc_id") % 3 == 0, F.lit(310.0)).otherwise(F.col("px1"))
+    return X.layout_lines(spark, sf).withColumn("runs", runs).withColumn("text", marked).withColumn("px1", narrow)
 
 
 CLEAN = f"""{LAYOUT_LINES},
 clean AS (SELECT doc_id, page_index, line, trim(replace(CASE WHEN line % 6 = 5 THEN ' ￼' || text || chr(9) ELSE text END, '￼', ''), {WS}) AS text,
-   greatest(x, 0) AS x, greatest(y, 0) AS y, least(x + w, 595) - greatest(x, 0) AS w, least(y + h, 842) - greatest(y, 0) AS h,
-   CASE WHEN length(text) // 3 >= length(text) - 2 * (length(text) // 3) THEN 9.0::DOUBLE ELSE font_size END AS font_size, bold FROM layout_lines),
+   greatest(x, 0) AS x, greatest(y, 0) AS y, least(x + w, CASE WHEN doc_id % 3 = 0 THEN 310 ELSE 595 END) - greatest(x, 0) AS w, least(y + h, 842) - greatest(y, 0) AS h,
+   CASE WHEN length(text) // 3 >= length(text) - 2 * (length(text) // 3) THEN 9.0::DOUBLE ELSE font_size END AS font_size,
+   CASE WHEN length(text) // 3 >= length(text) - 2 * (length(text) // 3) THEN line % 46 = 45 ELSE bold END AS bold,
+   CASE WHEN line % 3 = 0 THEN 'red' ELSE 'blue' END AS color, 0.0::DOUBLE AS px0, CASE WHEN doc_id % 3 = 0 THEN 310.0::DOUBLE ELSE 595.0::DOUBLE END AS px1 FROM layout_lines),
 cl AS (SELECT *, upper(text) IN ('ARTICLE IN PRESS', 'ACCEPTED MANUSCRIPT') OR h > font_size * 2.5 AS preserve FROM clean WHERE text <> '' AND w >= 2 AND h >= 2)"""
 
 
@@ -34,9 +36,9 @@ def _clean(spark, sf):
     return L.preserve_flag(L.clean_lines(_lines(spark, sf)))
 
 
-@query("r1_clean_lines", f"WITH {CLEAN} SELECT doc_id, page_index, line, text, x, y, w, h, font_size FROM cl")
+@query("r1_clean_lines", f"WITH {CLEAN} SELECT doc_id, page_index, line, text, x, y, w, h, font_size, bold, color FROM cl")
 def r1(spark, sf):
-    return L.clean_lines(_lines(spark, sf)).select("doc_id", "page_index", "line", "text", "x", "y", "w", "h", "font_size")
+    return L.clean_lines(_lines(spark, sf)).select("doc_id", "page_index", "line", "text", "x", "y", "w", "h", "font_size", "bold", "color")
 
 
 @query("r2_preserve_flag", f"WITH {CLEAN} SELECT doc_id, line, preserve FROM cl")
@@ -46,18 +48,20 @@ def r2(spark, sf):
 
 JOINED = f"""{CLEAN},
 idx AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY line) AS i FROM cl WHERE NOT preserve),
-st AS (SELECT doc_id, page_index, i, 1 AS g, line, text, x, y, w, h, font_size, bold FROM idx WHERE i = 1
+st AS (SELECT doc_id, page_index, i, 1 AS g, line, text, x, y, w, h, font_size, bold, color, px0, px1 FROM idx WHERE i = 1
   UNION ALL
   SELECT n.doc_id, n.page_index, n.i, CASE WHEN near THEN n.g ELSE n.g + 1 END, CASE WHEN near THEN n.l0 ELSE n.line END,
     CASE WHEN near THEN n.t0 || ' ' || n.text ELSE n.text END,
     CASE WHEN near THEN least(x0, x) ELSE x END, CASE WHEN near THEN least(y0, y) ELSE y END,
     CASE WHEN near THEN greatest(x0 + w0, x + w) - least(x0, x) ELSE w END, CASE WHEN near THEN greatest(y0 + h0, y + h) - least(y0, y) ELSE h END,
-    CASE WHEN near THEN greatest(f0, font_size) ELSE font_size END, CASE WHEN near THEN b0 ELSE bold END
-  FROM (SELECT c.*, s.g, s.line AS l0, s.text AS t0, s.x AS x0, s.y AS y0, s.w AS w0, s.h AS h0, s.font_size AS f0, s.bold AS b0,
+    CASE WHEN near THEN greatest(f0, font_size) ELSE font_size END, CASE WHEN near THEN b0 ELSE bold END,
+    CASE WHEN near THEN c0 ELSE color END, px0, px1
+  FROM (SELECT c.*, s.g, s.line AS l0, s.text AS t0, s.x AS x0, s.y AS y0, s.w AS w0, s.h AS h0, s.font_size AS f0, s.bold AS b0, s.color AS c0,
           abs(s.y - c.y) <= least(s.h, c.h) * 0.35 AND c.x - (s.x + s.w) >= -1 AND c.x - (s.x + s.w) <= greatest(s.font_size, c.font_size) * 0.65 AS near
         FROM st s JOIN idx c ON c.doc_id = s.doc_id AND c.page_index = s.page_index AND c.i = s.i + 1) n),
 last AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index, g ORDER BY i DESC) AS rn FROM st),
-joined AS (SELECT doc_id, page_index, line, text, x, y, w, h, font_size, bold FROM last WHERE rn = 1)"""
+joined AS (SELECT doc_id, page_index, line, text, x, y, w, h, font_size, bold, color, px0, px1, FALSE AS preserve FROM last WHERE rn = 1
+  UNION ALL SELECT doc_id, page_index, line, text, x, y, w, h, font_size, bold, color, px0, px1, TRUE FROM cl WHERE preserve)"""
 
 
 @query("r3_join_runs", f"WITH RECURSIVE {JOINED} SELECT * FROM joined")
@@ -67,11 +71,11 @@ def r3(spark, sf):
 
 GROUPED = f"""{JOINED},
 lg AS (SELECT *, lag(x) OVER p AS ax, lag(y) OVER p AS ay, lag(w) OVER p AS aw, lag(h) OVER p AS ah, lag(font_size) OVER p AS af, lag(bold) OVER p AS ab
-       FROM joined WINDOW p AS (PARTITION BY doc_id, page_index ORDER BY line)),
-mg AS (SELECT *, coalesce(CASE WHEN least(aw, w) > 0 THEN greatest(0, least(ax + aw, x + w) - greatest(ax, x)) / least(aw, w) ELSE 0 END >= 0.45
+       FROM joined WINDOW p AS (PARTITION BY doc_id, page_index ORDER BY preserve, line)),
+mg AS (SELECT *, NOT preserve AND coalesce(CASE WHEN least(aw, w) > 0 THEN greatest(0, least(ax + aw, x + w) - greatest(ax, x)) / least(aw, w) ELSE 0 END >= 0.45
    AND greatest(0, greatest(ay, y) - least(ay + ah, y + h)) <= greatest(3, least(af, font_size) * 1.3) AND abs(af - font_size) <= greatest(0.75, af * 0.12)
    AND ab = bold AND ax + aw >= x + w - af * 2 AND x <= ax + af * 0.8 AND y + h / 2 < ay + ah / 2, FALSE) AS cont FROM lg),
-gp AS (SELECT *, sum(CASE WHEN cont THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_index ORDER BY line ROWS UNBOUNDED PRECEDING)::BIGINT AS group_no FROM mg)"""
+gp AS (SELECT *, sum(CASE WHEN cont THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_index ORDER BY preserve, line ROWS UNBOUNDED PRECEDING)::BIGINT AS group_no FROM mg)"""
 
 
 @query("r4_group_paragraphs", f"WITH RECURSIVE {GROUPED} SELECT doc_id, page_index, line, group_no FROM gp")
@@ -83,10 +87,10 @@ def r4(spark, sf):
     "r5_paragraph_aggregate",
     f"""WITH RECURSIVE {GROUPED},
 a AS (SELECT doc_id, page_index, group_no, min(line) AS line, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h,
-   list_sort(list(font_size))[count(*) // 2 + 1] AS font_size, arg_min(bold, line) AS bold, sum(length(text)) AS n,
+   list_sort(list(font_size))[count(*) // 2 + 1] AS font_size, arg_min(bold, line) AS bold, arg_min(color, line) AS color, bool_or(preserve) AS preserve, max(px1) AS px1, sum(length(text)) AS n,
    max(x + w / 2) AS m1, min(x + w / 2) AS m0, string_agg(text, chr(10) ORDER BY line) AS text FROM gp GROUP BY ALL)
-SELECT doc_id, page_index, group_no, line, x, y, w, h, font_size, bold,
-  (n <= 200 OR font_size >= 16) AND abs(x + w / 2 - 297.5) < 595.0::DOUBLE * 0.08 AND m1 - (x + w / 2) < font_size AND x + w / 2 - m0 < font_size AS centered, text FROM a""",
+SELECT doc_id, page_index, group_no, line, x, y, w, h, font_size, bold, color, preserve,
+  (n <= 200 OR font_size >= 16) AND abs(x + w / 2 - px1 / 2) < px1 * 0.08 AND m1 - (x + w / 2) < font_size AND x + w / 2 - m0 < font_size AS centered, text FROM a""",
 )
 def r5(spark, sf):
     return L.paragraph_aggregate(L.group_paragraphs(L.join_runs(_clean(spark, sf))))
@@ -238,12 +242,14 @@ def _typed(spark, sf):
         .withColumn("text", text)
         .withColumn("h", F.when(d % 2 == 0, F.lit(90.0)).otherwise(F.lit(60.0)))
         .withColumn("preserve", n % 31 == 30)
+        .withColumn("py0", F.lit(0.0))
+        .withColumn("py1", F.when(d % 7 == 3, F.lit(640.0)).otherwise(F.lit(800.0)))
     )
 
 
 TYPED = f"""{REGIONS},
 typed AS (SELECT doc_id, region_id, page_index, line, kind, x, y, w, CASE WHEN doc_id % 2 = 0 THEN 90.0::DOUBLE ELSE 60.0::DOUBLE END AS h,
-  font_size, bold, centered, line % 31 = 30 AS preserve,
+  font_size, bold, centered, line % 31 = 30 AS preserve, CASE WHEN doc_id % 7 = 3 THEN 640.0::DOUBLE ELSE 800.0::DOUBLE END AS py1,
   CASE WHEN line % 12 = 0 AND doc_id % 3 = 0 THEN 'Annual Report ' || (line * 7) WHEN line % 12 = 1 AND doc_id % 2 = 0 THEN 'Table 1 ' || text
    WHEN line % 12 = 4 AND doc_id % 4 < 3 THEN 'Notes: ' || text WHEN line % 12 = 7 AND doc_id % 5 = 0 THEN 'Fig. 2 ' || text
    WHEN line % 12 = 9 AND doc_id % 5 = 1 THEN '2.1 ' || text WHEN line % 12 = 11 AND doc_id % 5 = 2 THEN ' 17 '
@@ -251,7 +257,7 @@ typed AS (SELECT doc_id, region_id, page_index, line, kind, x, y, w, CASE WHEN d
 
 NORM = "trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '[ \t\r\n]+', ' ', 'g'), ' ')"
 HEADERS = f"""{TYPED},
-banded AS (SELECT *, {NORM} AS norm, (y + h / 2 < 800.0::DOUBLE * 0.12 OR y + h / 2 > 800 - 800.0::DOUBLE * 0.12) AND length(text) < 180 AS cand FROM typed),
+banded AS (SELECT *, {NORM} AS norm, (y + h / 2 < py1 * 0.12 OR y + h / 2 > py1 - py1 * 0.12) AND length(text) < 180 AS cand FROM typed),
 heads AS (SELECT doc_id, norm, min(page_index) AS first_page, max(page_index) AS last_page FROM banded WHERE cand GROUP BY doc_id, norm HAVING count(DISTINCT page_index) > 1)"""
 
 
@@ -303,7 +309,7 @@ flag AS (SELECT c.*, coalesce(f[len(f) // 2 + 1], 0) AS body, regexp_matches(tex
    EXISTS (SELECT 1 FROM zones z WHERE z.doc_id = c.doc_id AND z.page_index = c.page_index AND c.x + c.w / 2 >= zone_x AND c.x + c.w / 2 < zone_x + zone_w
            AND c.y + c.h / 2 >= zone_y AND c.y + c.h / 2 < zone_y + zone_h) AS zoned
    FROM chosen c JOIN bf USING (doc_id, page_index)),
-body AS (SELECT * FROM flag WHERE y + h / 2 > 40 AND y + h / 2 < 760 AND NOT (cand AND rep) AND (heading OR font_size >= body * 0.8)
+body AS (SELECT * FROM flag WHERE y + h / 2 > py1 * 0.05 AND y + h / 2 < py1 - py1 * 0.05 AND NOT (cand AND rep) AND (heading OR font_size >= body * 0.8)
    AND NOT regexp_matches(text, '{L.PAGE_NUMBER}') AND NOT regexp_matches(text, '{L.CAPTION}') AND NOT zoned
    AND (heading OR (length(text) >= 4 AND w >= font_size * 2)))"""
 
