@@ -10,14 +10,13 @@ TEXT_SCHEMA = "doc_id long, text string"
 def shared_folder(spark):
     """A folder every executor reaches: ``spark.checkpoint.dir`` of the session.
 
-    Where that is unset (a local session) it is set to a folder beside the warehouse.
+    Where that is unset (a local session) it is a folder beside the warehouse.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
