@@ -122,33 +122,37 @@ def recover_interrupted(jobs, verdicts, profile="web"):
     )
 
 
-# Error type, code, may be retried.
+# Error type, code, may be tried again, advice. Where the advice is missing
+# the event brings its own.
 ERRORS = [
-    ("PdfInputRequired", "pdf_input_required", False),
-    ("OcrInputRequired", "ocr_input_required", False),
-    ("NoUploadedFiles", "file_required", False),
-    ("ProviderNotConfigured", "missing_provider", True),
-    ("MissingDependency", "missing_dependency", True),
+    ("PdfInputRequired", "pdf_input_required", False, "请选择 PDF 文件，或切换到适合该文件类型的转换路径。"),
+    ("OcrInputRequired", "ocr_input_required", False, "请选择 PDF、PNG、JPG、WEBP 或 TIFF 文件。"),
+    ("NoUploadedFiles", "file_required", False, "重新选择文件后再提交。"),
+    ("ProviderNotConfigured", "missing_provider", True, "在 .env 中配置对应 API key 后重启服务。"),
+    ("MissingDependency", "missing_dependency", True, None),
 ]
 NATIVE_ERRORS = [
-    ("invalidFile", "invalid_file", True),
-    ("invalidOption", "invalid_option", True),
-    ("processing", "native_processing_failed", True),
-    ("processingLimit", "processing_limit_exceeded", True),
-    ("provider", "translation_provider_failed", True),
-    ("layoutOverflow", "translation_layout_overflow", True),
+    ("invalidFile", "invalid_file", True, "确认文件没有损坏，并与所选输入格式一致。"),
+    ("invalidOption", "invalid_option", True, "修改任务参数后重新运行。"),
+    ("processing", "native_processing_failed", True, "检查输入文件后重试；问题持续时可保留日志用于反馈。"),
+    ("processingLimit", "processing_limit_exceeded", True, None),
+    ("provider", "translation_provider_failed", True, "检查网络、API Key、服务余额和服务商状态后重试。"),
+    ("layoutOverflow", "translation_layout_overflow", True, "检查标记区域，或使用已保存的译文生成纯译文 PDF，无需再次调用翻译服务。"),
 ]
-DEFAULT_ERROR = ("task_failed", True)
+DEFAULT_ERROR = ("task_failed", True, "查看运行日志中的失败细节。")
 
 
 def classify_errors(events, profile="web"):
-    """Code and retry flag of each error type; unknown types get the default."""
+    """Code, retry flag and advice of each error type; unknown types get the default. Advice
+    that the catalogue leaves open comes from the event's own ``error_hint``, where it has one."""
     rows = ERRORS if profile == "web" else NATIVE_ERRORS
-    known = literal_table(events.sparkSession, "error_type string, _code string, _retry boolean", rows)
+    known = literal_table(events.sparkSession, "error_type string, _code string, _retry boolean, _hint string", rows)
+    own = F.col("error_hint") if "error_hint" in events.columns else F.lit(None).cast("string")
     return events.join(F.broadcast(known), "error_type", "left").select(
         *events.columns,
         F.coalesce("_code", F.lit(DEFAULT_ERROR[0])).alias("error_code"),
         F.coalesce("_retry", F.lit(DEFAULT_ERROR[1])).alias("retryable"),
+        F.when(F.col("_code").isNull(), F.lit(DEFAULT_ERROR[2])).otherwise(F.coalesce("_hint", own)).alias("hint"),
     )
 
 
@@ -171,10 +175,13 @@ def redact(col, secrets):
     return col
 
 
-def progress_lines(events):
+def progress_lines(events, jobs=None):
     """Current lines per running job: the latest of each lane after the last
     ``main`` line, or that line alone. Aggregated per (job, lane) first; the window
-    then sees a job's handful of lanes."""
+    then sees a job's handful of lanes. ``jobs`` (job_id, status) tells which jobs run;
+    lines of all others are left out."""
+    if jobs is not None:
+        events = events.join(jobs.filter("status = 'running'").select("job_id"), "job_id", "left_semi")
     bounded = F.when(F.isnan("fraction") | F.abs("fraction").isin(float("inf")), F.lit(0.0)).otherwise(F.col("fraction"))
     lanes = events.groupBy("job_id", "lane").agg(
         F.max(F.struct("ts", "event_id", bounded.alias("fraction"))).alias("_l")

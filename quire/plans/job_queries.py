@@ -129,18 +129,18 @@ NATIVE_TYPES = [e[0] for e in J.NATIVE_ERRORS] + ["other"]
 
 @query(
     "j7_classify_errors",
-    f"""WITH {values_sql('web', ['t', 'code', 'retryable'], J.ERRORS)}, {values_sql('native', ['t', 'code', 'retryable'], J.NATIVE_ERRORS)},
-e AS (SELECT event_id, ({WEB_TYPES})[event_id % 6 + 1] AS wt, ({NATIVE_TYPES})[event_id % 7 + 1] AS nt FROM events)
-SELECT event_id, 'web' AS profile, coalesce(code, 'task_failed') AS error_code, coalesce(retryable, TRUE) AS retryable FROM e LEFT JOIN web ON t = wt
-UNION ALL SELECT event_id, 'native', coalesce(code, 'task_failed'), coalesce(retryable, TRUE) FROM e LEFT JOIN native ON t = nt""",
+    f"""WITH {values_sql('web', ['t', 'code', 'retryable', 'hint'], J.ERRORS)}, {values_sql('native', ['t', 'code', 'retryable', 'hint'], J.NATIVE_ERRORS)},
+e AS (SELECT event_id, 'own ' || event_type AS own, ({WEB_TYPES})[event_id % 6 + 1] AS wt, ({NATIVE_TYPES})[event_id % 7 + 1] AS nt FROM events)
+SELECT event_id, 'web' AS profile, coalesce(code, 'task_failed') AS error_code, coalesce(retryable, TRUE) AS retryable, CASE WHEN code IS NULL THEN '查看运行日志中的失败细节。' ELSE coalesce(hint, own) END AS hint FROM e LEFT JOIN web ON t = wt
+UNION ALL SELECT event_id, 'native', coalesce(code, 'task_failed'), coalesce(retryable, TRUE), CASE WHEN code IS NULL THEN '查看运行日志中的失败细节。' ELSE coalesce(hint, own) END FROM e LEFT JOIN native ON t = nt""",
 )
 def j7(spark, sf):
-    e = X.table(spark, sf, "events").select("event_id")
+    e = X.table(spark, sf, "events").select("event_id", F.concat(F.lit("own "), "event_type").alias("error_hint"))
 
     def typed(types, profile):
         t = F.element_at(F.array(*[F.lit(x) for x in types]), (F.col("event_id") % len(types) + 1).cast("int"))
         return J.classify_errors(e.withColumn("error_type", t), profile).select(
-            "event_id", F.lit(profile).alias("profile"), "error_code", "retryable"
+            "event_id", F.lit(profile).alias("profile"), "error_code", "retryable", "hint"
         )
 
     return typed(WEB_TYPES, "web").unionByName(typed(NATIVE_TYPES, "native"))
@@ -177,7 +177,8 @@ def j9(spark, sf):
 @query(
     "j10_progress_lines",
     f"""WITH {JOB_EVENTS},
-e AS (SELECT job_id, event_id, ts, CASE event_id % 9 WHEN 0 THEN 'main' ELSE 'lane-' || (event_id % 4) END AS lane, (progress - 10) / 100 AS f FROM job_events),
+running AS (SELECT job_id FROM job_events GROUP BY job_id HAVING arg_max(status, (ts, event_id)) = 'running'),
+e AS (SELECT job_id, event_id, ts, CASE event_id % 9 WHEN 0 THEN 'main' ELSE 'lane-' || (event_id % 4) END AS lane, (progress - 10) / 100 AS f FROM job_events WHERE job_id IN (FROM running)),
 k AS (SELECT *, row_number() OVER (PARTITION BY job_id, lane ORDER BY ts DESC, event_id DESC) AS rn FROM e),
 m AS (SELECT job_id, max((ts, event_id)) FILTER (WHERE lane = 'main') AS main_at, max((ts, event_id)) AS last_at FROM e GROUP BY job_id)
 SELECT k.job_id, lane, event_id, greatest(0, least(1, f))::DOUBLE AS fraction FROM k JOIN m USING (job_id)
@@ -190,7 +191,8 @@ def j10(spark, sf):
         F.when(n % 9 == 0, F.lit("main")).otherwise(F.concat(F.lit("lane-"), (n % 4).cast("string"))).alias("lane"),
         ((F.col("progress") - 10) / 100).alias("fraction"),
     )
-    return J.progress_lines(e)
+    states = X.job_events(spark, sf).groupBy("job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+    return J.progress_lines(e, states)
 
 
 def _stream(spark, sf, name):

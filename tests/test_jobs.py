@@ -69,6 +69,16 @@ def test_main_line_replaces_lanes(spark):
     df = spark.createDataFrame([(j, i, l, f) for i, (j, l, f) in enumerate(rows)], "job_id long, event_id long, lane string, fraction double")
     got = sorted((r.job_id, r.lane, r.fraction) for r in J.progress_lines(df.withColumn("ts", F.timestamp_seconds("event_id"))).collect())
     assert got == [(1, "main", 0.1), (2, "a", 0.0), (3, "b", 0.25)]
+    jobs = spark.createDataFrame([(1, "done"), (2, "running"), (4, "running")], "job_id long, status string")
+    running = J.progress_lines(df.withColumn("ts", F.timestamp_seconds("event_id")), jobs)
+    assert [(r.job_id, r.lane) for r in running.collect()] == [(2, "a")]
+
+
+def test_errors_carry_advice(spark):
+    events = spark.createDataFrame([("MissingDependency", "install it"), ("NoUploadedFiles", "own"), ("Other", "own"), (None, None)], "error_type string, error_hint string")
+    got = {r.error_type: (r.error_code, r.hint) for r in J.classify_errors(events).collect()}
+    assert got["MissingDependency"] == ("missing_dependency", "install it") and got["NoUploadedFiles"][1] != "own"
+    assert got["Other"] == got[None] == ("task_failed", "查看运行日志中的失败细节。")
 
 
 def test_log_of_one_busy_job(spark):
