@@ -439,15 +439,10 @@ def document_html(files, key="doc_id"):
 MAX_SHEET_COLUMNS, MAX_SHEET_ROWS = 128, 10_000
 
 
-def expand_sheet(cells):
-    """Run-length encoded cells to a dense grid: (sheet_id, row, col, value), both
-    from 1. An empty run only moves the column on; rows without a value vanish. A
-    blank value falls back to the attribute. Values are ready for a Markdown table: bars
-    are escaped, a line break becomes a blank.
-
-    Row starts are a running total per sheet over its rows, taken bucket by bucket,
-    because one sheet may be most of the data.
-    """
+def _sheet_runs(cells):
+    """Cells with a value and where their runs lie: columns ``_start`` to ``_end``, rows up to
+    ``_last``. Row starts are a running total per sheet over its rows, taken bucket by
+    bucket, because one sheet may be most of the data."""
     value = T.strip(F.coalesce("value", F.lit("")))
     shown = F.when(value == "", F.coalesce("attribute", F.lit(""))).otherwise(value)
     shown = F.replace(F.replace(shown, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
@@ -461,21 +456,18 @@ def expand_sheet(cells):
         .withColumn("_start", F.col("_end") - F.col("_n") + 1)
     )
     rows = runs.groupBy("sheet_id", "row_no").agg(
-        F.greatest(F.lit(1), F.max(F.coalesce("row_repeat", F.lit(1)))).cast("bigint").alias("_reps")
+        F.greatest(F.lit(1), F.max(F.coalesce("row_repeat", F.lit(1)))).cast("bigint").alias("_reps"), F.max("_end").alias("_wide")
     )
     placed = running_total(rows, ["sheet_id"], F.expr("row_no div 1024"), ["row_no"], F.col("_reps"), "_last")
-    return (
-        runs.join(placed, ["sheet_id", "row_no"])
-        .withColumn("row", F.explode(F.sequence(F.col("_last") - F.col("_reps") + 1, F.col("_last"))))
-        .withColumn("col", F.explode(F.sequence("_start", "_end")))
-        .select("sheet_id", "row", "col", F.col("_v").alias("value"))
-    )
+    return runs, placed
 
 
-def sheet_limits(grid, max_columns=MAX_SHEET_COLUMNS, max_rows=MAX_SHEET_ROWS):
+def sheet_limits(cells, max_columns=MAX_SHEET_COLUMNS, max_rows=MAX_SHEET_ROWS):
+    """Size of each sheet and a verdict, from its runs: nothing is expanded for it."""
     return (
-        grid.groupBy("sheet_id")
-        .agg(F.max("row").alias("rows"), F.max("col").alias("columns"))
+        _sheet_runs(cells)[1]
+        .groupBy("sheet_id")
+        .agg(F.max("_last").alias("rows"), F.max("_wide").alias("columns"))
         .withColumn(
             "verdict",
             F.when(F.col("columns") > max_columns, "too_wide").when(F.col("rows") > max_rows, "too_long").otherwise("ok"),
@@ -483,6 +475,25 @@ def sheet_limits(grid, max_columns=MAX_SHEET_COLUMNS, max_rows=MAX_SHEET_ROWS):
     )
 
 
+def expand_sheet(cells, max_columns=MAX_SHEET_COLUMNS, max_rows=MAX_SHEET_ROWS):
+    """Run-length encoded cells to a dense grid: (sheet_id, row, col, value), both
+    from 1. An empty run only moves the column on; rows without a value vanish. A
+    blank value falls back to the attribute. Values are ready for a Markdown table: bars
+    are escaped, a line break becomes a blank.
+
+    Sheets over a limit are refused (``sheet_limits`` names them) before a run of theirs is
+    expanded, so a few cells that repeat a million times cost no more than a few cells.
+    """
+    runs, placed = _sheet_runs(cells)
+    fit = sheet_limits(cells, max_columns, max_rows).filter("verdict = 'ok'").select("sheet_id")
+    return (
+        runs.join(placed.join(fit, "sheet_id", "left_semi").drop("_wide"), ["sheet_id", "row_no"])
+        .withColumn("row", F.explode(F.sequence(F.col("_last") - F.col("_reps") + 1, F.col("_last"))))
+        .withColumn("col", F.explode(F.sequence("_start", "_end")))
+        .select("sheet_id", "row", "col", F.col("_v").alias("value"))
+    )
+
+
 SLIDE = "幻灯片"
 
 

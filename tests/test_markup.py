@@ -124,6 +124,14 @@ def test_sheet_runs(spark):
     assert got == [(1, 1, "a"), (1, 2, "a"), (1, 6, "9.5"), (2, 1, "z"), (3, 1, "z")]
 
 
+def test_oversized_sheets_are_refused_before_they_grow(spark):
+    rows = [("wide", 1, 1, "a", None, 2_000_000_000, 200_000), ("long", 1, 1, "a", None, 500, 1), ("long", 2, 1, "b", None, 1, 2_000_000_000), ("ok", 1, 1, "c", None, 1, 2)]
+    df = spark.createDataFrame(rows, "sheet_id string, row_no long, cell_no int, value string, attribute string, col_repeat int, row_repeat int")
+    assert sorted((r.sheet_id, r.row, r.col, r.value) for r in M.expand_sheet(df).collect()) == [("ok", 1, 1, "c"), ("ok", 2, 1, "c")]
+    got = {r.sheet_id: (r.rows, r.columns, r.verdict) for r in M.sheet_limits(df, max_columns=500).collect()}
+    assert got == {"wide": (200_000, 2_000_000_000, "too_wide"), "long": (2_000_000_001, 500, "too_long"), "ok": (2, 1, "ok")}
+
+
 def test_one_sheet_over_many_buckets(spark):
     df = spark.range(5000).select(
         F.lit("s").alias("sheet_id"), F.col("id").alias("row_no"), F.lit(1).alias("cell_no"), F.col("id").cast("string").alias("value"),
