@@ -369,15 +369,21 @@ def markdown_to_html(blocks, key="doc_id"):
 
 
 def delimited_html(text, sep=","):
-    """A small delimited text as one HTML table; quoted cells may hold the
-    separator and doubled quotes."""
-    cell = rf'(?:^|{sep})("(?:[^"]|"")*"|[^{sep}]*)'
+    """A small delimited text as one HTML table; quoted cells may hold the separator, line
+    breaks and doubled quotes. A quote inside a plain cell, or one that never closes, is text."""
+    quoted = rf'"[^"]*+(?:""[^"]*+)*+"'
+    plain = rf"[^{sep}\r\n]*+"
+    cell = rf"(?:{quoted})?+{plain}"
+    # Every match takes the sign before it along, so that an empty record or cell counts.
+    records = F.regexp_extract_all(
+        F.concat(F.lit("\n"), F.regexp_replace(text, r"\r?\n\z", "")), F.lit(rf"\r?\n({cell}(?:{sep}{cell})*+)"), F.lit(1)
+    )
 
     def cells(line):
         return F.transform(
-            F.regexp_extract_all(line, F.lit(cell), 1),
+            F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf"{sep}({cell})"), F.lit(1)),
             lambda c: F.when(
-                c.startswith('"'), F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"'))
+                c.rlike(rf"(?s)\A{quoted}\z"), F.replace(F.regexp_replace(c, r'\A"|"\z', ""), F.lit('""'), F.lit('"'))
             ).otherwise(c),
         )
 
@@ -386,16 +392,16 @@ def delimited_html(text, sep=","):
             F.transform(cells(line), lambda c: F.concat(F.lit(f"<{tag}>"), escape_markup(c, "html_web"), F.lit(f"</{tag}>"))), ""
         )
 
-    lines = F.split(F.regexp_replace(text, r"\r?\n$", ""), r"\r?\n")
-    body = F.transform(
-        F.slice(lines, F.lit(2), F.size(lines)), lambda r: F.concat(F.lit("<tr>"), row(r, "td"), F.lit("</tr>"))
-    )
-    return F.when(text == "", F.lit("<table></table>")).otherwise(
-        F.concat(
+    def table(lines):
+        body = F.transform(
+            F.slice(lines, F.lit(2), F.size(lines)), lambda r: F.concat(F.lit("<tr>"), row(r, "td"), F.lit("</tr>"))
+        )
+        return F.concat(
             F.lit("<table><thead><tr>"), row(F.get(lines, F.lit(0)), "th"), F.lit("</tr></thead><tbody>"),
             F.array_join(body, ""), F.lit("</tbody></table>"),
         )
-    )
+
+    return F.when(text == "", F.lit("<table></table>")).otherwise(_let(records, table))
 
 
 def code_html(text, kind):

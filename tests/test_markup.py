@@ -62,6 +62,19 @@ def test_delimited_text(spark):
     )
 
 
+def test_delimited_records_may_hold_line_breaks(spark):
+    texts = ['"a\nb",c\n,,\n\nx"y,"z""\n"\r\n"open,1', ",".join(["c"] * 3000) + '\n"' + "long " * 20_000 + '"', "a\n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.h for r in df.select("i", M.delimited_html(F.col("t")).alias("h")).orderBy("i").collect()]
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    assert got[0] == (
+        "<table><thead><tr><th>a\nb</th><th>c</th></tr></thead><tbody>" + row("", "", "") + row("")
+        + row("x&quot;y", "z&quot;\n") + row("&quot;open", "1") + "</tbody></table>"
+    )
+    assert got[1].count("<th>") == 3000 and got[1].endswith("<tbody>" + row("long " * 20_000) + "</tbody></table>")
+    assert got[2] == "<table><thead><tr><th>a</th></tr></thead><tbody>" + row("") + "</tbody></table>"
+
+
 def test_markdown_blocks_and_html(spark):
     text = "# Head #\n\npara one\nstill\n- a\n- b\n1. c\n> q\n> r\n```py\nx < 1\n```\n```\ny\n```\n| a | b |\n|---|---|\n| 1 | **2** |\n\n---\n[l](https://x.y) [j](javascript:1)"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
