@@ -1,5 +1,6 @@
 """Checks over batches of jobs. Every check yields issue rows
-(job_id, severity, stage, code, detail); ``preflight_report`` folds them.
+(job_id, severity, stage, code, detail); ``preflight_report`` folds them, and
+``batch_preflight`` makes the same report straight from counts per job.
 Catalogue tables are literal and tiny, so they are broadcast; jobs and files are
 only ever aggregated with map-side combine.
 """
@@ -101,14 +102,18 @@ def empty_files(jobs, files):
     )
 
 
+def cardinality_code(n):
+    """Code of a job whose number of files does not suit its kind, else null."""
+    edit, merge = F.col("kind") == "pdf_edit", F.col("edit_action") == "merge"
+    single = (edit & ~merge) | (F.col("kind") == "pdf_translate")
+    return F.when(edit & merge & (n < 2), "merge_requires_files").when(single & (n != 1), "single_file_required")
+
+
 def input_cardinality(jobs, files):
     """merge wants at least two files; a single edit or a translation exactly one."""
     n = files.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
     counted = jobs.join(n, "job_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    merge = (F.col("kind") == "pdf_edit") & (F.col("edit_action") == "merge")
-    single = ((F.col("kind") == "pdf_edit") & (F.col("edit_action") != "merge")) | (F.col("kind") == "pdf_translate")
-    code = F.when(merge & (F.col("n") < 2), "merge_requires_files").when(single & (F.col("n") != 1), "single_file_required")
-    bad = counted.withColumn("_code", code).filter(F.col("_code").isNotNull())
+    bad = counted.withColumn("_code", cardinality_code(F.col("n"))).filter(F.col("_code").isNotNull())
     return issues(bad, "cardinality", F.col("_code"), F.col("n").cast("string"))
 
 
@@ -180,9 +185,9 @@ def crop_box_valid(spec):
     return F.coalesce(shape & order & finite, F.lit(False))
 
 
-def option_issues(jobs):
-    """Issues of each job's options (one string column per option key), in the
-    order the rules are listed. One projection and an explode of what failed."""
+def failed_options():
+    """The option rules a job breaks, as an array of (code, field) in the order the rules
+    are listed; one string column per option key."""
     c = F.col
     filled = lambda name: T.strip(c(name)) != ""
 
@@ -227,9 +232,13 @@ def option_issues(jobs):
         (F.length(T.strip(c("ocr_language"))) > MAX_OCR_LANGUAGE) | c("ocr_language").rlike(CONTROL)
     )
     rules.append(rule(reads & bad_lang, "invalid_ocr_language", "ocr_language"))
-    failed = F.filter(F.array(*rules), lambda r: r.isNotNull())
+    return F.filter(F.array(*rules), lambda r: r.isNotNull())
+
+
+def option_issues(jobs):
+    """Issues of each job's options: one projection and an explode of what failed."""
     return issues(
-        jobs.select("job_id", F.explode(failed).alias("_f")), "options", F.col("_f.code"), F.col("_f.field")
+        jobs.select("job_id", F.explode(failed_options()).alias("_f")), "options", F.col("_f.code"), F.col("_f.field")
     )
 
 
@@ -264,6 +273,63 @@ def preflight_report(jobs, *streams):
     )
 
 
+def batch_preflight(jobs, files, profile="native", max_files=C.MAX_FILES, text_limit=C.WEB_TEXT_LIMIT, options=False):
+    """The report of ``preflight_report`` for the limits, files, cardinality and (with
+    ``options``) option stages, without issue rows: every check on files is a conditional
+    sum of one aggregate per job, every check on jobs reads those sums, and the codes are
+    one array of (severity, stage, code, n) on the job's row.
+
+    ``jobs`` (job_id, kind, edit_action, input_limit) is one row per job; a job without
+    files has sums of zero, a null ``input_limit`` is no limit. A translation warns that
+    its text leaves the machine. One exchange of partial sums and one of jobs.
+    """
+    c, zero = F.col, F.lit(0).cast("bigint")
+    size = c("size") if profile == "web" else F.greatest(c("size"), F.lit(0))
+    sums = files.groupBy(c("job_id").alias("_job")).agg(
+        F.count(F.lit(1)).alias("_files"),
+        F.sum(size).cast("bigint").alias("_bytes"),
+        F.count_if(c("size") > text_limit).alias("_long"),
+        F.count_if(c("size") <= 0).alias("_empty"),
+    )
+    files_of, bytes_of, long, empty = (F.coalesce("_" + k, zero) for k in ("files", "bytes", "long", "empty"))
+    crowded = (files_of > max_files) if profile == "native" else F.lit(False)
+    one = lambda when: F.when(when, F.lit(1).cast("bigint")).otherwise(zero)
+    bad_count = cardinality_code(files_of)
+    found = [
+        ("blocking", "limits", F.lit("too_many_files"), one(crowded)),
+        ("blocking", "limits", F.lit("upload_too_large"), one(~crowded & (bytes_of > c("input_limit")))),
+        ("blocking", "limits", F.lit("text_too_large"), long),
+        ("blocking", "files", F.lit("file_required"), one(files_of == 0)),
+        ("blocking", "files", F.lit("empty_file"), empty),
+        ("blocking", "cardinality", bad_count, one(bad_count.isNotNull())),
+        ("warning", "translate", F.lit("remote_processing"), one(c("kind") == "pdf_translate")),
+    ]
+    entry = lambda severity, stage, code, n: F.struct(
+        F.lit(severity).alias("severity"), F.lit(stage).alias("stage"), code.alias("code"), n.alias("n")
+    )
+    codes = F.filter(F.array(*[entry(*f) for f in found]), lambda e: e["n"] > 0)
+    if options:
+        names = F.transform(failed_options(), lambda f: f["code"])
+        times = lambda code: F.size(F.filter(names, lambda other: other == code)).cast("bigint")
+        codes = F.concat(codes, F.transform(F.array_distinct(names), lambda k: entry("blocking", "options", k, times(k))))
+    lines = lambda severity: F.sort_array(
+        F.transform(
+            F.filter("_codes", lambda e: e["severity"] == severity),
+            lambda e: F.format_string("%s/%s:%d", e["stage"], e["code"], e["n"]),
+        )
+    )
+    return (
+        jobs.join(sums, jobs["job_id"] == sums["_job"], "left")
+        .select("job_id", codes.alias("_codes"))
+        .select(
+            "job_id",
+            (F.size(lines("blocking")) == 0).alias("ok"),
+            F.array_join(lines("blocking"), ",").alias("blocking"),
+            F.array_join(lines("warning"), ",").alias("warnings"),
+        )
+    )
+
+
 def canonical_options(jobs, options="options"):
     """Keep the option keys the job's kind uses, defaults for the rest."""
     allowed = F.create_map(

@@ -94,3 +94,30 @@ def test_crop_box_syntax(spark):
     bad = ["", "1,2,3", "1,2,3,4,5", "a,b,c,d", "5,1,5,9", "1,2,inf,9"]
     df = spark.createDataFrame([(s,) for s in good + bad], "s string")
     assert [r.ok for r in df.select(V.crop_box_valid(F.col("s")).alias("ok")).collect()] == [True] * 2 + [False] * 6
+
+
+@pytest.mark.parametrize("profile", ["native", "web"])
+def test_batch_report_equals_the_fold_of_issue_rows(spark, profile):
+    from quire.plans.validation_queries import OPTION_EXPRESSIONS
+
+    rng = random.Random(5)
+    kinds = [("pdf_edit", "merge"), ("pdf_edit", "edit"), ("pdf_translate", ""), ("ocr", "")]
+    base = spark.createDataFrame(
+        [(j, *rng.choice(kinds), rng.choice([10, 500, 5000])) for j in range(60)], "job_id long, kind string, edit_action string, input_limit long"
+    )
+    texts = spark.createDataFrame([(j, j, rng.choice(["x", "word " * 2000]), "en") for j in range(60)], "job_id long, doc_id long, text string, lang string")
+    options = [F.expr(e).alias(k) for k, e in OPTION_EXPRESSIONS.items() if k not in ("kind", "edit_action")]
+    jobs = base.join(texts.select("job_id", *options), "job_id")
+    files = spark.createDataFrame(
+        [(j, f"{i}.txt", rng.choice([-5, 0, 7, 400, 3000])) for j in range(60) for i in range(rng.choice([0, 1, 1, 2, 5]))],
+        "job_id long, name string, size long",
+    )
+    want = V.preflight_report(
+        jobs, V.batch_limits(files, jobs.select("job_id", "input_limit"), profile, max_files=4, text_limit=1000), V.empty_files(jobs, files),
+        V.input_cardinality(jobs, files), V.option_issues(jobs),
+        V.issues(jobs.filter("kind = 'pdf_translate'"), "translate", "remote_processing", severity="warning"),
+    )
+    got = V.batch_preflight(jobs, files, profile, max_files=4, text_limit=1000, options=True)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert V.batch_preflight(jobs.limit(0), files).count() == 0
