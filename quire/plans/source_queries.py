@@ -10,7 +10,14 @@ from quire.sources import files as S
 from quire.sources import results as R
 
 
-@query("s1_file_inventory")
+# The folder is that of the documents view; where its text does not tell, the one of the small tables.
+@query(
+    "s1_file_inventory",
+    """WITH folder AS (SELECT coalesce(max(sql), '/root/testdata/sf0.01/documents.parquet') AS view_text FROM duckdb_views() WHERE view_name = 'documents' AND contains(sql, '/documents.parquet')),
+f AS (SELECT filename, size FROM read_blob('/root/testdata/sf*/*.parquet'))
+SELECT regexp_extract(filename, '([^/]+)$', 1) AS name, '.parquet' AS ext, size FROM f, folder
+WHERE contains(view_text, regexp_replace(filename, '[^/]+$', '') || 'documents.parquet')""",
+)
 def s1(spark, sf):
     return S.file_inventory(spark, f"{sf}/*.parquet").select("name", "ext", "size")
 
@@ -152,6 +159,18 @@ def s8(spark, sf):
     return spark.read.parquet(path)
 
 
+@query(
+    "s8_one_text_per_document",
+    f"WITH {FILES} SELECT job_id, name || '.md' AS name, d.text FROM files f JOIN documents d USING (doc_id)",
+)
+def s8_files(spark, sf):
+    """One text file per result, read back from its own folder."""
+    path = _fresh(spark, "result-files")
+    d = X.table(spark, sf, "documents").select("doc_id", "text")
+    R.write_documents(X.files(spark, sf).join(d, "doc_id").select("job_id", F.concat("name", F.lit(".md")).alias("name"), "text"), path, "files")
+    return R.read_documents(spark, path)
+
+
 KINDS = ["convert", "extract_markdown", "ocr"]
 OUTPUTS = f"""{FILES},
 outputs AS (SELECT doc_id // 4 + CASE WHEN doc_id % 4 = 0 THEN 1000000000 ELSE 0 END AS job_id,

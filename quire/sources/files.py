@@ -1,17 +1,30 @@
 """Reading inputs: inventories, whole texts, delimited text, JSON, XML, glossaries."""
 
+import os
+from urllib.parse import unquote, urlparse
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from quire.functions import text as T
 from quire.functions.json import whole_json
 
 
+@F.pandas_udf(Ty.BooleanType())
+def _is_link(paths: pd.Series) -> pd.Series:
+    """Whether a ``file:`` path is a symbolic link; other stores have none."""
+    return paths.map(lambda p: p.startswith("file:") and os.path.islink(unquote(urlparse(p).path)))
+
+
 def file_inventory(spark, glob):
-    """path, name, ext, size, modified per file; the content column is pruned, so
-    no bytes are read. Directories and hidden files never match."""
+    """path, name, ext, size, modified per regular file; the content column is pruned, so
+    no bytes are read. Directories and hidden files never match, symbolic links are
+    left out."""
     return (
         spark.read.format("binaryFile")
         .load(glob)
+        .filter(~_is_link("path"))
         .select(
             "path",
             F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),

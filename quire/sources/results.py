@@ -18,6 +18,19 @@ def write_documents(df, path, layout="table", mode="overwrite"):
         df.select("job_id", "name", "text").write.mode(mode).parquet(path)
 
 
+def read_documents(spark, path, layout="files"):
+    """Results as ``write_documents`` left them (job_id, name, text). In the files layout the
+    two keys are names of folders and each text is one file, whose last line break is the
+    writer's."""
+    if layout != "files":
+        return spark.read.parquet(path)
+    keys = "job_id bigint, name string"
+    return (
+        spark.read.schema(f"value string, {keys}").text(path, wholetext=True)
+        .select("job_id", "name", F.regexp_replace("value", r"\n\z", "").alias("text"))
+    )
+
+
 # Name of the bundle when a job has several outputs.
 BUNDLES = {
     "convert": "converted-files.zip",

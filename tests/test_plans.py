@@ -5,7 +5,7 @@ import pytest
 from quire import plans
 
 STREAMS = {"j11_stream_job_state", "j12_stream_expiry", "j13_stream_inbox"}
-WRITES = {"s3_scan_delimited", "s8_write_documents"}
+WRITES = {"s3_scan_delimited", "s8_write_documents", "s8_one_text_per_document"}
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - STREAMS - WRITES))

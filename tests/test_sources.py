@@ -24,6 +24,18 @@ def test_inventory_reads_no_bytes(spark, sf_dir):
     assert "content" not in df._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
 
 
+def test_inventory_leaves_links_out(spark, tmp_path):
+    write(tmp_path / "plain name.txt", "x")
+    os.symlink(tmp_path / "plain name.txt", tmp_path / "linked name.txt")
+    assert [r.name for r in S.file_inventory(spark, str(tmp_path / "*.txt")).collect()] == ["plain name.txt"]
+
+
+def test_one_text_file_per_result(spark, tmp_path):
+    rows = [(1, "a b.md", "line\nline\n"), (1, "c=d/e.md", ""), (2, "007", "ü")]
+    R.write_documents(spark.createDataFrame(rows, "job_id long, name string, text string"), str(tmp_path / "out"), layout="files")
+    assert sorted(map(tuple, R.read_documents(spark, str(tmp_path / "out")).collect())) == rows
+
+
 def test_text_with_bad_bytes(spark, tmp_path):
     write(tmp_path / "a.txt", b"ok \xff end")
     assert S.scan_text(spark, str(tmp_path / "*.txt")).first().text == "ok � end"
