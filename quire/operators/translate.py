@@ -270,7 +270,9 @@ TOLERANCE = 0.5
 def resume_best_snapshot(regions, saved, meta, snapshots):
     """Translations to reuse: of each document's snapshots the one that matches most
     regions, the earlier of equals. ``saved``: region rows with snapshot_no and
-    translation; ``meta``: one row per document; ``snapshots``: meta per snapshot."""
+    translation; ``meta``: one row per document; ``snapshots``: meta per snapshot.
+    A region carries its whole group (``continuation``, the ids in order) and the
+    ``link_version`` that made it; both must agree, null with null."""
     live = snapshots.alias("s").join(meta.alias("m"), "doc_id")
     for c in SNAPSHOT_META:
         live = live.filter(F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}")))
@@ -278,7 +280,7 @@ def resume_best_snapshot(regions, saved, meta, snapshots):
     r, o = regions.alias("r"), usable.alias("o")
     key = (F.col("r.doc_id") == F.col("o.doc_id")) & (F.col("r.region_id") == F.col("o.region_id"))
     same = F.col("o.translation").isNotNull()
-    for c in ("page_index", "kind", "group_id", "text"):
+    for c in ("page_index", "kind", "continuation", "link_version", "text"):
         same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}"))
     same = same & (F.coalesce("r.preserve", F.lit(False)) == F.coalesce("o.preserve", F.lit(False)))
     for c in ("x", "y", "w", "h"):
@@ -432,17 +434,20 @@ def page_placeholders(pages, results):
 
 
 def translation_progress(regions, translations):
-    """Per page: characters done and in all (preserved regions left out) and whether
-    every region has a translation."""
+    """Per page: characters done and in all (preserved regions left out), whether every
+    region has a translation, and whether all of these were restored from a snapshot
+    (``restored`` of ``translations``). Preserved regions keep their text, so they count
+    as both."""
     keys = ["doc_id", "region_id"]
     size = F.greatest(F.lit(1), F.length("text")).cast("bigint")
     work = ~F.coalesce("preserve", F.lit(False))
     done = F.col("translation").isNotNull()
-    joined = regions.join(translations.select(*keys, "translation"), keys, "left")
+    joined = regions.join(translations.select(*keys, "translation", "restored"), keys, "left")
     return joined.groupBy("doc_id", "page_index").agg(
         F.coalesce(F.sum(F.when(work, size)), F.lit(0)).alias("total_chars"),
         F.coalesce(F.sum(F.when(work & done, size)), F.lit(0)).alias("done_chars"),
         F.bool_and(done | ~work).alias("page_done"),
+        F.bool_and((done & F.coalesce("restored", F.lit(False))) | ~work).alias("page_restored"),
     )
 
 
@@ -454,6 +459,7 @@ def document_progress(page_progress):
         F.sum("done_chars").alias("done_chars"),
         F.count(F.lit(1)).alias("pages"),
         F.count_if("page_done").alias("pages_done"),
+        F.count_if("page_restored").alias("pages_restored"),
         F.when(total == 0, F.lit(1.0)).otherwise(F.sum("done_chars") / total).alias("fraction"),
     )
 

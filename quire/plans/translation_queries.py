@@ -235,18 +235,27 @@ def t9(spark, sf):
 
 
 def _snapshots(spark, sf):
-    """Three snapshots per document, each wrong in its own way."""
-    r = _typed(spark, sf).withColumn("group_id", F.floor(F.col("line") / 2).cast("string"))
+    """Three snapshots per document, each wrong in its own way; the first also has another
+    tail of some groups, the second an older link version."""
     n, d = F.col("line"), F.col("doc_id")
-    no = lambda v: F.lit(v).cast("bigint").alias("snapshot_no")
-    tr = lambda tag: F.concat(F.lit(tag), F.left("text", F.lit(20))).alias("translation")
-    cols = [F.col(c) for c in ("doc_id", "region_id", "page_index", "kind", "y", "w", "h", "preserve", "group_id")]
-    one = r.filter(n % 5 != 0).select(*cols, F.col("text"), F.col("x"), no(1), tr("1:"))
-    two = r.select(*cols, F.col("text"), (F.col("x") + F.when(n % 4 == 0, F.lit(0.75)).otherwise(F.lit(0.25))).alias("x"), no(2), tr("2:"))
-    three = r.select(
-        *cols, F.when(n % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"), F.col("x"), no(3), tr("3:")
+    pair = F.floor(n / 2)
+    group = lambda tail: F.array(pair.cast("string"), tail)
+    r = _typed(spark, sf).withColumn("continuation", F.when(n % 8 < 6, group(F.lit("b")))).withColumn(
+        "link_version", F.when(n % 8 < 6, F.lit(2))
     )
-    saved = one.unionByName(two).unionByName(three)
+    cols = [F.col(c) for c in ("doc_id", "region_id", "page_index", "kind", "y", "w", "h", "preserve")]
+    flaws = {
+        1: (n % 5 != 0, F.col("text"), F.col("x"), F.when(n % 14 == 2, group(F.lit("c"))).otherwise(F.col("continuation")), F.col("link_version")),
+        2: (F.lit(True), F.col("text"), F.col("x") + F.when(n % 4 == 0, F.lit(0.75)).otherwise(F.lit(0.25)), F.col("continuation"),
+            F.when(n % 11 == 3, F.lit(1)).otherwise(F.col("link_version"))),
+        3: (F.lit(True), F.when(n % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), F.col("x"), F.col("continuation"), F.col("link_version")),
+    }
+    copies = [
+        F.when(there, F.struct(F.lit(no).cast("bigint").alias("snapshot_no"), text.alias("text"), x.alias("x"), cont.alias("continuation"),
+                               version.alias("link_version"), F.concat(F.lit(f"{no}:"), F.left("text", F.lit(20))).alias("translation")))
+        for no, (there, text, x, cont, version) in flaws.items()
+    ]
+    saved = r.select(*cols, F.explode(F.array_compact(F.array(*copies))).alias("_s")).select(*cols, "_s.*")
     docs = X.table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("source_sha256"))
     meta = docs.select(
         "doc_id", "source_sha256", F.lit("deepseek").alias("provider"), F.lit("auto").alias("source_language"),
@@ -263,8 +272,8 @@ def _snapshots(spark, sf):
 @query(
     "t10_resume_best_snapshot",
     f"""WITH {REGIONS},
-m AS (SELECT doc_id, region_id, 1 AS s FROM regions WHERE line % 5 <> 0 AND doc_id % 4 NOT IN (1, 2)
-  UNION ALL SELECT doc_id, region_id, 2 FROM regions WHERE line % 4 <> 0 AND doc_id % 4 <> 2
+m AS (SELECT doc_id, region_id, 1 AS s FROM regions WHERE line % 5 <> 0 AND line % 14 <> 2 AND doc_id % 4 NOT IN (1, 2)
+  UNION ALL SELECT doc_id, region_id, 2 FROM regions WHERE line % 4 <> 0 AND line % 11 <> 3 AND doc_id % 4 <> 2
   UNION ALL SELECT doc_id, region_id, 3 FROM regions WHERE line % 3 <> 0),
 n AS (SELECT doc_id, s, count(*) AS n FROM m GROUP BY ALL),
 b AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, s) AS rn FROM n)
@@ -366,23 +375,31 @@ def t14(spark, sf):
     return TR.page_placeholders(pages, results)
 
 
-PROGRESS = f"""{REGIONS}, j AS (SELECT doc_id, page_index, line % 17 = 16 AS keep, line % 3 <> 1 AS done, greatest(1, length(text)) AS n FROM regions),
+PROGRESS = f"""{REGIONS}, j AS (SELECT doc_id, page_index, line % 17 = 16 AS keep, line % 3 <> 1 OR page_index % 3 <> 1 AS done, (doc_id + page_index) % 2 = 0 OR line % 5 = 0 AS old, greatest(1, length(text)) AS n FROM regions),
 pg AS (SELECT doc_id, page_index, coalesce(sum(n) FILTER (WHERE NOT keep), 0)::BIGINT AS total_chars, coalesce(sum(n) FILTER (WHERE NOT keep AND done), 0)::BIGINT AS done_chars,
-  bool_and(done OR keep) AS page_done FROM j GROUP BY ALL)"""
+  bool_and(done OR keep) AS page_done, bool_and((done AND old) OR keep) AS page_restored FROM j GROUP BY ALL)"""
+
+
+def _restored(spark, sf):
+    """Every third region of some pages lacks its translation; on even pages of even documents all come from a snapshot."""
+    r, _ = _translated(spark, sf)
+    done = r.filter("line % 3 <> 1 or page_index % 3 <> 1")
+    restored = ((F.col("doc_id") + F.col("page_index")) % 2 == 0) | (F.col("line") % 5 == 0)
+    return r, done.select("doc_id", "region_id", F.upper("text").alias("translation"), restored.alias("restored"))
 
 
 @query("t15_page_progress", f"WITH {PROGRESS} SELECT * FROM pg")
 def t15_pages(spark, sf):
-    return TR.translation_progress(*_translated(spark, sf))
+    return TR.translation_progress(*_restored(spark, sf))
 
 
 @query(
     "t15_translation_progress",
-    f"""WITH {PROGRESS} SELECT doc_id, sum(total_chars)::BIGINT AS total_chars, sum(done_chars)::BIGINT AS done_chars, count(*) AS pages, count(*) FILTER (WHERE page_done) AS pages_done,
+    f"""WITH {PROGRESS} SELECT doc_id, sum(total_chars)::BIGINT AS total_chars, sum(done_chars)::BIGINT AS done_chars, count(*) AS pages, count(*) FILTER (WHERE page_done) AS pages_done, count(*) FILTER (WHERE page_restored) AS pages_restored,
    CASE WHEN sum(total_chars) = 0 THEN 1.0::DOUBLE ELSE sum(done_chars)::DOUBLE / sum(total_chars)::DOUBLE END AS fraction FROM pg GROUP BY doc_id""",
 )
 def t15(spark, sf):
-    return TR.document_progress(TR.translation_progress(*_translated(spark, sf)))
+    return TR.document_progress(TR.translation_progress(*_restored(spark, sf)))
 
 
 @query(
