@@ -503,6 +503,8 @@ def _objects(spark, sf):
         "text",
         "x", "y", "w", "h", "font_size",
         (700.0 - 100.0 * F.floor(n % 6 / 2)).alias("baseline"),
+        (F.col("x") + n % 3).alias("origin_x"),
+        F.when(n % 4 != 0, F.format_string("#%06d", n.cast("int"))).alias("color"),
         F.when(n % 17 == 3, "rotated").when(n % 17 == 4, "hidden").alias("limitation"),
     )
 
@@ -510,6 +512,7 @@ def _objects(spark, sf):
 OBJECTS = f"""{REGIONS},
 objects AS (SELECT doc_id, page_index, line AS object_no, CASE WHEN line % 13 = 11 THEN 'image' WHEN line % 13 = 10 THEN 'path' ELSE 'text' END AS object_type,
    CASE WHEN line % 5 <> 4 THEN 'm' || ((line % 12) // 4) END AS mark, text, x, y, w, h, font_size, (700 - 100 * ((line % 6) // 2))::DOUBLE AS baseline,
+   (x + line % 3)::DOUBLE AS origin_x, CASE WHEN line % 4 <> 0 THEN printf('#%06d', line) END AS color,
    CASE WHEN line % 17 = 3 THEN 'rotated' WHEN line % 17 = 4 THEN 'hidden' END AS limitation FROM regions)"""
 
 
@@ -520,6 +523,7 @@ t AS (SELECT *, coalesce(mark, '#' || object_no) AS g FROM objects WHERE object_
 l AS (SELECT *, CASE WHEN abs(lag(baseline) OVER (PARTITION BY doc_id, page_index, g ORDER BY object_no) - baseline) > font_size * 0.5 THEN chr(10) ELSE '' END || text AS tt FROM t)
 SELECT doc_id, page_index, min(object_no) AS first_object, string_agg(object_no::VARCHAR, ',' ORDER BY object_no) AS objects, string_agg(tt, '' ORDER BY object_no) AS text,
   min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, arg_min(baseline, object_no) AS baseline, arg_min(font_size, object_no) AS font_size,
+  arg_min(origin_x, object_no) AS origin_x, arg_min_null(color, object_no) AS color,
   arg_min(limitation, object_no) FILTER (WHERE limitation IS NOT NULL) AS limitation FROM l GROUP BY doc_id, page_index, g""",
 )
 def r24(spark, sf):
@@ -535,16 +539,29 @@ def r24_counts(spark, sf):
     return L.object_counts(_objects(spark, sf))
 
 
+# Every third document gets appendix pages, eight texts to a page; documents count one more page than their regions show.
+REPORT = f"""{REGIONS},
+t AS (SELECT doc_id, length(text) > 300 AS over, kind, region_id FROM regions),
+o AS (SELECT doc_id, string_agg(region_id, ',' ORDER BY region_id) AS ids, count(*) AS n FROM t WHERE over GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'native_text') AS native_regions, count(*) FILTER (WHERE kind = 'image_ocr') AS ocr_regions FROM t GROUP BY doc_id),
+p AS (SELECT doc_id, (len(string_split(text, chr(10))) - 1) // 12 + 2 AS n_pages FROM documents),
+r AS (SELECT p.*, k.*, o.ids, coalesce(o.n, 0) AS n, CASE WHEN p.doc_id % 3 = 0 AND o.n > 0 THEN (o.n - 1) // 8 + 1 ELSE 0 END AS extra
+  FROM p LEFT JOIN k ON k.doc_id = p.doc_id LEFT JOIN o ON o.doc_id = p.doc_id)"""
+
+
 @query(
     "r25_layout_report",
-    f"""WITH {REGIONS}
-SELECT doc_id, max(page_index) + 1 AS page_count, count(*) FILTER (WHERE kind = 'native_text') AS native_regions, count(*) FILTER (WHERE kind = 'image_ocr') AS ocr_regions,
-  coalesce(string_agg(region_id, ',' ORDER BY region_id) FILTER (WHERE length(text) > 600), '') AS overflow_ids, count(*) FILTER (WHERE length(text) > 600) AS n_overflow
-FROM regions GROUP BY doc_id""",
+    f"""WITH {REPORT}
+SELECT doc_id, (n_pages + extra)::BIGINT AS page_count, coalesce(native_regions, 0) AS native_regions, coalesce(ocr_regions, 0) AS ocr_regions,
+  CASE WHEN extra = 0 THEN coalesce(ids, '') ELSE '' END AS overflow_ids, CASE WHEN extra > 0 THEN ids ELSE '' END AS supplemented_ids, n AS n_overflow FROM r""",
 )
 def r25(spark, sf):
     r = X.regions(spark, sf)
-    return L.layout_report(r, r.filter(F.length("text") > 600).select("doc_id", "region_id"))
+    over = r.filter(F.length("text") > 300).select("doc_id", "region_id")
+    n_pages = F.floor((F.size(F.split("text", "\n")) - 1) / 12) + 2
+    pages = X.table(spark, sf, "documents").select("doc_id", n_pages.alias("n_pages"))
+    notes = over.filter("doc_id % 3 = 0").groupBy("doc_id").agg(F.expr("(count(1) - 1) div 8 + 1").alias("n_pages"))
+    return L.layout_report(r, over, pages, notes)
 
 
 def _groups(spark, sf):
