@@ -62,32 +62,37 @@ class WordEncoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.room, self.words, self.cores = room, {}, {"": b""}
-        self.marks = {m: self._ids(m) for m in ("", ".", ",")}
+        self.marks = dict(zip(("", ".", ","), self._ids("", ".", ",")))
 
-    def _ids(self, text):
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, *texts):
+        """Ids of each text as bytes; without offsets, which nothing here reads."""
+        coded = self.full.encode_batch_fast(list(texts), add_special_tokens=False)
+        return [np.array(c.ids, "<u4").tobytes() for c in coded]
 
     def _learn(self, words):
         if len(self.words) + len(words) > self.room:
             self.words.clear()
             self.cores.clear()
-        shape, fresh = {}, set()
+        shape, fresh, other = {}, set(), []
         for word in words:
             m = PLAIN.fullmatch(word.decode())
             if m is None:
-                self.words[word] = self._ids(word.decode())
+                other.append(word)
             else:
                 core = m[1].lower()
                 shape[word] = core, m[2]
                 if core not in self.cores:
                     fresh.add(core)
+        for i in range(0, len(other), 4096):
+            part = other[i : i + 4096]
+            self.words.update(zip(part, self._ids(*map(bytes.decode, part))))
         fresh = list(fresh)
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]
-            ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
-                self.cores.update((w, self._ids(w)) for w in part)
+                self.cores.update(zip(part, self._ids(*part)))
                 continue
             raw, a = ids.tobytes(), 0
             for word, b in zip(part, (4 * ends).tolist()):
