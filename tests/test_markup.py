@@ -201,3 +201,11 @@ def test_pages_of_odd_shape(spark):
     assert got[len(cases)] == got[len(cases) + 1] == "\n"
     deep = spark.createDataFrame([(1, "<div>" * 30_000 + "x"), (2, '<p a="' * 30_000), (3, "<td>" * 30_000 + "y")], "page_id int, html string")
     assert [r.markdown for r in M.html_to_markdown(deep).orderBy("page_id").collect()] == ["x\n", "\n", "y\n"]
+
+
+def test_references_end_with_a_semicolon():
+    from quire.functions.page_tree import Page
+
+    page = Page('<p>a &amp; b&copy;&amp &am &#38 &ampx;</p><a href="/q?a=1&copy=2&amp;b=3">x&quo</a><title>&lt;&lt</title>')
+    assert page.blocks == [("p", "a & b©&amp &am &#38 &ampx;"), ("text", "x&quo<&lt")]
+    assert page.links == [("/q?a=1&copy=2&b=3", "x&quo")]
