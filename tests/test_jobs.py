@@ -145,3 +145,11 @@ def test_stored_cancelled_record_ends_its_job(spark):
     e = spark.createDataFrame([(j, i, s, False) for j, i, s in rows], "job_id int, event_id int, status string, cancel boolean")
     got = {r.job_id: (r.status, r.cancel_requested, r.result_event) for r in J.fold_jobs(e.withColumn("ts", F.timestamp_seconds("event_id"))).collect()}
     assert got == {1: ("cancelled", True, None), 2: ("cancelled", True, None), 3: ("done", False, 1)}
+
+
+def test_progress_covers_every_job(spark, sf_dir):
+    from quire import plans
+    from quire.plans import fixtures as X
+
+    jobs = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id")).distinct()
+    assert jobs.join(plans.QUERIES["j10_progress_lines"](spark, sf_dir), "job_id", "left_anti").count() == 0
