@@ -1,6 +1,7 @@
 """Reading inputs: inventories, whole texts, delimited text, JSON, XML, glossaries."""
 
 import os
+import re
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
@@ -17,13 +18,25 @@ def _is_link(paths: pd.Series) -> pd.Series:
     return paths.map(lambda p: p.startswith("file:") and os.path.islink(unquote(urlparse(p).path)))
 
 
+def _matched(spark, glob):
+    """Whether a path matches ``glob`` itself and does not lie in a directory that does."""
+    last = glob.rstrip("/").rsplit("/", 1)[-1]
+    if not re.search(r"[*?\[{]", last) or re.search(r"\{[^{}]*/", glob):
+        return F.lit(True)  # a directory by its name, or branches of different depths
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    depth = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).depth()
+    return F.size(F.split(F.regexp_replace("path", r"^[A-Za-z][\w+.-]*:(//[^/]*)?", ""), "/")) - 1 == depth
+
+
 def file_inventory(spark, glob):
     """path, name, ext, size, modified per regular file; the content column is pruned, so
-    no bytes are read. Directories and hidden files never match, symbolic links are
-    left out."""
+    no bytes are read. Directories and hidden files never match, nor do files in a directory
+    whose name matches; symbolic links are left out."""
     return (
         spark.read.format("binaryFile")
+        .option("recursiveFileLookup", bool(re.search(r"[*?\[{]", glob)))
         .load(glob)
+        .filter(_matched(spark, glob))
         .filter(~_is_link("path"))
         .select(
             "path",

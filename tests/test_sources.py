@@ -30,6 +30,17 @@ def test_inventory_leaves_links_out(spark, tmp_path):
     assert [r.name for r in S.file_inventory(spark, str(tmp_path / "*.txt")).collect()] == ["plain name.txt"]
 
 
+def test_inventory_leaves_files_of_directories_out(spark, tmp_path):
+    for folder in ("b.txt", "c.txt/k=1", "d e"):
+        (tmp_path / folder).mkdir(parents=True)
+        write(tmp_path / folder / "inner.txt", "x")
+    write(tmp_path / "a.txt", "x")
+    names = lambda glob: sorted(r.name for r in S.file_inventory(spark, glob).collect())
+    assert names(str(tmp_path / "*.txt")) == names(f"file://{tmp_path}/?.txt") == ["a.txt"]
+    assert names(str(tmp_path / "*/*.txt")) == ["inner.txt", "inner.txt"]
+    assert names(str(tmp_path / "d e")) == names(str(tmp_path / "d e/inner.txt")) == ["inner.txt"]
+
+
 def test_one_text_file_per_result(spark, tmp_path):
     rows = [(1, "a b.md", "line\nline\n"), (1, "c=d/e.md", ""), (2, "007", "ü")]
     R.write_documents(spark.createDataFrame(rows, "job_id long, name string, text string"), str(tmp_path / "out"), layout="files")
