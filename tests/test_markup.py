@@ -209,3 +209,40 @@ def test_references_end_with_a_semicolon():
     page = Page('<p>a &amp; b&copy;&amp &am &#38 &ampx;</p><a href="/q?a=1&copy=2&amp;b=3">x&quo</a><title>&lt;&lt</title>')
     assert page.blocks == [("p", "a & b©&amp &am &#38 &ampx;"), ("text", "x&quo<&lt")]
     assert page.links == [("/q?a=1&copy=2&b=3", "x&quo")]
+
+
+def test_rows_of_a_batch_are_read_in_slices():
+    import pyarrow as pa
+
+    texts = ["x" * 300_000, None, "", "y" * 3_000_000, *["z" * 400_000] * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["k", "t"])
+    parts = M._slices(batch)
+    assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()[1:]) <= M.SLICE for p in parts)
+    assert M._slices(batch.slice(0, 0)) == []
+
+
+def test_worker_reads_one_slice_at_a_time(spark):
+    """The rows of an Arrow batch leave the step in several batches."""
+    seen = []
+
+    class Docs:
+        schema = spark.createDataFrame([(1, "x")], "doc_id long, text string").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            import pyarrow as pa
+
+            texts = ["- a\n\n# b\n" * 20_000] * 40
+            seen.extend(run(iter([pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], ["doc_id", "text"])])))
+            return spark.createDataFrame([], f"doc_id long, _blocks array<{M.BLOCK}>")
+
+    M.markdown_blocks(Docs())
+    assert len(seen) > 4 and sum(b.num_rows for b in seen) == 40
+    assert seen[0].column(1)[0].as_py()[:2] == [
+        {"kind": "paragraph", "level": 1, "ordinal": None, "text": "a", "blank": False, "stack": [{"kind": "ul", "id": 1}, {"kind": "li", "id": 2}]},
+        {"kind": "heading", "level": 1, "ordinal": None, "text": "b", "blank": True, "stack": []},
+    ]
