@@ -246,3 +246,20 @@ def test_worker_reads_one_slice_at_a_time(spark):
         {"kind": "paragraph", "level": 1, "ordinal": None, "text": "a", "blank": False, "stack": [{"kind": "ul", "id": 1}, {"kind": "li", "id": 2}]},
         {"kind": "heading", "level": 1, "ordinal": None, "text": "b", "blank": True, "stack": []},
     ]
+
+
+def test_line_words_without_a_negated_class(spark):
+    from quire.plans import markup_queries as Q
+
+    assert Q._others("a\nä") == r"[\x{0}-\x{9}\x{b}-\x{60}\x{62}-\x{e3}\x{e5}-\x{10ffff}]"
+    rows = [("a\n\n \nä😀b\r\nÄ x  y\n",), ("",), ("  q  \n--",), ("\n",)]
+    got = [r.w for r in spark.createDataFrame(rows, "text string").select(Q._line_words().alias("w")).collect()]
+    assert got == [["a", "none", "none", "ä b", "x y", "none"], ["none"], ["q", "none"], ["none", "none"]]
+
+
+def test_blocks_and_links_wait_until_asked_for():
+    from quire.functions.page_tree import Page
+
+    page = Page("<p>a\t b <a href='#'>c\n\nd</a></p> \n <h1> e</h1>")
+    assert not {"markdown", "blocks", "links"} & set(vars(page))
+    assert (page.blocks, page.links) == ([("p", "a b c d"), ("h1", "e")], [("#", "c d")])
