@@ -1,30 +1,126 @@
 """Results: writing, manifests, fingerprints and their verification."""
 
+import re
+import uuid
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
+# Signs that stand as %XX in the name of a partition's folder, and its name without a value.
+ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+# Bytes of text that a reading task hands over at once.
+READ_BYTES = 1 << 20
+
+
+def _folder(column, value):
+    shown = NO_VALUE if value is None or value == "" else ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", str(value))
+    return f"{column}={shown}"
+
+
+def _uri(spark, path):
+    """The path as a URI that tasks can open through Arrow, or none for stores it does not know."""
+    from pyarrow import fs
+
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().toString()
+    uri = re.sub(r"^file:/+", "file:///", full)
+    try:
+        fs.FileSystem.from_uri(uri)
+    except Exception:  # noqa: BLE001 - an unknown scheme or a missing client: Spark's own writer does it
+        return None
+    return uri
+
+
+def _write_files(df, path, uri, mode):
+    """One file per row, each put in place whole; the manifest that names them is committed last.
+
+    Rows that share both keys are numbered, so a task that runs again writes the same files.
+    """
+    df.limit(0).write.mode(mode).partitionBy("job_id", "name").text(path)
+    number = F.row_number().over(W.partitionBy("job_id", "name").orderBy("text"))
+    tag = uuid.uuid4().hex
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            files = []
+            for job, name, text, n in zip(*[c.to_pylist() for c in batch.columns]):
+                folder = f"{_folder('job_id', job)}/{_folder('name', name)}"
+                files.append(f"{folder}/part-{n:05d}-{tag}.txt")
+                store.create_dir(f"{root}/{folder}", recursive=True)
+                draft = f"{root}/{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(((text or "") + "\n").encode())
+                store.move(draft, f"{root}/{files[-1]}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(files, pa.string())], ["job_id", "name", "file"])
+
+    typed = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("job_id", "name"))
+    df.withColumn("_n", number).mapInArrow(run, f"{typed}, file string").write.mode("append").parquet(f"{path}/_manifest")
+
 
 def write_documents(df, path, layout="table", mode="overwrite"):
     """Write one text result per document (job_id, name, text).
 
     ``table``: parquet rows, for corpora. ``files``: one folder per result, each
-    holding a text file, for the handful of results a person downloads. Both go
-    through the job committer, so readers never see half a result.
+    holding a text file, for results a person downloads. Rows, and the manifest of the
+    files, go through the job committer, and a file appears whole, so readers never see
+    half a result.
     """
     if layout == "files":
-        df.select("job_id", "name", "text").write.mode(mode).partitionBy("job_id", "name").text(path)
+        rows = df.select("job_id", "name", "text")
+        uri = None if mode == "ignore" else _uri(df.sparkSession, path)
+        if uri:
+            _write_files(rows, path, uri, mode)
+        else:
+            rows.write.mode(mode).partitionBy("job_id", "name").text(path)
     else:
         df.select("job_id", "name", "text").write.mode(mode).parquet(path)
 
 
+def _read_files(manifest, uri, keys):
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(uri)
+
+        def rows(batch, start, texts):
+            part = batch.slice(start, len(texts))
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["job_id", "name", "text"])
+
+        for batch in batches:
+            start, texts, size = 0, [], 0
+            for file in batch.column(2).to_pylist():
+                with store.open_input_stream(f"{root}/{file}") as source:
+                    data = source.read()
+                texts.append(data.decode("utf-8", "replace").removesuffix("\n"))
+                size += len(data)
+                if size >= READ_BYTES:
+                    yield rows(batch, start, texts)
+                    start, texts, size = start + len(texts), [], 0
+            if texts:
+                yield rows(batch, start, texts)
+
+    named = manifest.select(F.col("job_id").cast("bigint"), F.nullif(F.col("name").cast("string"), F.lit("")).alias("name"), "file")
+    return named.mapInArrow(run, f"{keys}, text string")
+
+
 def read_documents(spark, path, layout="files"):
     """Results as ``write_documents`` left them (job_id, name, text). In the files layout the
     two keys are names of folders and each text is one file, whose last line break is the
-    writer's."""
+    writer's. Tasks open the files that the manifest names; without one Spark lists them."""
     if layout != "files":
         return spark.read.parquet(path)
     keys = "job_id bigint, name string"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return _read_files(spark.read.parquet(f"{path}/_manifest"), _uri(spark, path), keys)
     return (
         spark.read.schema(f"value string, {keys}").text(path, wholetext=True)
         .select("job_id", "name", F.regexp_replace("value", r"\n\z", "").alias("text"))

@@ -47,6 +47,24 @@ def test_one_text_file_per_result(spark, tmp_path):
     assert sorted(map(tuple, R.read_documents(spark, str(tmp_path / "out")).collect())) == rows
 
 
+def test_result_files_have_a_manifest(spark, tmp_path):
+    path = str(tmp_path / "out")
+    frame = lambda rows: spark.createDataFrame(rows, "job_id long, name string, text string")
+    rows = [(1, "a", "same"), (1, "a", "same"), (1, "a", None), (2, None, "x\r\n"), (3, "q?*[1]{}^\\\"'#%:", "y"), (4, "ü b.md", "z")]
+    back = lambda df: sorted(map(str, df.collect()))
+    R.write_documents(frame(rows), path, layout="files")
+    want = sorted(str(r) for r in frame([(j, n, t or "") for j, n, t in rows]).collect())
+    assert back(R.read_documents(spark, path)) == want and spark.read.parquet(path + "/_manifest").count() == len(rows)
+    listed = spark.read.schema("value string, job_id bigint, name string").text(path, wholetext=True)
+    assert back(listed.select("job_id", "name", F.regexp_replace("value", r"\n\z", "").alias("text"))) == want
+    R.write_documents(frame([(1, "a", "same")]), path, layout="files", mode="append")
+    assert R.read_documents(spark, path).count() == len(rows) + 1
+    R.write_documents(frame([(9, "b", "new")]), path, layout="files")
+    assert [tuple(r) for r in R.read_documents(spark, path).collect()] == [(9, "b", "new")]
+    with pytest.raises(Exception):
+        R.write_documents(frame(rows), path, layout="files", mode="error")
+
+
 def test_text_with_bad_bytes(spark, tmp_path):
     write(tmp_path / "a.txt", b"ok \xff end")
     assert S.scan_text(spark, str(tmp_path / "*.txt")).first().text == "ok � end"
