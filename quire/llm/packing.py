@@ -1,23 +1,15 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
-``token_pieces`` tokenises and cuts; ``pack`` places pieces by bulk-synchronous best
-fit. One round of ``pack``:
-
-1. Documents and gaps are put in order of size. Sizes are whole numbers below the
-   capacity, so the order is a class number plus a rank inside the class; ranks are
-   counted bucket by bucket, so a class that holds a third of all rows is spread out.
-2. A successor sweep runs from the largest size down. Each gap opens a level, each
-   document closes the innermost open one, which is the smallest gap that it fits and no
-   larger document took. Level numbers follow from the class counts, so every level is
-   swept on its own, in parallel; a level meets each class at most once.
-3. Documents of one class compete by rank; who comes too late waits or, where the free
-   room cannot hold what is left, opens a sequence.
-4. Gaps shrink by what they took, and the next round starts.
-
-A gap that fits the largest waiting document several times offers that many slots in one
-round, so small documents do not need a round each. Only counts per size (at most twice
-the capacity) reach the driver. Every round is written to the shared folder, so a lost
-executor costs at most one round.
+``token_pieces`` tokenises and cuts; ``pack`` places pieces by best fit in order of size.
+Pieces of one size are interchangeable, so the plan needs their numbers only:
+
+1. Spark counts the pieces of each size, at most ``capacity`` numbers.
+2. ``best_fit`` goes through the sizes from the largest down. A piece goes into the smallest
+   gap that it fits, or opens a sequence; sequences with equal gaps are treated together,
+   as runs of sequence numbers. The plan has one row per size and run, so its length
+   follows from the sizes and the capacity, not from the number of pieces.
+3. Spark ranks the pieces of each size, bucket by bucket, so that a size of a third of all
+   rows is spread out, and looks up each rank in the plan.
 
 Nulls: a null text is empty, hence only the end id. A null ``doc_id`` is kept. Repeated
 rows are packed one by one. An empty table gives no pieces. Other columns are ignored.
@@ -25,30 +17,39 @@ rows are packed one by one. An empty table gives no pieces. Other columns are ig
 
 import re
 import zlib
+from array import array
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.scale import number_rows
-from quire.llm.common import partitions, stored, worker_cache
+from quire.llm.common import stored, worker_cache
+from quire.llm.words import Batch
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose tokens do not depend on the tokenizer's normaliser or splitter.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Letters, then signs: the tokenizer splits between them and encodes each part by itself.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: UTF-8 lead bytes of the marks that an ASCII letter can be composed with.
+MARKS = b"\xcc", b"\xcd"
+#: A full stop or comma that may be part of a longer run of signs.
+JOINED = re.compile(rb"[^0-9A-Za-z\s][.,][ \n]")
 
 
 class WordEncoder:
-    """Token ids of texts, one dictionary look-up per white-space separated word.
+    """Token ids of texts, one dictionary look-up per distinct word of some texts.
 
     The tokenizer splits at white space and never looks across it, so ids of a text are
-    the ids of its words in order. New words are encoded by the tokenizer in bulk; plain
-    words skip its normaliser. ``room`` bounds the dictionary: when it is full it starts
-    anew, which costs time but changes no id.
+    the ids of its words in order. It folds case after composing marks with letters, so
+    ASCII letters can be folded first in a text without such marks; and it parts signs from
+    letters, so a full stop or comma after a letter can be a word of its own. New words are
+    encoded by the tokenizer in bulk; plain words skip its normaliser. ``room`` bounds the
+    dictionary: when it is full it starts anew, which costs time but changes no id.
     """
 
-    def __init__(self, path, room=600_000):
+    def __init__(self, path, room=1_000_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
@@ -61,56 +62,78 @@ class WordEncoder:
         vocabulary = self.full.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.room, self.words, self.cores = room, {}, {"": b""}
-        self.marks = dict(zip(("", ".", ","), self._ids("", ".", ",")))
+        self.room, self.words = room, {b"": b""}
 
-    def _ids(self, *texts):
-        """Ids of each text as bytes; without offsets, which nothing here reads."""
-        coded = self.full.encode_batch_fast(list(texts), add_special_tokens=False)
-        return [np.array(c.ids, "<u4").tobytes() for c in coded]
+    def _add(self, words):
+        """Encode words one by one; without offsets, which nothing here reads."""
+        coded = self.full.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        self.words.update((w, array("I", c.ids).tobytes()) for w, c in zip(words, coded))
 
     def _learn(self, words):
-        if len(self.words) + len(words) > self.room:
-            self.words.clear()
-            self.cores.clear()
-        shape, fresh, other = {}, set(), []
+        known, shape, fresh, other = self.words, [], set(), set()
         for word in words:
-            m = PLAIN.fullmatch(word.decode())
-            if m is None:
-                other.append(word)
-            else:
-                core = m[1].lower()
-                shape[word] = core, m[2]
-                if core not in self.cores:
-                    fresh.add(core)
-        for i in range(0, len(other), 4096):
-            part = other[i : i + 4096]
-            self.words.update(zip(part, self._ids(*map(bytes.decode, part))))
-        fresh = list(fresh)
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            core = word.rstrip(SIGNS)
+            if not (core.isalpha() and core.islower()):
+                m = PLAIN.fullmatch(word.decode())
+                core = m and m[1].lower().encode()
+            if not core:
+                other.add(word)
+                continue
+            if core not in known:
+                fresh.add(core)
+            if core != word:
+                signs = word[len(core) :]
+                shape.append((word, core, signs))
+                if signs not in known:
+                    other.add(signs)
+        fresh, other = list(fresh), list(other)
+        # the tokenizer's time per word grows with the length of the line
+        for i in range(0, len(fresh), 256):
+            part = fresh[i : i + 256]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
-                self.cores.update(zip(part, self._ids(*part)))
+                self._add(part)
                 continue
             raw, a = ids.tobytes(), 0
             for word, b in zip(part, (4 * ends).tolist()):
-                self.cores[word] = raw[a:b]
+                known[word] = raw[a:b]
                 a = b
-        for word, (core, mark) in shape.items():
-            self.words[word] = self.cores[core] + self.marks[mark]
+        for i in range(0, len(other), 4096):
+            self._add(other[i : i + 4096])
+        for word, core, signs in shape:
+            known[word] = known[core] + known[signs]
 
     def encode(self, texts):
         """Little-endian unsigned 32-bit ids of each text, as bytes."""
-        split = [t.encode().split() for t in texts]
-        new = set().union(*split).difference(self.words)
-        if new:
-            if len(self.words) + len(new) > self.room:
-                new = set().union(*split)
-            self._learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        folded = []
+        for text in texts:
+            raw = text.encode()
+            if MARKS[0] not in raw and MARKS[1] not in raw:
+                raw = raw.lower()
+            if not JOINED.search(raw):
+                raw = raw.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n").replace(b",\n", b" ,\n")
+            folded.append(raw)
+        batch = Batch(pa.array(folded, pa.large_binary()).view(pa.large_string()), hashed=False)
+        # each word with the white space behind it
+        bounds = pa.py_buffer(np.append(batch.start, len(batch.buf)))
+        found = pa.Array.from_buffers(pa.large_binary(), len(batch.start), [None, bounds, pa.py_buffer(batch.buf)]).dictionary_encode()
+        _, bounds, data = found.dictionary.buffers()
+        data, bounds = data.to_pybytes() if data else b"", np.frombuffer(bounds, np.int64)[: len(found.dictionary) + 1].tolist()
+        words = [data[a:b].rstrip() for a, b in zip(bounds[:-1], bounds[1:])]
+        new = {w for w in words if w not in self.words}
+        if len(self.words) + len(new) > self.room:
+            new, self.words = set(words), {b"": b""}
+        self._learn(new)
+        coded = [self.words[w] for w in words]
+        ids, size = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        # tokens of every word in order, and where each text begins
+        word = found.indices.to_numpy()
+        ends = np.cumsum(size[word])
+        before = (np.cumsum(size) - size)[word] - (ends - size[word])
+        out = ids[np.repeat(before, size[word]) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.append(0, ends)[batch.first].tolist()
+        return [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def token_pieces(docs, tokenizer_path, limit=2048, end_id=0, id_col="doc_id", text_col="text"):
@@ -156,107 +179,69 @@ def groups_of(sizes, limit):
         yield a, len(sizes)
 
 
-def _sweep(items, slots, room, capacity):
-    """Level bases and openings from counts per size.
+def best_fit(counts, capacity):
+    """Best fit in order of size for ``counts`` of pieces per size: rows of a plan.
 
-    ``items`` and ``slots`` count rows per size; ``room`` is the free room of all gaps.
-    Returns per size: the level below a size's first slot, the level of its first
-    document, how many documents match, how many open a sequence.
+    A row ``(size, first, times, sequence, place)`` puts the pieces of a size, numbered
+    from ``first`` on, ``times`` each into the sequences from ``sequence`` on, at ``place``.
     """
-    depth = 0
-    base, top, matched = (np.zeros(capacity + 1, np.int64) for _ in range(3))
-    for size in range(capacity, 0, -1):
-        base[size] = depth
-        depth += int(slots[size])
-        top[size] = depth
-        matched[size] = min(depth, int(items[size]))
-        depth -= int(matched[size])
-    waiting = items - matched
-    sizes = np.arange(capacity + 1)
-    volume = int((waiting * sizes).sum())
-    room -= int((matched * sizes).sum())
-    opens = max(0, -(-(volume - room) // capacity))
-    if waiting.sum() and matched.sum() < 0.01 * items.sum():
-        opens = max(opens, -(-volume // (2 * capacity)))
-    opening = np.zeros(capacity + 1, np.int64)
-    for size in range(capacity, 0, -1):
-        opening[size] = min(int(waiting[size]), opens)
-        opens -= int(opening[size])
-    return base, top, matched, opening
+    rooms, gaps = [], {}  # free room in order; free room -> runs (first sequence, how many)
+    rows, opened = [], 0
+
+    def add(room, sequence, number):
+        if room and number:
+            if room not in gaps:
+                gaps[room] = []
+                insort(rooms, room)
+            gaps[room].append((sequence, number))
+
+    for size in sorted(counts, reverse=True):
+        first, end = 0, counts[size]
+        while first < end:
+            at = bisect_left(rooms, size)
+            if at < len(rooms):
+                room = rooms[at]
+                sequence, number = gaps[room].pop()
+                if not gaps[room]:
+                    del gaps[room], rooms[at]
+            else:
+                room, sequence, number = capacity, opened, -(-(end - first) // (capacity // size))
+                opened += number
+            # what is left of a gap is the next smallest that fits: one gap is filled after the other
+            times = room // size
+            full = min(number, (end - first) // times)
+            for many, each in ((full, times), (min(1, number - full), end - first - full * times)):
+                if many and 0 < each <= times:
+                    rows.append((size, first, each, sequence, capacity - room))
+                    add(room - each * size, sequence, many)
+                    first, sequence, number = first + many * each, sequence + many, number - many
+            add(room, sequence, number)
+    return rows
 
 
 def pack(pieces, capacity=2048):
     """Add ``sequence_id`` and ``offset`` to rows that have a ``length`` of 1 to ``capacity``.
 
-    The input is read twice and must give the same rows each time: pass a stored table
-    with a unique ``uid``. Sequences are filled without gaps from offset 0.
+    The input is read three times and must give the same rows each time: pass a stored
+    table with a unique ``uid``. Sequences are filled without gaps from offset 0.
     """
-    spark = pieces.sparkSession
-    half = capacity // 2
-    buckets = max(4, partitions(spark) // 2)
-    sized = pieces.select("uid", F.col("length").cast("int").alias("size"))
-    alone = sized.filter(F.col("size") > half)
-    placed = [alone.select("uid", F.col("uid").alias("sequence_id"), "size", F.lit(0).alias("step"))]
-    items = sized.filter(F.col("size") <= half)
-    gaps = alone.filter(F.col("size") < capacity).select(
-        F.col("uid").alias("sequence_id"), (F.lit(capacity) - F.col("size")).alias("gap")
-    )
-    step = 0
-    counts = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    while counts:
-        step += 1
-        largest = max(counts)
-        # slots of one gap: as many as fit the largest waiting document, or one
-        times = F.greatest(F.lit(1), F.floor(F.col("gap") / F.lit(largest)).cast("int"))
-        slots = gaps.select("sequence_id", F.explode(F.array_repeat(F.floor(F.col("gap") / times).cast("int"), times)).alias("size"))
-        tally = slots.groupBy("size").agg(F.count("*").alias("n")).collect()
-        room = gaps.agg(F.sum("gap").alias("room")).collect()[0]["room"] or 0
-        per_item, per_slot = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
-        for size, n in counts.items():
-            per_item[size] = n
-        for r in tally:
-            per_slot[r["size"]] = r["n"]
-        base, top, matched, opening = _sweep(per_item, per_slot, room, capacity)
-        used = np.flatnonzero(per_item + per_slot).tolist()
-        plan = spark.createDataFrame(
-            [(s, int(base[s]), int(top[s]), int(matched[s]), int(opening[s])) for s in used],
-            "size int, base long, top long, matched long, opening long",
-        )
-        both = items.select(F.lit(1).alias("kind"), F.col("uid").alias("id"), "size").unionByName(
-            slots.select(F.lit(0).alias("kind"), F.col("sequence_id").alias("id"), "size")
-        )
-        ranked = number_rows(both, ["kind", "size"], F.pmod(F.xxhash64("id"), F.lit(buckets)), ["id"], "rank")
-        # at most `capacity` rows of integers: a bounded broadcast
-        ranked = ranked.join(F.broadcast(plan), "size")
-        level = F.when(F.col("kind") == 0, F.col("base") + F.col("rank")).when(
-            F.col("rank") <= F.col("matched"), F.col("top") - F.col("rank") + 1
-        )
-        opens = (F.col("kind") == 1) & (F.col("rank") > F.col("matched")) & (F.col("rank") <= F.col("matched") + F.col("opening"))
-        marked = ranked.select("kind", "id", "size", level.alias("level"), opens.alias("opens"))
-        sweep = W.partitionBy("level").orderBy(F.desc("size"), "kind")
-        met = marked.filter(F.col("level").isNotNull()).withColumn("before", F.lag("id").over(sweep)).filter("kind = 1")
-        late = marked.filter(F.col("level").isNull())
-        outcome = met.select("id", "size", F.col("before").alias("sequence_id")).unionByName(
-            late.select("id", "size", F.when(F.col("opens"), F.col("id")).alias("sequence_id"))
-        )
-        outcome = stored(outcome.withColumnRenamed("id", "uid"), "packing-round")
-        done = outcome.filter(F.col("sequence_id").isNotNull())
-        placed.append(done.select("uid", "sequence_id", "size", F.lit(step).alias("step")))
-        taken = done.groupBy("sequence_id").agg(F.sum("size").alias("taken"))
-        gaps = gaps.join(taken.withColumnRenamed("sequence_id", "seq"), F.col("sequence_id") == F.col("seq"), "full_outer").select(
-            F.coalesce("sequence_id", "seq").alias("sequence_id"),
-            (F.coalesce("gap", F.lit(capacity)) - F.coalesce("taken", F.lit(0))).cast("int").alias("gap"),
-        )
-        gaps = stored(gaps.filter("gap > 0"), "packing-gaps")
-        items = outcome.filter(F.col("sequence_id").isNull()).select("uid", "size")
-        counts = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    every = placed[0]
-    for more in placed[1:]:
-        every = every.unionByName(more)
-    # a sequence holds at most `capacity` rows
-    inside = W.partitionBy("sequence_id").orderBy("step", "uid").rowsBetween(W.unboundedPreceding, W.currentRow)
-    every = every.withColumn("offset", (F.sum("size").over(inside) - F.col("size")).cast("long"))
-    return pieces.join(every.select("uid", "sequence_id", "offset"), "uid")
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    plan = np.array(sorted(best_fit(counts, capacity)), np.int64).reshape(-1, 5)
+    ranks = 1 << 40
+    keys, (first, times, sequence, place) = plan[:, 0] * ranks + plan[:, 1], plan[:, 1:].T.copy()
+    schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    at_length, at_rank = pieces.columns.index("length"), len(pieces.columns)
+
+    def run(batches):
+        for batch in batches:
+            size, rank = (batch.column(c).to_numpy().astype(np.int64) for c in (at_length, at_rank))
+            at = np.searchsorted(keys, size * ranks + rank, side="right") - 1
+            group, inside = np.divmod(rank - first[at], times[at])
+            columns = [pa.array(sequence[at] + group), pa.array(place[at] + inside * size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at_rank], *columns], schema.names)
+
+    ranked = number_rows(pieces, ["length"], F.pmod(F.xxhash64("uid"), F.lit(64)), ["uid"], "rank")
+    return ranked.select(*pieces.columns, (F.col("rank") - 1).cast("long")).mapInArrow(run, schema)
 
 
 def pack_documents(docs, tokenizer_path, capacity=2048, end_id=0):

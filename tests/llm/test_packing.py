@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quire.llm.common import stored
-from quire.llm.packing import pack, pack_documents
+from quire.llm.packing import WordEncoder, pack, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -75,3 +75,27 @@ def test_edge_rows(spark):
     got = pack_documents(df, PATH).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).collect()
     assert len(got) == len(rows) - 1 + math.ceil(40_001 / 2048) and sequences(got, 2048) == 20
     assert pack_documents(df.limit(0), PATH).count() == 0
+
+
+def test_folding_before_the_tokenizer():
+    rng = random.Random(4)
+    bits = ["J̌", "H̱", "K", "'S", "x's.", "é. ", "x. ", "y, ", ". ", ",, ", "\x01. ", "'. ", "A, ", "end.\n", "ab̸", "ÀB$$", "<|endoftext|>", "#1"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(8)) for _ in range(3000)]
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert WordEncoder(PATH).encode(texts) == want
+    small = WordEncoder(PATH, room=50)
+    assert [small.encode([t])[0] for t in texts[:300]] == want[:300] and len(small.words) < 100
+    assert small.encode([]) == [] and small.encode(["", " "]) == [b"", b""]
+
+
+def test_jobs_do_not_grow_with_the_sizes(spark):
+    """The rounds of earlier versions took dozens of jobs, which many partitions made slow."""
+    rows = spark.createDataFrame([(i, 1 + i % 90) for i in range(2000)], "uid long, length long")
+    rows = stored(rows, "test-pack")
+    spark.sparkContext.setJobGroup("packing-jobs", "")
+    got = pack(rows, 100).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("packing-jobs"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 12 and sequences(got, 100) <= math.ceil(sum(r["length"] for r in got) / 100) + 8
