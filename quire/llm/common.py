@@ -4,6 +4,8 @@ import sys
 import types
 import uuid
 
+from pyspark.sql import functions as F
+
 TEXT_SCHEMA = "doc_id long, text string"
 
 
@@ -36,6 +38,16 @@ def partitions(spark):
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_ranges(docs, text_col="text", each=64 << 20, least=16):
+    """Into how many ranges the hashes of all texts are dealt: one for ``each`` bytes of text.
+
+    Slices send a block to every range, so the number must not follow the number of
+    partitions; the texts bound what one range holds.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).collect()[0][0] or 0
+    return max(least, -(-size // each))
+
+
 def worker_cache(name):
     """A dict that lives as long as its Python worker.
 

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions, stored
+from quire.llm.common import hash_ranges, stored
 from quire.llm.words import Batch, mix
 
 KEYS = "slice long, bucket int, keys binary"
@@ -179,9 +179,8 @@ def _locate(words, stretches, window):
 
 def remove_repeats(docs, window=35, seed=8, rows=128, with_text=True):
     """Rows of ``RESULT``: per document what stays; ``kept`` is null unless ``with_text``."""
-    spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
     docs = sliced(docs, rows)
+    buckets = hash_ranges(docs)
     seeds = recurring(_seed_blocks(docs, window, seed, buckets))
     judged = pa.schema(
         [("slice", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),

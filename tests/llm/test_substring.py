@@ -7,7 +7,8 @@ from collections import Counter
 
 import pytest
 
-from quire.llm.substring import remove_repeats
+from quire.llm.common import hash_ranges
+from quire.llm.substring import _seed_blocks, recurring, remove_repeats, sliced
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -73,3 +74,20 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, slice string, keys int")
     assert rows_of(remove_repeats(df)) == want_of(rows)
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_blocks_do_not_follow_the_partitions(spark, tmp_path):
+    """With a range per partition, slices times partitions blocks met."""
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(i, text) for i in range(64)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    folder = str(tmp_path / "documents")
+    df.write.parquet(folder)
+    docs = sliced(spark.read.parquet(folder), 4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    counts = []
+    for n in (8, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        counts.append(recurring(_seed_blocks(docs, 35, 8, hash_ranges(docs))).count())
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert counts[0] == counts[1] <= 16 * 16
