@@ -190,7 +190,7 @@ class Featurizer:
             a = b
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
-    def values(self, text, words, block=1 << 15):
+    def values(self, text, words, block=1 << 10):
         """Kernel values of ``words`` with every landmark; values below ``FLOOR`` are 0."""
         sizes = text.sizes()[words]
         parts = []
@@ -222,7 +222,7 @@ class Featurizer:
             parts.append(out)
         return np.concatenate(parts) if parts else np.zeros((0, self.table.shape[1]), np.float32)
 
-    def all_sentences(self, texts, limit=1 << 20):
+    def all_sentences(self, texts, limit=1 << 18):
         """:meth:`sentences` of many texts, a bounded number of characters at a time."""
         owners, rows = [np.zeros(0, np.int64)], [np.zeros((0, self.table.shape[1]), np.float32)]
         for a, b in groups_of([len(t) for t in texts], limit):
@@ -245,7 +245,7 @@ class Featurizer:
         return text.text[words[first]], np.maximum.reduceat(values, first, axis=0)
 
 
-def _parts(texts, limit=1 << 20):
+def _parts(texts, limit=1 << 18):
     """The texts, folded, a bounded number of characters at a time (one text at least)."""
     for a, b in groups_of([len(t) for t in texts], limit):
         yield Text(texts[a:b])
@@ -309,7 +309,8 @@ def fit_svm(x, y, cost=3000.0, rounds=50):
     w, active = np.zeros(x.shape[1]), np.ones(len(y), bool)
     for _ in range(rounds):
         a, t = x[active], y[active]
-        w = np.linalg.solve(ridge + (a * c[active, None]).T @ a, (a * c[active, None]).T @ t)
+        weighed = (a * c[active, None]).T
+        w = np.linalg.solve(ridge + weighed @ a, weighed @ t)
         now = y * (x @ w) < 1
         if (now == active).all():
             break

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -85,3 +86,17 @@ def test_training_never_reads_held_out_labels(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     kept = labels.filter(~X.held_out())
     assert kept.filter(F.crc32(F.col("doc_id").cast("string")) % 3 == 1).count() == 0 and 0 < kept.count() < labels.count()
+
+
+def test_memory_of_training():
+    """Features of many sentences are worked out in small blocks: the driver trains."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    marks = [word() for _ in range(96)]
+    texts = [" ".join(word()[:5] + rng.choice(marks)[:6] for _ in range(300)) for _ in range(60)]
+    featurizer = X.Featurizer([bytes(ord(c) - 96 for c in w) for w in marks])
+    tracemalloc.start()
+    owner, rows = featurizer.all_sentences(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(owner.tolist())) == 60 and peak < 150e6, peak
