@@ -18,8 +18,8 @@ larger set.
 4. *Check.* A list first compares its members with one hub, exactly, on whole sets; some
    turns with other hubs follow, for members that are not in the hub's component yet. Then
    every list whose members still lie in different components compares all of them across
-   components; a bit map of each set rules out pairs that differ in too many hashes (a
-   bound, so it rules out no link). So a list of thousands of near copies costs a few comparisons per member,
+   components, each pair once, in the list of its first shared key; a bit map of each set
+   rules out pairs that differ in too many hashes (a bound, so it rules out no link). So a list of thousands of near copies costs a few comparisons per member,
    and no link between components is lost.
 
 Sets travel as packed hashes by slices of rows, never one row per n-gram; hot values are
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions, stored
+from quire.llm.common import hash_ranges, stored
 from quire.llm.words import Batch, mix
 
 LAST = 2**63 - 1
@@ -196,15 +196,18 @@ def _subset_keys(values, percent):
     return out
 
 
-_LISTED = "slice long, row int, size long, cost long, list_keys array<long>, subset_keys array<long>, bits array<long>"
+_LISTED = "slice long, row int, size long, cost long, list_keys array<long>, places array<int>, subset_keys array<long>, bits array<long>"
 #: Bits of the map of a set, a power of two.
 MAP = 1024
 
 
 def _listed(sets, frequencies, percent):
-    """Sets with enough shared hashes, with their list keys (rarest first) and subset keys."""
+    """Sets with enough shared hashes, with their list keys (rarest first) and subset keys.
+
+    ``places`` are the places of the list keys among all hashes of the set, in that order.
+    """
     schema = pa.schema([("slice", pa.int64()), ("row", pa.int32()), ("size", pa.int64()), ("cost", pa.int64()),
-                        ("list_keys", pa.list_(pa.int64())), ("subset_keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+                        ("list_keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("subset_keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(left, right):
         known = np.frombuffer(b"".join(right.column("keys").to_pylist()), np.uint64)
@@ -222,13 +225,14 @@ def _listed(sets, frequencies, percent):
             if (count > 1).sum() < least:
                 continue
             rare = np.lexsort((values, count))[: len(values) - least + 1]
-            rare = rare[count[rare] > 1]
+            places = np.flatnonzero(count[rare] > 1)
+            rare = rare[places]
             keys = values[rare].view(np.int64).tolist()
             subsets = _subset_keys(values, percent) if len(values) <= LIGHT_MOST else None
             bits = np.zeros(MAP, np.uint8)
             bits[values >> np.uint64(64 - MAP.bit_length() + 1)] = 1
             bits = np.packbits(bits).view(np.int64).tolist()
-            out.append((slice_id, row, len(values), int(count[rare].sum()), keys, subsets, bits))
+            out.append((slice_id, row, len(values), int(count[rare].sum()), keys, places.tolist(), subsets, bits))
         return _rows(out, schema)
 
     return sets.groupBy("slice").cogroup(frequencies.groupBy("slice")).applyInArrow(run, _LISTED)
@@ -267,14 +271,46 @@ def _verified(pairs, sets, percent):
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def components(edges, name="components"):
+#: Edges that one task joins to trees by itself.
+EDGES = 1_000_000
+
+
+def _trees(a, b):
+    """The nodes of some edges, and the smallest node that each is linked with."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[x] != label[y]).any():
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], least)
+        np.minimum.at(label, label[y], least)
+        while (label[label] != label).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
+def components(edges, name="components", share=EDGES):
     """``node, label``: the smallest node of each component, for nodes that have an edge.
 
-    Every round takes the smallest label around and then the label's own label; each round
-    is written to the shared folder.
+    A task joins a ``share`` of the edges to trees by itself. Where there are more, rounds
+    settle what is left: every round takes the smallest label around and then the label's
+    own label, and is written to the shared folder.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
-    both = stored(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))), name)
+    edges = stored(edges.select("a", "b"), name)
+    tasks = max(1, -(-edges.count() // share))
+
+    def run(batches):
+        batches = [pa.RecordBatch.from_arrays(x.columns, ["a", "b"]) for x in batches]
+        if batches:
+            table = pa.Table.from_batches(batches)
+            nodes, labels = _trees(table.column("a").to_numpy(), table.column("b").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(labels)], ["node", "label"])
+
+    trees = edges.coalesce(tasks).mapInArrow(run, "node long, label long")
+    if tasks == 1:
+        return trees
+    trees = trees.filter("node != label")
+    both = stored(trees.select("node", F.col("label").alias("other")).unionByName(trees.select(F.col("label").alias("node"), F.col("node").alias("other"))), name)
     labels = stored(both.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("label")), name)
     while True:
         around = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
@@ -308,9 +344,8 @@ def link_documents(docs, n=5, percent=75, rows=128, hub_turns=3):
 
     ``n_equal`` counts the rows with an equal set; ``stays`` marks one row of a component.
     """
-    spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
     docs = placed(docs, rows)
+    buckets = hash_ranges(docs)
     first = stored(_first_pass(docs, n, percent, buckets), "join-first")
     members = first.filter(F.col("n_shingles").isNotNull()).select("slice", "row", "doc_id", "n_shingles", "need", "print")
     found = _found_elsewhere(first.filter(F.col("keys").isNotNull()).select("slice", "bucket", "keys", "rows"), rows)
@@ -332,8 +367,8 @@ def link_documents(docs, n=5, percent=75, rows=128, hub_turns=3):
     listed = _listed(sets.select("slice", "row", "keys"), _frequencies(sets.select("slice", "keys"), buckets), percent)
     listed = stored(listed.join(sets.select("slice", "row", "set_id"), ["slice", "row"]).drop("slice", "row"), "join-lists")
     light = F.col("size") <= _boundary(listed, percent)
-    entries = listed.select("set_id", "size", light.alias("light"), F.lit(False).alias("subset"), F.explode("list_keys").alias("key")).unionByName(
-        listed.filter(light).select("set_id", "size", light.alias("light"), F.lit(True).alias("subset"), F.explode("subset_keys").alias("key"))
+    entries = listed.select("set_id", "size", light.alias("light"), F.lit(False).alias("subset"), "places", F.posexplode("list_keys").alias("pos", "key")).withColumn("place", F.element_at("places", F.col("pos") + 1)).drop("places").unionByName(
+        listed.filter(light).select("set_id", "size", light.alias("light"), F.lit(True).alias("subset"), F.lit(0).alias("pos"), F.explode("subset_keys").alias("key"), F.lit(0).alias("place"))
     )
     entries = stored(entries, "join-entries")
     links = None
@@ -350,19 +385,27 @@ def link_documents(docs, n=5, percent=75, rows=128, hub_turns=3):
             break
         links = new if links is None else links.unionByName(new)
         told = stored(_relabelled(mixed, new), "join-told")
-    told = stored(_mixed(told).join(listed.select("set_id", "bits"), "set_id"), "join-told")
-    side = lambda x: told.select("subset", "key", F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "light", "label", "bits")])
+    told = stored(_mixed(told), "join-told")
+    earlier = F.when(F.col("subset"), F.array().cast("array<long>")).otherwise(F.slice("list_keys", 1, F.col("pos"))).alias("earlier")
+    told = told.join(listed.select("set_id", "bits", "list_keys"), "set_id").select("subset", "key", "set_id", "size", "light", "label", "place", "bits", earlier)
+    columns = ("size", "light", "label", "place", "bits", "earlier")
+    side = lambda x: told.select("subset", "key", F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
     left, right = side("a"), side("b")
     # every differing bit stands for a hash that only one of the sets holds
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     most_apart = (100 - percent) * (F.col("size_a") + F.col("size_b")) / (100 + percent)
+    # from the first shared hash on, either set holds as many as a link needs
+    room = " AND ".join(f"(size_{x} - place_{x}) * {100 + percent} >= {percent} * (size_a + size_b)" for x in "ab")
     across = (
         left.join(right, ["subset", "key"])
         .filter("label_a < label_b")
         .filter(f"100 * size_a >= {percent} * size_b AND 100 * size_b >= {percent} * size_a")
         # light sets that link meet by a subset
         .filter("subset OR NOT (light_a AND light_b)")
+        .filter(f"subset OR ({room})")
         .filter(apart <= most_apart)
+        # of the lists that hold both sets, that of the first key compares them
+        .filter("NOT arrays_overlap(earlier_a, earlier_b)")
         .select("a", "b")
         .distinct()
     )
@@ -384,7 +427,10 @@ def link_documents(docs, n=5, percent=75, rows=128, hub_turns=3):
 
 def distinct_documents(docs, n=5, percent=75, rows=128):
     """``docs`` with one row of each component (smallest ``doc_id``); same columns."""
-    docs = stored(docs, "join-documents")
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:  # not a plain table scan: rows have no place yet
+        docs = stored(docs, "join-documents")
     gone = link_documents(docs, n, percent, rows).filter("NOT stays").select(F.col("slice").alias("_slice"), F.col("row").alias("_row"))
     every = placed(docs, rows, *docs.columns).toDF("_slice", "_row", *docs.columns)
     return every.join(gone, ["_slice", "_row"], "left_anti").select(*docs.columns)

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from quire.llm.ngram_join import link_documents
+from quire.llm.ngram_join import components, link_documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -80,3 +80,30 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, slice string, row int")
     assert got(link_documents(df)) == plain(rows)
     assert link_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share", [7, 1_000_000])
+def test_components(spark, share):
+    """Chains and stars; few edges take no round, many take rounds over the trees of the tasks."""
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(90, 100)] + [(200, 205), (205, 203), (300, 100)]
+    random.Random(6).shuffle(edges)
+    spark.sparkContext.setJobGroup(f"components-{share}", "")
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(5), share=share).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{share}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = {i: 0 for i in range(41)} | {i: 90 for i in [*range(90, 101), 300]} | {200: 200, 203: 200, 205: 200}
+    assert {r["node"]: r["label"] for r in got} == want
+    assert share == 7 or jobs <= 5
+
+
+def test_near_copies_below_the_limit_meet_once(spark):
+    """A family whose members share most lists but do not link: no pair may meet in each of them."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for k in rng.sample(range(300), 16):
+            text[k] = f"x{i}_{k}" if rng.random() < 0.3 else f"y{k}_{rng.randrange(4)}"
+        rows.append((i, " ".join(text)))
+    assert got(link_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
